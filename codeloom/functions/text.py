@@ -104,8 +104,9 @@ def extract_code_by_column(raw, lang_col) -> Column:
     raw = _c(raw)
     lang_col = _c(lang_col)
     pattern = F.concat(F.lit("(?s)```"), F.when(lang_col == "", "").otherwise(F.concat(F.lit("\\Q"), lang_col, F.lit("\\E"))), F.lit("\n(.*?)```"))
-    hit = F.regexp_extract(raw, pattern, 0)
-    return F.when(hit != "", trim_ws(F.regexp_extract(raw, pattern, 1))).otherwise(trim_ws(raw))
+    hit = F.call_function("regexp_extract", raw, pattern, F.lit(0))
+    body = F.call_function("regexp_extract", raw, pattern, F.lit(1))
+    return F.when(hit != "", trim_ws(body)).otherwise(trim_ws(raw))
 
 
 def fill_template(template, code, file_name) -> Column:

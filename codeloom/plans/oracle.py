@@ -262,3 +262,240 @@ ORACLE["merge_type_stubs"] = with_f1("SELECT path, p_size <= 40 AS merged FROM f
 ORACLE["stub_merge_stats"] = with_f1(
     "SELECT CAST(count(*) FILTER (WHERE p_size <= 40) AS BIGINT) AS n_merged, CAST(count(*) FILTER (WHERE p_size > 40) AS BIGINT) AS n_failed FROM files"
 )
+
+# --------------------------------------------------------------------------- text
+
+WS = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def trimws(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+RESP = r"""
+WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, text, conv_id % 5 AS v,
+                  list_extract(['python', 'java', ''], CAST(turn % 3 + 1 AS INTEGER)) AS lang
+           FROM conversations WHERE role = 'assistant'),
+r AS (SELECT *, CASE v WHEN 0 THEN concat('Here:', chr(10), '```python', chr(10), text, chr(10), '```', chr(10))
+                       WHEN 1 THEN concat('```', chr(10), text, chr(10), '```')
+                       WHEN 2 THEN concat(chr(9), chr(10), ' ', text, ' ', chr(10), chr(12288), chr(9))
+                       WHEN 3 THEN concat('```python', chr(10), text, chr(10), '```', chr(10), 'and', chr(10), '```java', chr(10), 'class X {}', chr(10), '```')
+                       ELSE concat('```python', chr(10), '```', text) END AS raw FROM c)
+"""
+
+
+def _extract(pattern: str) -> str:
+    return f"CASE WHEN regexp_matches(raw, '{pattern}') THEN {trimws(f'regexp_extract(raw, {chr(39)}{pattern}{chr(39)}, 1)')} ELSE {trimws('raw')} END"
+
+
+PY_FENCE = r"(?s)```(?:python)?\n(.*?)```"
+ORACLE["preprocess"] = RESP + f"SELECT conv_id, turn, {trimws('raw')} AS code FROM r"
+ORACLE["extract_python"] = RESP + f"SELECT conv_id, turn, {_extract(PY_FENCE)} AS code FROM r"
+ORACLE["extract_by_lang"] = (
+    RESP
+    + "SELECT conv_id, turn, lang, CASE lang "
+    + f"WHEN 'python' THEN {_extract(r'(?s)```python\n(.*?)```')} "
+    + f"WHEN 'java' THEN {_extract(r'(?s)```java\n(.*?)```')} "
+    + f"ELSE {_extract(r'(?s)```\n(.*?)```')} END AS code FROM r"
+)
+
+TEMPL = r"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
+                  concat('File {fileName}', chr(10), '{code}', chr(10), 'End {fileName}') AS template,
+                  CASE WHEN turn % 2 = 0 THEN concat(text, ' {fileName}') ELSE text END AS code,
+                  concat('conv_', conv_id, '.py') AS file_name FROM conversations)
+"""
+ORACLE["fill_template"] = TEMPL + "SELECT conv_id, turn, replace(replace(template, '{code}', code), '{fileName}', file_name) AS prompt FROM t"
+ORACLE["append_prompt"] = TEMPL + "SELECT conv_id, turn, concat(code, chr(10), '# role: ', turn) AS prompt FROM t"
+
+CONTEXT = r"""
+, fl AS (SELECT p, string_agg(concat('- f_', p, '_', sk, '(qty: int, price: float) -> ',
+                   CASE sk % 3 WHEN 1 THEN 'float' WHEN 2 THEN 'price' ELSE 'Tuple[int, str]' END, chr(10)), '' ORDER BY sk) AS lst,
+                 count(*) AS n FROM fr WHERE ok GROUP BY p),
+ctx AS (SELECT f.path, concat('You are analyzing a file named ''', f.path, ''' from the module ''',
+         replace(regexp_replace(f.path, '\.py$', ''), '/', '.'), '''.', chr(10), chr(10),
+         CASE WHEN f.ok AND f.p_size % 3 = 0 THEN concat('The file contains 1 classes:', chr(10), chr(10), '- Class ''mod_', f.p, ''':', chr(10),
+              '  Fields:', chr(10), '  - brand: str', chr(10), '  - size: int', chr(10), chr(10), '  Methods:', chr(10),
+              '  - m_', f.p, '(self: Any, x: int) -> int', chr(10), chr(10)) ELSE '' END,
+         CASE WHEN f.ok AND f.p_size % 7 = 0 THEN concat('The file contains 1 interfaces:', chr(10), chr(10), '- Interface ''I_', f.p, ''':', chr(10),
+              '  Methods:', chr(10), '  - go(self: Any, x: int) -> str', chr(10), chr(10)) ELSE '' END,
+         CASE WHEN f.ok THEN concat('The file contains ', fl.n, ' standalone functions:', chr(10), chr(10), fl.lst) ELSE '' END,
+         chr(10), 'Please analyze this code structure and provide insights or answer questions about it.') AS context
+        FROM files f LEFT JOIN fl ON f.p = fl.p)
+"""
+ORACLE["render_context"] = with_f1(CONTEXT + "SELECT path, context FROM ctx")
+ORACLE["prompt_context"] = with_f1(
+    CONTEXT
+    + r"""
+, req AS (SELECT path FROM files UNION ALL SELECT regexp_replace(path, '\.py$', '_test.py') FROM files)
+SELECT req.path, concat('Write unit tests for ', req.path, '.', chr(10), coalesce(ctx.context, '')) AS prompt
+FROM req LEFT JOIN ctx ON req.path = ctx.path
+"""
+)
+
+DETECT = r"""
+, dl AS (SELECT DISTINCT p, dir, list_extract(['.go', '.py', '.js', '.java', '.cpp', '.PY', '.txt'], CAST(p % 7 + 1 AS INTEGER)) AS ext FROM fr),
+dp AS (SELECT concat(dir, '/mod_', p, ext) AS path,
+  CASE ext WHEN '.go' THEN 'go' WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.java' THEN 'java' WHEN '.cpp' THEN 'cpp' ELSE '' END AS code_type
+  FROM dl)
+"""
+ORACLE["test_path"] = with_f1(
+    DETECT
+    + r"""
+SELECT path, code_type, CASE code_type WHEN 'go' THEN regexp_replace(path, '\.go$', '_test.go')
+  WHEN 'python' THEN regexp_replace(path, '\.py$', '_test.py') WHEN 'javascript' THEN regexp_replace(path, '\.js$', '_test.js')
+  WHEN 'java' THEN regexp_replace(path, '\.java$', 'Test.java') ELSE path END AS test_path FROM dp
+"""
+)
+ORACLE["sym_test_name"] = with_f1(
+    "SELECT path, concat('f_', p, '_', sk) AS func_name, concat(dir, '/mod_', p, '_f_', p, '_', sk, '_test_case_1.py') AS test_path FROM fr"
+)
+ORACLE["first_match"] = r"""
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(min(turn) AS BIGINT) AS turn, regexp_extract(arg_min(text, turn), '[A-Za-z]{4,}', 0) AS first_word
+FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+"""
+
+# --------------------------------------------------------------------------- attempts
+
+ATT = r"""
+WITH a AS (SELECT concat('src/u', user_id, '.py') AS source_path,
+                  CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS it,
+                  value / 100 AS coverage, props AS report, event_type = 'error' AS is_error FROM events),
+s AS (SELECT *, (is_error OR coverage >= 0.8 OR it >= 3) AS stop FROM a),
+fs AS (SELECT source_path, min(it) FILTER (WHERE stop) AS stop_it FROM s GROUP BY 1),
+c AS (SELECT s.*, fs.stop_it FROM s JOIN fs USING (source_path) WHERE fs.stop_it IS NULL OR s.it <= fs.stop_it)
+"""
+ORACLE["attempt_loop"] = ATT + r"""
+SELECT source_path, CAST(count(*) AS BIGINT) AS attempts_used,
+  CAST(CASE WHEN stop_it IS NULL THEN count(*) ELSE count(*) - 1 END AS BIGINT) AS iterations,
+  greatest(0.0, coalesce(max(coverage) FILTER (WHERE NOT is_error), 0.0)) AS best_coverage,
+  coalesce(arg_max(report, it) FILTER (WHERE NOT is_error), '') AS last_report,
+  CASE WHEN stop_it IS NULL THEN 'open' WHEN bool_or(is_error AND it = stop_it) THEN 'error'
+       WHEN max(coverage) FILTER (WHERE it = stop_it) >= 0.8 THEN 'passed' ELSE 'cap' END AS end_reason
+FROM c GROUP BY source_path, stop_it
+"""
+ORACLE["active_tasks"] = (
+    "WITH w AS (" + ORACLE["attempt_loop"] + ") SELECT end_reason, count(*) AS n_tasks FROM w GROUP BY 1"
+)
+ORACLE["feedback_prompt"] = ATT + r"""
+, p AS (SELECT *, lag(report) OVER (PARTITION BY source_path ORDER BY it) AS prev FROM c)
+SELECT source_path, it, CASE WHEN it = 0 THEN concat('Write tests for ', source_path)
+  ELSE concat('Write tests for ', source_path, chr(10), 'Your code need to be improved, the report is following:', chr(10), coalesce(prev, ''), chr(10)) END AS prompt
+FROM p
+"""
+ORACLE["best_coverage"] = ATT + r"""
+SELECT source_path, it, coverage,
+  greatest(0.0, coalesce(max(CASE WHEN NOT is_error THEN coverage END) OVER (PARTITION BY source_path ORDER BY it ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0)) AS best_so_far
+FROM c
+"""
+ORACLE["bounded_queue"] = r"""
+WITH t AS (SELECT concat('src/u', user_id, '.py') AS source_path, min(ts) AS submit_ts FROM events GROUP BY 1)
+SELECT source_path, row_number() OVER (ORDER BY submit_ts, source_path) <= 10 AS accepted FROM t
+"""
+ORACLE["dedupe_outputs"] = with_f1(
+    r"""
+, af AS (SELECT path, dir, p, func_no, name FROM fnb
+         UNION ALL SELECT f.path, f.dir, f.p, CAST(f.nf AS BIGINT), concat('m_', f.p) FROM files f WHERE ok AND p_size % 3 = 0
+         UNION ALL SELECT f.path, f.dir, f.p, CAST(f.nf + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS BIGINT), 'go' FROM files f WHERE ok AND p_size % 7 = 0),
+tp AS (SELECT concat(dir, '/mod_', p, '_', name, '_test_case_1.py') AS test_path, path, func_no, name FROM af)
+SELECT test_path, arg_max(path, func_no) AS path, max(func_no) AS func_no, arg_max(name, func_no) AS name FROM tp GROUP BY test_path
+"""
+)
+ORACLE["new_submissions"] = (
+    "WITH w AS ("
+    + ORACLE["attempt_loop"]
+    + r"""), req AS (SELECT DISTINCT concat('src/u', user_id, '.py') AS source_path FROM events WHERE event_type = 'signup')
+SELECT source_path FROM req WHERE source_path NOT IN (SELECT source_path FROM w WHERE end_reason = 'open')"""
+)
+
+# --------------------------------------------------------------------------- store
+
+OBJ = "SELECT CAST(c_custkey AS BIGINT) AS id, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
+ORACLE["get_objects"] = "SELECT CAST(c_custkey AS BIGINT) AS id, c_name FROM customer"
+ORACLE["add_property"] = f"SELECT *, CAST(NULL AS VARCHAR) AS c_comment FROM ({OBJ})"
+ORACLE["object_by_id"] = f"SELECT * FROM ({OBJ}) WHERE id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"
+ORACLE["file_by_path"] = with_f1(
+    r"""
+SELECT path, true AS found, CAST(CASE WHEN ok THEN nf ELSE 0 END AS BIGINT) AS n_functions FROM files
+UNION ALL SELECT regexp_replace(path, '\.py$', '_test.py'), false, CAST(NULL AS BIGINT) FROM files
+"""
+)
+ORACLE["nested_projection"] = with_f1(
+    r"""
+, fl AS (SELECT p, string_agg(concat('f_', p, '_', sk), ',' ORDER BY sk) AS lst FROM fr WHERE ok GROUP BY p)
+SELECT f.path, replace(regexp_replace(f.path, '\.py$', ''), '/', '.') AS module,
+  CASE WHEN f.ok AND f.p_size % 3 = 0 THEN concat('mod_', f.p) ELSE '' END AS class_names, coalesce(fl.lst, '') AS function_names
+FROM files f LEFT JOIN fl ON f.p = fl.p
+"""
+)
+ORACLE["to_document"] = r"""
+SELECT CAST(c_custkey AS BIGINT) AS id,
+  concat('{"id":', c_custkey, ',"name":"', c_name, '","nation":{"name":"', n_name, '","region":{"name":"', r_name, '"}}}') AS doc
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+"""
+ORACLE["batch_insert"] = r"""
+SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN o_orderkey IN (SELECT c_custkey FROM customer) THEN 'duplicate' ELSE 'inserted' END AS status
+FROM orders WHERE o_orderpriority = '5-LOW'
+"""
+ORACLE["insert_object"] = r"""
+SELECT CASE WHEN n_nationkey * 1000 IN (SELECT c_custkey FROM customer) THEN 'duplicate' ELSE 'inserted' END AS status, count(*) AS n
+FROM nation GROUP BY 1
+"""
+CHANGES = r"""
+ch AS (SELECT CAST(o_custkey AS BIGINT) AS id, o_orderdate, o_orderkey,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'replace' WHEN '2-HIGH' THEN 'delete' WHEN '3-MEDIUM' THEN 'patch'
+              WHEN '4-NOT SPECIFIED' THEN 'patch' ELSE 'insert' END AS kind,
+         CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN concat('R#', o_orderkey) END AS c_name,
+         CASE WHEN o_orderpriority = '5-LOW' THEN CAST(0 AS BIGINT) END AS c_nationkey,
+         CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW', '3-MEDIUM') THEN o_totalprice END AS c_acctbal,
+         CASE WHEN o_orderpriority = '5-LOW' THEN o_orderpriority WHEN o_orderpriority = '4-NOT SPECIFIED' THEN o_orderstatus END AS c_mktsegment,
+         o_orderpriority = '3-MEDIUM' AS has_bal, o_orderpriority = '4-NOT SPECIFIED' AS has_seg
+       FROM orders)
+"""
+ORACLE["merge_update"] = (
+    f"WITH obj AS ({OBJ}), "
+    + CHANGES
+    + r""",
+b AS (SELECT id, c_acctbal AS v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM ch WHERE has_bal) WHERE rn = 1),
+s AS (SELECT id, c_mktsegment AS v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM ch WHERE has_seg) WHERE rn = 1)
+SELECT obj.id, obj.c_name, obj.c_nationkey, CASE WHEN b.id IS NOT NULL THEN b.v ELSE obj.c_acctbal END AS c_acctbal,
+       CASE WHEN s.id IS NOT NULL THEN s.v ELSE obj.c_mktsegment END AS c_mktsegment
+FROM obj LEFT JOIN b ON obj.id = b.id LEFT JOIN s ON obj.id = s.id
+"""
+)
+ORACLE["replace_object"] = (
+    f"WITH obj AS ({OBJ}), "
+    + CHANGES
+    + r""",
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM ch WHERE kind = 'replace') WHERE rn = 1)
+SELECT * FROM obj WHERE id NOT IN (SELECT id FROM r)
+UNION ALL SELECT id, c_name, CAST(NULL AS BIGINT), c_acctbal, CAST(NULL AS VARCHAR) FROM r
+"""
+)
+ORACLE["delete_object"] = f"WITH obj AS ({OBJ}), " + CHANGES + " SELECT * FROM obj WHERE id NOT IN (SELECT id FROM ch WHERE kind = 'delete')"
+ORACLE["apply_changes"] = (
+    f"WITH obj AS ({OBJ}), "
+    + CHANGES
+    + r""",
+lv AS (SELECT ch.*, last_value(CASE WHEN kind IN ('delete', 'insert') THEN kind END IGNORE NULLS)
+         OVER (PARTITION BY id ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_life FROM ch),
+ef AS (SELECT lv.*, CASE WHEN prev_life IS NULL THEN id IN (SELECT id FROM obj) ELSE prev_life = 'insert' END AS live_before FROM lv),
+eff AS (SELECT * FROM ef WHERE (kind = 'insert' AND NOT live_before) OR (kind IN ('replace', 'patch') AND live_before)),
+fl AS (SELECT id, kind FROM (SELECT id, kind, row_number() OVER (PARTITION BY id ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+       FROM ch WHERE kind IN ('delete', 'insert')) WHERE rn = 1),
+ids AS (SELECT id FROM obj UNION SELECT id FROM ch),
+alive AS (SELECT ids.id FROM ids LEFT JOIN fl ON ids.id = fl.id WHERE fl.kind = 'insert' OR (fl.kind IS NULL AND ids.id IN (SELECT id FROM obj))),
+full_set AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+             FROM eff WHERE kind IN ('insert', 'replace')) WHERE rn = 1),
+bal AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+        FROM eff WHERE kind IN ('insert', 'replace') OR has_bal) WHERE rn = 1),
+seg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+        FROM eff WHERE kind IN ('insert', 'replace') OR has_seg) WHERE rn = 1)
+SELECT a.id,
+  CASE WHEN fs.id IS NOT NULL THEN fs.c_name ELSE obj.c_name END AS c_name,
+  CASE WHEN fs.id IS NOT NULL THEN fs.c_nationkey ELSE obj.c_nationkey END AS c_nationkey,
+  CASE WHEN bal.id IS NOT NULL THEN bal.c_acctbal ELSE obj.c_acctbal END AS c_acctbal,
+  CASE WHEN seg.id IS NOT NULL THEN seg.c_mktsegment ELSE obj.c_mktsegment END AS c_mktsegment
+FROM alive a LEFT JOIN obj ON a.id = obj.id LEFT JOIN full_set fs ON a.id = fs.id LEFT JOIN bal ON a.id = bal.id LEFT JOIN seg ON a.id = seg.id
+"""
+)

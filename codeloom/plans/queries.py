@@ -299,3 +299,308 @@ def q_merge_type_stubs(spark, sf):
 def q_stub_merge_stats(spark, sf):
     """A2: merged / failed counters."""
     return G.stub_merge_stats(G.merge_type_stubs(C.file_paths(spark, sf), _stubs(spark, sf)))
+
+
+# --------------------------------------------------------------------------- text
+
+from codeloom.operators import attempts as AT  # noqa: E402
+from codeloom.operators import store as ST  # noqa: E402
+
+
+def _responses(spark, sf) -> DataFrame:
+    """Model responses built from assistant turns, five layouts by conv_id % 5."""
+    c = FX.read_table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    v = F.col("conv_id") % 5
+    raw = (
+        F.when(v == 0, F.concat(F.lit("Here:\n```python\n"), "text", F.lit("\n```\n")))
+        .when(v == 1, F.concat(F.lit("```\n"), "text", F.lit("\n```")))
+        .when(v == 2, F.concat(F.lit("\t\n "), "text", F.lit(" \n　\t")))
+        .when(v == 3, F.concat(F.lit("```python\n"), "text", F.lit("\n```\nand\n```java\nclass X {}\n```")))
+        .otherwise(F.concat(F.lit("```python\n```"), "text"))
+    )
+    lang = F.element_at(F.array(F.lit("python"), F.lit("java"), F.lit("")), (F.col("turn") % 3 + 1).cast("int"))
+    return c.select(_long("conv_id").alias("conv_id"), _long("turn").alias("turn"), raw.alias("raw"), lang.alias("lang"), "text")
+
+
+@query("preprocess")
+def q_preprocess(spark, sf):
+    """Unicode white-space trim."""
+    r = _responses(spark, sf)
+    return r.select("conv_id", "turn", TX.trim_ws("raw").alias("code"))
+
+
+@query("extract_python")
+def q_extract_python(spark, sf):
+    """First fenced block (tag python optional), else the trimmed text."""
+    r = _responses(spark, sf)
+    return r.select("conv_id", "turn", TX.extract_code("raw").alias("code"))
+
+
+@query("extract_by_lang")
+def q_extract_by_lang(spark, sf):
+    """First block fenced with the row's language tag."""
+    r = _responses(spark, sf)
+    return r.select("conv_id", "turn", "lang", TX.extract_code_by_column("raw", "lang").alias("code"))
+
+
+def _templates(spark, sf) -> DataFrame:
+    c = FX.read_table(spark, sf, "conversations")
+    code = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" {fileName}"))).otherwise(F.col("text"))
+    return c.select(
+        _long("conv_id").alias("conv_id"), _long("turn").alias("turn"),
+        F.lit("File {fileName}\n{code}\nEnd {fileName}").alias("template"), code.alias("code"),
+        F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit(".py")).alias("file_name"),
+    )
+
+
+@query("fill_template")
+def q_fill_template(spark, sf):
+    """T4: {code} then {fileName} (sequential replacement)."""
+    t = _templates(spark, sf)
+    return t.select("conv_id", "turn", TX.fill_template("template", "code", "file_name").alias("prompt"))
+
+
+@query("append_prompt")
+def q_append_prompt(spark, sf):
+    """T5: set content, append text, return text."""
+    t = _templates(spark, sf)
+    return t.select("conv_id", "turn", TX.append_prompt(F.col("code"), F.concat(F.lit("\n# role: "), F.col("turn").cast("string"))).alias("prompt"))
+
+
+@query("render_context")
+def q_render_context(spark, sf):
+    """Metadata rendered as English text."""
+    m = C.meta(spark, sf)
+    return m.select("path", TX.render_context("path", "module", "classes", "interfaces", "functions").alias("context"))
+
+
+@query("prompt_context")
+def q_prompt_context(spark, sf):
+    """Each prompt request enriched with its file's rendered context; missing -> ''."""
+    m = C.meta(spark, sf).select("path", TX.render_context("path", "module", "classes", "interfaces", "functions").alias("ctx"))
+    req = C.file_paths(spark, sf).select("path")
+    req = req.unionByName(req.select(TX.test_path("path", F.lit("python")).alias("path")))
+    j = req.join(m, "path", "left")
+    return j.select("path", TX.append_prompt(F.concat(F.lit("Write unit tests for "), "path", F.lit(".\n")), F.coalesce("ctx", F.lit(""))).alias("prompt"))
+
+
+@query("test_path")
+def q_test_path(spark, sf):
+    """Test file path by language."""
+    d = q_detect_lang(spark, sf)
+    return d.select("path", "code_type", TX.test_path("path", "code_type").alias("test_path"))
+
+
+@query("sym_test_name")
+def q_sym_test_name(spark, sf):
+    """Per function test file name."""
+    rows = FX.code_rows(spark, sf)
+    fn = F.concat(F.lit("f_"), F.col("p").cast("string"), F.lit("_"), F.col("sk").cast("string"))
+    return rows.select("path", fn.alias("func_name"), TX.sym_test_name("path", fn).alias("test_path"))
+
+
+@query("first_match")
+def q_first_match(spark, sf):
+    """Per conversation, the first assistant turn and its first long word."""
+    c = FX.read_table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    first = c.groupBy("conv_id").agg(F.min_by(F.struct("turn", "text"), F.col("turn")).alias("f"))
+    return first.select(
+        _long("conv_id").alias("conv_id"), _long("f.turn").alias("turn"), F.regexp_extract("f.text", "[A-Za-z]{4,}", 0).alias("first_word")
+    )
+
+
+# --------------------------------------------------------------------------- attempts
+
+
+def attempt_log(spark, sf) -> DataFrame:
+    """the retry log derived from ``events``."""
+    e = FX.read_table(spark, sf, "events")
+    return e.select(
+        F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".py")).alias("source_path"),
+        "ts", F.col("event_id").alias("seq"), (F.col("value") / 100).alias("coverage"),
+        F.col("props").alias("report"), (F.col("event_type") == "error").alias("is_error"),
+    )
+
+
+@query("attempt_loop")
+def q_attempt_loop(spark, sf):
+    """Replay of the generate-evaluate-retry loop per task."""
+    return AT.replay(attempt_log(spark, sf))
+
+
+@query("feedback_prompt")
+def q_feedback_prompt(spark, sf):
+    """The prompt of every consumed iteration."""
+    base = F.concat(F.lit("Write tests for "), F.col("source_path"))
+    return AT.feedback_prompts(attempt_log(spark, sf), base)
+
+
+@query("active_tasks")
+def q_active_tasks(spark, sf):
+    """A3: tasks per end reason (open = active)."""
+    return AT.outcome_counts(AT.replay(attempt_log(spark, sf)))
+
+
+@query("best_coverage")
+def q_best_coverage(spark, sf):
+    """A4: running best coverage over consumed attempts."""
+    c = AT.consumed(attempt_log(spark, sf))
+    return c.select("source_path", "it", "coverage", "best_so_far")
+
+
+@query("bounded_queue")
+def q_bounded_queue(spark, sf):
+    """The first 5 x workers submissions are accepted."""
+    tasks = attempt_log(spark, sf).groupBy("source_path").agg(F.min("ts").alias("submit_ts"))
+    return AT.bounded_queue(tasks)
+
+
+@query("dedupe_outputs")
+def q_dedupe_outputs(spark, sf):
+    """One output per test path; the last function in source order wins."""
+    fns = X.all_functions(C.function_paths(spark, sf)).select("path", "func_no", "name")
+    rows = fns.withColumn("test_path", TX.sym_test_name("path", "name"))
+    return AT.dedupe_outputs(rows, "test_path", "func_no")
+
+
+@query("new_submissions")
+def q_new_submissions(spark, sf):
+    """Signup requests for paths that are not active."""
+    log = attempt_log(spark, sf)
+    active = AT.replay(log).where(F.col("end_reason") == "open")
+    req = FX.read_table(spark, sf, "events").where(F.col("event_type") == "signup").select(
+        F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".py")).alias("source_path")
+    )
+    return AT.new_submissions(req, active)
+
+
+# --------------------------------------------------------------------------- object store
+
+PROPS = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+def objects(spark, sf) -> DataFrame:
+    c = FX.read_table(spark, sf, "customer")
+    return c.select(_long("c_custkey").alias("id"), "c_name", _long("c_nationkey").alias("c_nationkey"), "c_acctbal", "c_mktsegment")
+
+
+def changes(spark, sf) -> DataFrame:
+    """F5 change log: orders per customer, kind by priority."""
+    o = FX.read_table(spark, sf, "orders")
+    kind = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", "replace")
+        .when(F.col("o_orderpriority") == "2-HIGH", "delete")
+        .when(F.col("o_orderpriority").isin("3-MEDIUM", "4-NOT SPECIFIED"), "patch")
+        .otherwise("insert")
+    )
+    seg = F.col("o_orderpriority") == "4-NOT SPECIFIED"
+    bal = F.col("o_orderpriority") == "3-MEDIUM"
+    is_full = F.col("o_orderpriority").isin("1-URGENT", "5-LOW")
+    return o.select(
+        _long("o_custkey").alias("id"), F.struct("o_orderdate", "o_orderkey").alias("ord"), kind.alias("kind"),
+        F.when(is_full, F.concat(F.lit("R#"), F.col("o_orderkey").cast("string"))).alias("c_name"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(0).cast("long")).alias("c_nationkey"),
+        F.when(is_full | bal, F.col("o_totalprice")).alias("c_acctbal"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderpriority")).when(seg, F.col("o_orderstatus")).alias("c_mktsegment"),
+        F.lit(False).alias("has_c_name"), F.lit(False).alias("has_c_nationkey"), bal.alias("has_c_acctbal"), seg.alias("has_c_mktsegment"),
+    )
+
+
+@query("get_objects")
+def q_get_objects(spark, sf):
+    """Chosen properties of every object."""
+    return ST.get_objects(objects(spark, sf), "id", "c_name")
+
+
+@query("add_property")
+def q_add_property(spark, sf):
+    """A new property reads as null on existing objects."""
+    return ST.add_property(objects(spark, sf), "c_comment", "string")
+
+
+@query("object_by_id")
+def q_object_by_id(spark, sf):
+    """Lookups of the customers of failed orders."""
+    ids = FX.read_table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(_long("o_custkey").alias("id"))
+    return ST.object_by_id(objects(spark, sf), ids)
+
+
+@query("file_by_path")
+def q_file_by_path(spark, sf):
+    """Metadata lookup for requested paths (first match, or a miss)."""
+    m = C.meta(spark, sf).select("path", F.size("functions").cast("long").alias("n_functions"), "module")
+    req = C.file_paths(spark, sf).select("path")
+    req = req.unionByName(req.select(TX.test_path("path", F.lit("python")).alias("path")))
+    return ST.first_by_key(m, req, "path", "module").select("path", "found", "n_functions")
+
+
+@query("nested_projection")
+def q_nested_projection(spark, sf):
+    """Nested field selection (classes.name, functions.name)."""
+    m = C.meta(spark, sf).select("path", "module", F.col("classes.name").alias("cn"), F.col("functions.name").alias("fn"))
+    return m.select("path", "module", F.array_join("cn", ",").alias("class_names"), F.array_join("fn", ",").alias("function_names"))
+
+
+@query("to_document")
+def q_to_document(spark, sf):
+    """Customer -> nested document with its nation and region."""
+    cu = FX.read_table(spark, sf, "customer")
+    na = FX.read_table(spark, sf, "nation")
+    re_ = FX.read_table(spark, sf, "region")
+    j = cu.join(na, cu.c_nationkey == na.n_nationkey).join(re_, na.n_regionkey == re_.r_regionkey)
+    doc = F.struct(
+        _long("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.struct(F.col("n_name").alias("name"), F.struct(F.col("r_name").alias("name")).alias("region")).alias("nation"),
+    )
+    return ST.to_document(j.select(_long("c_custkey").alias("id"), doc.alias("d")), "id", F.col("d"))
+
+
+@query("batch_insert")
+def q_batch_insert(spark, sf):
+    """M1: insert low-priority orders as new objects (id = order key)."""
+    o = FX.read_table(spark, sf, "orders").where(F.col("o_orderpriority") == "5-LOW")
+    new = o.select(
+        _long("o_orderkey").alias("id"), F.concat(F.lit("N#"), F.col("o_orderkey").cast("string")).alias("c_name"),
+        F.lit(0).cast("long").alias("c_nationkey"), F.col("o_totalprice").alias("c_acctbal"), F.col("o_orderstatus").alias("c_mktsegment"),
+        _long("o_orderkey").alias("_seq"),
+    )
+    _, statuses = ST.batch_insert(objects(spark, sf), new)
+    return statuses
+
+
+@query("insert_object")
+def q_insert_object(spark, sf):
+    """M2: one object per nation (id = nation key x 1000); table size after."""
+    na = FX.read_table(spark, sf, "nation")
+    new = na.select(
+        (F.col("n_nationkey") * 1000).cast("long").alias("id"), F.col("n_name").alias("c_name"), _long("n_nationkey").alias("c_nationkey"),
+        F.lit(0.0).alias("c_acctbal"), F.lit("NEW").alias("c_mktsegment"), _long("n_nationkey").alias("_seq"),
+    )
+    table, statuses = ST.batch_insert(objects(spark, sf), new)
+    return statuses.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("merge_update")
+def q_merge_update(spark, sf):
+    """M3: patches of c_acctbal / c_mktsegment; the last patch per id wins."""
+    ch = changes(spark, sf).where(F.col("kind") == "patch")
+    return ST.merge_update(objects(spark, sf), ch, "id", "ord", ["c_acctbal", "c_mktsegment"])
+
+
+@query("replace_object")
+def q_replace_object(spark, sf):
+    """M4: replacements (urgent orders); absent properties become null."""
+    ch = changes(spark, sf).where(F.col("kind") == "replace").select("id", "ord", "c_name", "c_acctbal")
+    return ST.replace_object(objects(spark, sf), ch, "id", "ord")
+
+
+@query("delete_object")
+def q_delete_object(spark, sf):
+    """M5: delete the customers of high-priority orders."""
+    return ST.delete_object(objects(spark, sf), changes(spark, sf).where(F.col("kind") == "delete"))
+
+
+@query("apply_changes")
+def q_apply_changes(spark, sf):
+    """M6: the whole change log folded into the final table."""
+    return ST.apply_changes(objects(spark, sf), changes(spark, sf), "id", "ord", PROPS)
