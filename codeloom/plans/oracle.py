@@ -499,3 +499,70 @@ SELECT a.id,
 FROM alive a LEFT JOIN obj ON a.id = obj.id LEFT JOIN full_set fs ON a.id = fs.id LEFT JOIN bal ON a.id = bal.id LEFT JOIN seg ON a.id = seg.id
 """
 )
+
+# --------------------------------------------------------------------------- paths and cover
+
+ORACLE["py_paths"] = with_f1(
+    r"""
+SELECT path, func_no, CAST(0 AS BIGINT) AS path_no, CAST(0 AS BIGINT) AS pos, 'if_statement' AS kind, 'then' AS arm, concat('qty > ', p_size) AS text FROM fnb
+UNION ALL SELECT path, func_no, 0, 1, 'return', '', CASE WHEN q >= 0 THEN concat('f_', q, '_', qs, '(qty, price)') ELSE 'ext_lib.run(qty)' END FROM fnb
+UNION ALL SELECT path, func_no, 1, 0, 'if_statement', 'else', concat('qty > ', p_size) FROM fnb
+UNION ALL SELECT path, func_no, 1, 1, 'return', '', 'price' FROM fnb
+UNION ALL SELECT f.path, CAST(f.nf AS BIGINT), 0, 0, 'return', '', 'x' FROM files f WHERE ok AND p_size % 3 = 0
+"""
+)
+ORACLE["distinct_branches"] = with_f1("SELECT path, func_no, CAST(1 AS BIGINT) AS n_branches FROM fnb")
+
+COVER_INC = r"""
+inc AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS g, CAST(o_orderkey AS BIGINT) AS p, l_returnflag AS kind, CAST(l_linenumber AS BIGINT) AS pos
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+"""
+ORACLE["argmax_pick"] = (
+    "WITH "
+    + COVER_INC
+    + r"""
+SELECT g, p FROM (SELECT g, p, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, p) AS rn FROM inc GROUP BY g, p) WHERE rn = 1
+"""
+)
+
+
+def _cover_rounds(n: int) -> str:
+    parts = ["WITH " + COVER_INC + ", r0 AS MATERIALIZED (SELECT * FROM inc)"]
+    for i in range(n):
+        parts.append(
+            f", k{i} AS MATERIALIZED (SELECT g, p FROM (SELECT g, p, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, p) AS rn "
+            f"FROM r{i} GROUP BY g, p) WHERE rn = 1)"
+            f", c{i} AS (SELECT DISTINCT r.g, r.kind, r.pos FROM r{i} r JOIN k{i} k ON r.g = k.g AND r.p = k.p)"
+            f", r{i + 1} AS MATERIALIZED (SELECT r.* FROM r{i} r ANTI JOIN c{i} c ON r.g = c.g AND r.kind = c.kind AND r.pos = c.pos)"
+        )
+    sel = " UNION ALL ".join(f"SELECT g, CAST({i} AS BIGINT) AS pick_no, p FROM k{i}" for i in range(n))
+    return "".join(parts) + " " + sel
+
+
+# Branch universe of F3 is (3 return flags) x (7 line numbers) = 21, so 21 rounds always finish.
+ORACLE["min_path_cover"] = _cover_rounds(21)
+
+ORACLE["describe_paths"] = with_f1(
+    r"""
+SELECT path, func_no, name, concat('Testcase 1 for ', name, '(qty: int, price: float)',
+   CASE sk % 3 WHEN 1 THEN ' -> float' WHEN 2 THEN '' ELSE ' -> Union[int, str]' END, ':', chr(10),
+   'test case where qty > ', p_size, ',', chr(10),
+   'returns ''', CASE WHEN q >= 0 THEN concat('f_', q, '_', qs, '(qty, price)') ELSE 'ext_lib.run(qty)' END, '''') AS constraints FROM fnb
+UNION ALL SELECT f.path, CAST(f.nf AS BIGINT), concat('m_', f.p), '' FROM files f WHERE ok AND p_size % 3 = 0
+UNION ALL SELECT f.path, CAST(f.nf + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS BIGINT), 'go', '' FROM files f WHERE ok AND p_size % 7 = 0
+"""
+)
+ORACLE["generate"] = (
+    TEMPL
+    + r""", pr AS (SELECT conv_id, turn, replace(replace(template, '{code}', code), '{fileName}', file_name) AS prompt FROM t)
+SELECT conv_id, turn, concat('Here you go:', chr(10), '```python', chr(10), '# ', length(prompt), chr(10), 'def test_generated():', chr(10),
+  '    assert True', chr(10), '```', chr(10)) AS response, false AS failed FROM pr
+"""
+)
+ORACLE["evaluate"] = (
+    TEMPL
+    + r""", pr AS (SELECT conv_id, turn, file_name, replace(replace(template, '{code}', code), '{fileName}', file_name) AS test_code FROM t)
+SELECT conv_id, turn, CASE WHEN length(test_code) % 7 = 0 THEN NULL ELSE (length(test_code) % 100) / 100.0 END AS coverage,
+  CASE WHEN length(test_code) % 7 = 0 THEN NULL ELSE concat('ran ', file_name) END AS report, length(test_code) % 7 = 0 AS failed FROM pr
+"""
+)

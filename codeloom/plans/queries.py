@@ -604,3 +604,99 @@ def q_delete_object(spark, sf):
 def q_apply_changes(spark, sf):
     """M6: the whole change log folded into the final table."""
     return ST.apply_changes(objects(spark, sf), changes(spark, sf), "id", "ord", PROPS)
+
+
+# --------------------------------------------------------------------------- paths and cover
+
+from codeloom.operators import cover as CV  # noqa: E402
+from codeloom.operators import generate as GN  # noqa: E402
+
+SYM_TEMPLATE = "Generate unit tests for {file_name}.\nPath constraints:\n{path_constraints}\nSource:\n{code}\n"
+
+
+def cover_sets(spark, sf) -> DataFrame:
+    """(g = customer, p = order, kind = return flag, pos = line number)."""
+    li = FX.read_table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber")
+    o = FX.read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    return j.select(
+        _long("o_custkey").alias("g"), _long("o_orderkey").alias("p"), F.col("l_returnflag").alias("kind"), _long("l_linenumber").alias("pos")
+    ).distinct()
+
+
+@query("py_paths")
+def q_py_paths(spark, sf):
+    """Control-flow label paths per function (long form)."""
+    return X.path_labels(C.function_paths(spark, sf)).drop("truncated")
+
+
+@query("distinct_branches")
+def q_distinct_branches(spark, sf):
+    """A5: distinct (kind, pos) branches per function."""
+    return CV.distinct_branches(CV.branch_incidence(X.path_labels(C.function_paths(spark, sf)))).withColumn("n_branches", _long("n_branches"))
+
+
+@query("argmax_pick")
+def q_argmax_pick(spark, sf):
+    """Per customer, the order covering most (flag, line) branches; ties -> lowest key."""
+    return CV.argmax_pick(cover_sets(spark, sf), ["g"], "p")
+
+
+@query("min_path_cover")
+def q_min_path_cover(spark, sf):
+    """Greedy minimal covering set of orders per customer."""
+    return CV.min_path_cover(cover_sets(spark, sf), ["g"], "p")
+
+
+@query("describe_paths")
+def q_describe_paths(spark, sf):
+    """Descriptions of the chosen paths of every function."""
+    fp = C.function_paths(spark, sf)
+    labels = X.path_labels(fp)
+    picks = CV.min_path_cover(CV.branch_incidence(labels), ["path", "func_no"])
+    return CV.describe_paths(labels, picks, X.all_functions(fp))
+
+
+def _length_model(prompt: str) -> str:
+    """Deterministic stand-in for a chat model: a fenced block naming the prompt size."""
+    return "Here you go:\n```python\n# " + str(len(prompt)) + "\ndef test_generated():\n    assert True\n```\n"
+
+
+def _ratio_eval(source: str, test: str, path: str) -> tuple[float, str]:
+    """Deterministic stand-in for a test runner."""
+    if len(test) % 7 == 0:
+        raise RuntimeError("coverage run failed")
+    return (len(test) % 100) / 100.0, "ran " + path
+
+
+@query("generate")
+def q_generate(spark, sf):
+    """Model call per prompt (template prompts from conversations)."""
+    t = _templates(spark, sf).select("conv_id", "turn", TX.fill_template("template", "code", "file_name").alias("prompt"))
+    return GN.generate(t, _length_model).select("conv_id", "turn", "response", F.col("gen_error").isNotNull().alias("failed"))
+
+
+@query("evaluate")
+def q_evaluate(spark, sf):
+    """Test callback per generated test (coverage, report, error)."""
+    t = _templates(spark, sf)
+    t = t.select("conv_id", "turn", F.col("code").alias("source_code"), F.col("file_name").alias("test_path"),
+                 TX.fill_template("template", "code", "file_name").alias("test_code"))
+    e = GN.evaluate(t, _ratio_eval)
+    return e.select("conv_id", "turn", "coverage", "report", F.col("eval_error").isNotNull().alias("failed"))
+
+
+@query("sym_prompt")
+def q_sym_prompt(spark, sf):
+    """Per function, the filled path-constraint prompt (size and line count)."""
+    d = q_describe_paths(spark, sf)
+    code = C.corpus(spark, sf).select("path", F.col("content").alias("code"))
+    p = d.join(code, "path").select("path", "func_no", TX.sym_prompt(F.lit(SYM_TEMPLATE), F.col("constraints"), F.col("code"), F.col("path")).alias("prompt"))
+    return p.select("path", "func_no", _long(F.length("prompt")).alias("n_chars"), _long(F.size(F.split("prompt", "\n"))).alias("n_lines"))
+
+
+@query("sym_pipeline")
+def q_sym_pipeline(spark, sf):
+    """End-to-end test generation with a deterministic model."""
+    out = GN.sym_pipeline(C.corpus(spark, sf), SYM_TEMPLATE, _length_model, C.function_paths(spark, sf))
+    return out.select("test_path", "path", "func_no", "test_code")
