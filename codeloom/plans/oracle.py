@@ -566,3 +566,8 @@ SELECT conv_id, turn, CASE WHEN length(test_code) % 7 = 0 THEN NULL ELSE (length
   CASE WHEN length(test_code) % 7 = 0 THEN NULL ELSE concat('ran ', file_name) END AS report, length(test_code) % 7 = 0 AS failed FROM pr
 """
 )
+
+# --------------------------------------------------------------------------- streaming
+
+ORACLE["stream_attempts"] = ORACLE["attempt_loop"]
+ORACLE["stream_code_files"] = ORACLE["py_metadata"]

@@ -700,3 +700,54 @@ def q_sym_pipeline(spark, sf):
     """End-to-end test generation with a deterministic model."""
     out = GN.sym_pipeline(C.corpus(spark, sf), SYM_TEMPLATE, _length_model, C.function_paths(spark, sf))
     return out.select("test_path", "path", "func_no", "test_code")
+
+
+# --------------------------------------------------------------------------- streaming
+
+from codeloom.streaming import attempts_stream as RS  # noqa: E402
+
+
+def _staged_attempts(spark, sf, with_submits: bool) -> str:
+    log = attempt_log(spark, sf).withColumn("kind", F.lit("attempt"))
+    if with_submits:
+        subs = FX.read_table(spark, sf, "events").where(F.col("event_type") == "signup").select(
+            F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".py")).alias("source_path"), "ts",
+            F.col("event_id").alias("seq"), F.lit("submit").alias("kind"), F.lit(None).cast("double").alias("coverage"),
+            F.lit(None).cast("string").alias("report"), F.lit(False).alias("is_error"),
+        )
+        log = log.unionByName(subs)
+    d = RS._scratch(spark, "attempts-src")
+    log = log.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    RS.stage_by_time(log.select(*[f.name for f in RS.ATTEMPT_SCHEMA]), d, 4)
+    return d
+
+
+@query("stream_attempts")
+def q_stream_attempts(spark, sf):
+    """The retry loop as a keyed stateful stream; equals W1 for time-ordered batches."""
+    src = _staged_attempts(spark, sf, False)
+    stream = spark.readStream.schema(RS.ATTEMPT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    out = RS.run_to_table(RS.stream_attempts(stream), "source_path", "r1")
+    return out.select("source_path", "attempts_used", "iterations", "best_coverage", "last_report", "end_reason")
+
+
+@query("stream_dedupe")
+def q_stream_dedupe(spark, sf):
+    """Submits refused while a task is active, accepted after it completes."""
+    src = _staged_attempts(spark, sf, True)
+    stream = spark.readStream.schema(RS.ATTEMPT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    out = RS.run_to_table(RS.stream_attempts(stream), "source_path", "r3")
+    return out.select("source_path", "accepted", "refused", "tasks", "end_reason")
+
+
+@query("stream_code_files")
+def q_stream_code_files(spark, sf):
+    """R2: source files arriving as a stream -> metadata rows (same rows as X1)."""
+    corpus = C.corpus(spark, sf).select("path", "content")
+    d = RS._scratch(spark, "code-src")
+    corpus.repartition(4).write.parquet(d)
+    meta = RS.stream_code_files(spark, d, corpus.schema)
+    return meta.select(
+        "path", "module", _long(F.size("classes")).alias("n_classes"), _long(F.size("interfaces")).alias("n_interfaces"),
+        _long(F.size("functions")).alias("n_functions"), F.col("error").isNotNull().alias("broken"),
+    )
