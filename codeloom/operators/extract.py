@@ -330,8 +330,23 @@ def _arrow_mapper(fn, spark_schema: T.StructType):
     return run
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a Python-heavy stage at least one partition per core.
+
+    Small inputs (a few MB after AQE coalescing) can arrive as a single
+    partition, which would serialise the parser on one core.  Inputs that
+    are already wider (any real corpus: file splits of
+    ``spark.sql.files.maxPartitionBytes``) are left alone -- no extra
+    shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, "path")
+    return df
+
+
 def _as_corpus(corpus: DataFrame, path_col: str, content_col: str) -> DataFrame:
-    return corpus.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
+    return spread(corpus.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")))
 
 
 def extract_metadata(corpus: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import schemas as S
-from codeloom.functions.text import IDENT_CLASS, base_name, dir_of, ext_of, fields, join_path, trim_ws
+from codeloom.functions.text import IDENT_CLASS, WS_CLASS, base_name, dir_of, ext_of, fields, join_path, trim_ws
 
 CALL_RE = rf"(?<!{IDENT_CLASS})({IDENT_CLASS}++)\("
 METHOD_CALL_RE = rf"\.({IDENT_CLASS}++)\("
@@ -70,23 +70,23 @@ def import_rows(sources: DataFrame, mode: str = "token") -> DataFrame:
     mode="prefix": the reference's prefix test on the trimmed line.
     """
     lines = sources.select("source_file", "dir", "source_element", F.explode(F.split("body", "\n")).alias("line"))
-    t = trim_ws("line")
-    parts = fields("line")
+    # cheap pre-filter: only lines mentioning a keyword can produce rows
+    lines = lines.where(F.col("line").contains("import"))
+    lines = lines.select("source_file", "dir", "source_element", trim_ws("line").alias("t"))
+    lines = lines.select("*", F.when(F.col("t") == "", F.array().cast("array<string>")).otherwise(F.split("t", f"{WS_CLASS}+")).alias("parts"))
+    parts, t = F.col("parts"), F.col("t")
     n = F.size(parts)
     if mode == "prefix":
         is_from, is_import = t.startswith("from"), t.startswith("import")
     else:
-        is_from, is_import = parts[0] == "from", parts[0] == "import"
-    from_ok = is_from & (n >= 4) & (parts[2] == "import")
+        is_from, is_import = F.try_element_at(parts, F.lit(1)) == "from", F.try_element_at(parts, F.lit(1)) == "import"
+    from_ok = is_from & (n >= 4) & (F.try_element_at(parts, F.lit(3)) == "import")
+    keep = ["source_file", "dir", "source_element"]
     names = fields(F.regexp_replace(F.array_join(F.slice(parts, 4, 1 << 20), " "), ",", " "))
-    mods = F.transform(F.slice(parts, 2, 1 << 20), lambda x: F.regexp_replace(x, ",+$", ""))
-    rows = lines.select(
-        "source_file", "dir", "source_element",
-        F.when(from_ok, F.transform(names, lambda e: F.struct(parts[1].alias("module"), e.alias("target_element"))))
-        .when(is_import & (n >= 2), F.transform(mods, lambda x: F.struct(x.alias("module"), F.lit("").alias("target_element"))))
-        .alias("imports"),
-    )
-    return rows.where(F.col("imports").isNotNull()).select("source_file", "dir", "source_element", F.inline("imports"))
+    frm = lines.where(from_ok).select(*keep, F.try_element_at(parts, F.lit(2)).alias("module"), F.explode(names).alias("target_element"))
+    imp = lines.where(is_import & (n >= 2)).select(*keep, F.explode(F.slice(parts, 2, 1 << 20)).alias("m"))
+    imp = imp.select(*keep, F.regexp_replace("m", ",+$", "").alias("module"), F.lit("").alias("target_element"))
+    return frm.unionByName(imp)
 
 
 def resolve_imports(rows: DataFrame, file_paths: DataFrame) -> DataFrame:
