@@ -23,6 +23,11 @@ IDENT_CLASS = (
     r"\x{19DA}\x{2118}\x{212E}\x{309B}\x{309C}]"
 )
 
+# Characters that may start a Python identifier (letters, letter
+# numbers, underscore, Other_ID_Start).  Digits and marks cannot, so a suffix
+# starting with one can never be a function or class name.
+IDENT_START_CLASS = r"[\p{L}\p{Nl}_\x{1885}\x{1886}\x{2118}\x{212E}\x{309B}\x{309C}]"
+
 # Fixed text of the feedback prompt appended on retries.
 FEEDBACK_SENTENCE = "Your code need to be improved, the report is following:\n"
 CONTEXT_TAIL = "\nPlease analyze this code structure and provide insights or answer questions about it."
@@ -38,9 +43,14 @@ def trim_ws(c) -> Column:
 
 
 def fields(c) -> Column:
-    """Go strings.Fields: split on white-space runs, no empty fields."""
-    t = trim_ws(c)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"{WS_CLASS}+"))
+    """Go strings.Fields: split on white-space runs, no empty fields.
+
+    Runs are first collapsed to one space by ``regexp_replace`` (compiled
+    once per task) and then split on a single space: ``split`` with a
+    multi-character regex would recompile it for every row.
+    """
+    t = F.regexp_replace(trim_ws(c), f"{WS_CLASS}+", " ")
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
 def dir_of(c) -> Column:

@@ -71,7 +71,7 @@ def return_types(fn: ast.FunctionDef) -> list[str]:
             return t[6:-1].split(", ")
         return [t]
     found = set()
-    for sub in ast.walk(fn):
+    for sub in walk_statements(fn.body):
         if isinstance(sub, ast.Return) and sub.value is not None:
             if isinstance(sub.value, ast.Name):
                 found.add(sub.value.id)
@@ -80,6 +80,23 @@ def return_types(fn: ast.FunctionDef) -> list[str]:
     return sorted(found) if found else ["None"]
 
 
+# Statement blocks of compound statements, in declaration order.  Function
+# definitions and ``return`` are statements, so walking blocks (not every
+# expression node) finds all of them, in source pre-order.
+_BLOCK_FIELDS = frozenset(("body", "handlers", "orelse", "finalbody", "cases"))
+
+
+def walk_statements(stmts):
+    """Pre-order over statements at any depth (incl. nested defs, handlers, cases)."""
+    for st in stmts:
+        yield st
+        for f in st._fields:
+            if f in _BLOCK_FIELDS:
+                v = getattr(st, f, None)
+                if v:
+                    yield from walk_statements(v)
+
+
 def function_record(fn: ast.FunctionDef, lines: list[str]) -> dict:
     params = [{"name": a.arg, "type": type_text(a.annotation) if a.annotation is not None else "Any"} for a in fn.args.args]
     body = "\n".join(lines[fn.lineno : fn.end_lineno]).strip()
@@ -110,13 +127,21 @@ def class_record(cls: ast.ClassDef, lines: list[str]) -> dict:
     return {"name": cls.name, "fields": fields, "methods": methods}
 
 
-def parse_file(path: str, content) -> dict:
-    """One File record; a file that does not parse gives empty arrays + error."""
+def parse_file(path: str, content, with_paths: int | None = None) -> dict:
+    """One File record; a file that does not parse gives empty arrays + error.
+
+    With ``with_paths`` (a path cap), the same parse also yields the X10/C1
+    rows of every function under ``fpaths``.
+    """
     rec = {"path": path, "module": None, "classes": [], "interfaces": [], "functions": [], "error": None}
+    if with_paths is not None:
+        rec["fpaths"] = []
     try:
         text = content.decode("utf-8") if isinstance(content, (bytes, bytearray)) else content
         text = normalize_newlines(text)
         tree = ast.parse(text)
+        if with_paths is not None:
+            rec["fpaths"] = _function_paths(path, text, tree, with_paths)
         lines = text.split("\n")
         functions = [function_record(n, lines) for n in tree.body if isinstance(n, ast.FunctionDef)]
         classes, interfaces = [], []
@@ -196,11 +221,8 @@ class _Source:
 _FUNC_TYPES = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
-def _preorder_functions(node, out: list) -> None:
-    for child in ast.iter_child_nodes(node):
-        if isinstance(child, _FUNC_TYPES):
-            out.append(child)
-        _preorder_functions(child, out)
+def _preorder_functions(tree, out: list) -> None:
+    out.extend(st for st in walk_statements(tree.body) if isinstance(st, _FUNC_TYPES))
 
 
 def _label(kind: str, arm: str, text: str) -> tuple[str, str, str]:
@@ -257,6 +279,10 @@ def function_paths_of_file(path: str, content, cap: int) -> list[dict]:
         tree = ast.parse(text)
     except Exception:  # noqa: BLE001 - unparseable files have no functions
         return []
+    return _function_paths(path, text, tree, cap)
+
+
+def _function_paths(path: str, text: str, tree, cap: int) -> list[dict]:
     src = _Source(text)
     funcs: list = []
     _preorder_functions(tree, funcs)
@@ -339,6 +365,8 @@ def spread(df: DataFrame) -> DataFrame:
     ``spark.sql.files.maxPartitionBytes``) are left alone -- no extra
     shuffle at scale.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores, "path")
@@ -369,6 +397,25 @@ def extract_function_paths(corpus: DataFrame, cap: int = 10_000, path_col: str =
     )
 
 
+_COMBINED = T.StructType(list(_RAW_META.fields) + [T.StructField("fpaths", T.ArrayType(FUNCTION_PATHS))])
+
+
+def extract_corpus(corpus: DataFrame, cap: int = 10_000, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """X1 + X10 + C1 from a single parse per file: File record plus ``fpaths``."""
+    mapped = _as_corpus(corpus, path_col, content_col).mapInArrow(
+        _arrow_mapper(lambda p, c: [parse_file(p, c, cap)], _COMBINED), _COMBINED
+    )
+    return mapped.withColumn("module", module_name("path")).select(*[f.name for f in S.FILE_META.fields], "fpaths")
+
+
+def meta_of(combined: DataFrame) -> DataFrame:
+    return combined.select(*[f.name for f in S.FILE_META.fields])
+
+
+def function_paths_of(combined: DataFrame) -> DataFrame:
+    return combined.select(F.inline("fpaths"))
+
+
 def all_functions(function_paths: DataFrame) -> DataFrame:
     """Every function at any depth, pre-order: name, parameter and return text."""
     return function_paths.select("path", "func_no", "name", "params_text", "returns_text")

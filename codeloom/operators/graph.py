@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import schemas as S
-from codeloom.functions.text import IDENT_CLASS, WS_CLASS, base_name, dir_of, ext_of, fields, join_path, trim_ws
+from codeloom.functions.text import IDENT_CLASS, IDENT_START_CLASS, WS_CLASS, base_name, dir_of, ext_of, fields, join_path, trim_ws
 
 CALL_RE = rf"(?<!{IDENT_CLASS})({IDENT_CLASS}++)\("
 METHOD_CALL_RE = rf"\.({IDENT_CLASS}++)\("
@@ -39,18 +39,27 @@ def analysis_sources(meta: DataFrame) -> DataFrame:
     """Bodies analysed per file: top-level functions, then methods of classes.
 
     Columns: source_file, dir, elem_kind, elem_no, source_element, body.
+    One scan of ``meta``: both kinds are built into one array and exploded.
     """
     m = _python(meta)
-    fns = m.select("path", F.posexplode("functions").alias("i", "f")).select(
-        F.col("path").alias("source_file"), F.lit("function").alias("elem_kind"), F.col("i").cast("long").alias("elem_no"),
-        F.col("f.name").alias("source_element"), F.col("f.body").alias("body"),
-    )
-    cls = m.select("path", F.posexplode("classes").alias("ci", "c"))
-    mth = cls.select("path", "ci", F.posexplode("c.methods").alias("mi", "m")).select(
-        F.col("path").alias("source_file"), F.lit("method").alias("elem_kind"), (F.col("ci") * 100000 + F.col("mi")).cast("long").alias("elem_no"),
-        F.col("m.function.name").alias("source_element"), F.col("m.function.body").alias("body"),
+    fns = F.transform(
+        "functions",
+        lambda f, i: F.struct(F.lit("function").alias("elem_kind"), i.cast("long").alias("elem_no"), f["name"].alias("source_element"), f["body"].alias("body")),
+    )
+    mths = F.flatten(
+        F.transform(
+            "classes",
+            lambda c, ci: F.transform(
+                c["methods"],
+                lambda mm, mi: F.struct(
+                    F.lit("method").alias("elem_kind"), (ci * 100000 + mi).cast("long").alias("elem_no"),
+                    mm["function"]["name"].alias("source_element"), mm["function"]["body"].alias("body"),
+                ),
+            ),
+        )
     )
-    return fns.unionByName(mth).withColumn("dir", dir_of("source_file"))
+    out = m.select(F.col("path").alias("source_file"), F.inline_outer(F.concat(fns, mths))).where(F.col("elem_kind").isNotNull())
+    return out.withColumn("dir", dir_of("source_file"))
 
 
 def _edge(df: DataFrame, kind: str, weight: float) -> DataFrame:
@@ -69,11 +78,11 @@ def import_rows(sources: DataFrame, mode: str = "token") -> DataFrame:
     mode="token": the first field must be exactly ``from`` / ``import``.
     mode="prefix": the reference's prefix test on the trimmed line.
     """
-    lines = sources.select("source_file", "dir", "source_element", F.explode(F.split("body", "\n")).alias("line"))
+    lines = sources.select("source_file", "dir", "source_element", F.explode_outer(F.split("body", "\n")).alias("line"))
     # cheap pre-filter: only lines mentioning a keyword can produce rows
     lines = lines.where(F.col("line").contains("import"))
     lines = lines.select("source_file", "dir", "source_element", trim_ws("line").alias("t"))
-    lines = lines.select("*", F.when(F.col("t") == "", F.array().cast("array<string>")).otherwise(F.split("t", f"{WS_CLASS}+")).alias("parts"))
+    lines = lines.select("*", fields("t").alias("parts"))
     parts, t = F.col("parts"), F.col("t")
     n = F.size(parts)
     if mode == "prefix":
@@ -81,20 +90,45 @@ def import_rows(sources: DataFrame, mode: str = "token") -> DataFrame:
     else:
         is_from, is_import = F.try_element_at(parts, F.lit(1)) == "from", F.try_element_at(parts, F.lit(1)) == "import"
     from_ok = is_from & (n >= 4) & (F.try_element_at(parts, F.lit(3)) == "import")
-    keep = ["source_file", "dir", "source_element"]
     names = fields(F.regexp_replace(F.array_join(F.slice(parts, 4, 1 << 20), " "), ",", " "))
-    frm = lines.where(from_ok).select(*keep, F.try_element_at(parts, F.lit(2)).alias("module"), F.explode(names).alias("target_element"))
-    imp = lines.where(is_import & (n >= 2)).select(*keep, F.explode(F.slice(parts, 2, 1 << 20)).alias("m"))
-    imp = imp.select(*keep, F.regexp_replace("m", ",+$", "").alias("module"), F.lit("").alias("target_element"))
-    return frm.unionByName(imp)
+    module = F.try_element_at(parts, F.lit(2))
+    mods = F.transform(F.slice(parts, 2, 1 << 20), lambda x: F.regexp_replace(x, ",+$", ""))
+    # one pass over the lines: each line yields an array of (module, element) rows
+    rows = lines.select(
+        "source_file", "dir", "source_element",
+        F.when(from_ok, F.transform(names, lambda e: F.struct(module.alias("module"), e.alias("target_element"))))
+        .when(is_import & (n >= 2), F.transform(mods, lambda x: F.struct(x.alias("module"), F.lit("").alias("target_element"))))
+        .alias("imports"),
+    )
+    # Generators over expensive expressions use the *_outer form plus a null check on
+    # the output: for explode / inline the optimizer infers `size(expr) > 0` and
+    # pushes it below the projection, evaluating every regex and lambda twice.
+    return rows.select("source_file", "dir", "source_element", F.inline_outer("imports")).where(F.col("module").isNotNull())
 
 
-def resolve_imports(rows: DataFrame, file_paths: DataFrame) -> DataFrame:
-    """Module -> ``<dir>/m.py`` if that file exists, else ``<parent>/m.py``, else ``m.py``.
+def resolve_modules(pairs: DataFrame, file_paths: DataFrame) -> DataFrame:
+    """J1 on distinct (dir, module): ``<dir>/m.py`` if it exists, else ``<parent>/m.py``, else ``m.py``.
 
     Existence is a join hit against the corpus path set (two left equi-joins).
     """
     name = F.concat(F.col("module"), F.lit(".py"))
+    cand = pairs.withColumn("c1", join_path("dir", name)).withColumn("c2", join_path(dir_of("dir"), name)).withColumn("c0", name)
+    known = file_paths.select(F.col("path").alias("k")).distinct()
+    k1 = known.select(F.col("k").alias("c1"), F.lit(True).alias("h1"))
+    k2 = known.select(F.col("k").alias("c2"), F.lit(True).alias("h2"))
+    res = cand.join(k1, "c1", "left").join(k2, "c2", "left")
+    target = F.when(F.col("h1"), F.col("c1")).when(F.col("h2"), F.col("c2")).otherwise(F.col("c0"))
+    return res.select("dir", "module", target.alias("target_file"))
+
+
+def resolve_imports(rows: DataFrame, file_paths: DataFrame) -> DataFrame:
+    """Resolve each import row's module to a target file (two left equi-joins).
+
+    The rows are joined directly: a distinct (dir, module) pre-pass would
+    need a second evaluation of the row pipeline; :func:`resolve_modules`
+    serves callers that already hold distinct pairs.
+    """
+    name = F.concat(F.col("module"), F.lit(".py"))
     cand = rows.withColumn("c1", join_path("dir", name)).withColumn("c2", join_path(dir_of("dir"), name)).withColumn("c0", name)
     known = file_paths.select(F.col("path").alias("k")).distinct()
     k1 = known.select(F.col("k").alias("c1"), F.lit(True).alias("h1"))
@@ -114,11 +148,14 @@ def import_edges(meta: DataFrame, file_paths: DataFrame, mode: str = "token") ->
 
 
 def call_names(body) -> F.Column:
-    """All names ``n`` such that ``n(`` occurs in ``body`` (suffixes of call runs)."""
+    """All identifier-shaped names ``n`` such that ``n(`` occurs in ``body``.
+
+    Every suffix of the identifier run in front of a ``(``, except those
+    starting with a character that cannot start an identifier.
+    """
     runs = F.regexp_extract_all(body, F.lit(CALL_RE), 1)
-    return F.array_distinct(
-        F.flatten(F.transform(F.array_distinct(runs), lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substring(r, i, 1 << 20))))
-    )
+    sufs = F.flatten(F.transform(F.array_distinct(runs), lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substring(r, i, 1 << 20))))
+    return F.array_distinct(F.filter(sufs, lambda x: x.rlike(f"^{IDENT_START_CLASS}")))
 
 
 def method_call_names(body) -> F.Column:
@@ -129,24 +166,23 @@ def method_call_names(body) -> F.Column:
 def path_substrings(path) -> F.Column:
     """Every substring of every identifier run of ``path`` (candidate class names)."""
     runs = F.array_distinct(F.regexp_extract_all(path, F.lit(IDENT_RUN_RE), 1))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                runs,
-                lambda r: F.flatten(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length(r)),
-                        lambda i: F.transform(F.sequence(i, F.length(r)), lambda j: F.substring(r, i, j - i + 1)),
-                    )
-                ),
-            )
+    subs = F.flatten(
+        F.transform(
+            runs,
+            lambda r: F.flatten(
+                F.transform(
+                    F.sequence(F.lit(1), F.length(r)),
+                    lambda i: F.transform(F.sequence(i, F.length(r)), lambda j: F.substring(r, i, j - i + 1)),
+                )
+            ),
         )
     )
+    return F.array_distinct(F.filter(subs, lambda x: x.rlike(f"^{IDENT_START_CLASS}")))
 
 
 def uses_function_edges(meta: DataFrame) -> DataFrame:
     """Body contains ``fn(`` for a top-level function of another file in the same directory."""
-    src = analysis_sources(meta).select("source_file", "dir", "elem_kind", "elem_no", "source_element", F.explode(call_names("body")).alias("name"))
+    src = analysis_sources(meta).select("source_file", "dir", "source_element", F.explode_outer(call_names("body")).alias("name")).where(F.col("name").isNotNull())
     tgt = _python(meta).select(F.col("path").alias("target_file"), F.explode("functions.name").alias("name")).withColumn("dir", dir_of("target_file"))
     j = src.join(tgt, ["dir", "name"]).where(F.col("source_file") != F.col("target_file"))
     return _edge(j.withColumn("target_element", F.col("name")), "uses", S.WEIGHT_USES)
@@ -154,7 +190,7 @@ def uses_function_edges(meta: DataFrame) -> DataFrame:
 
 def uses_method_edges(meta: DataFrame) -> DataFrame:
     """Body contains ``.m(`` (or ``C.m(``) for a method m of a class of another file in the directory."""
-    src = analysis_sources(meta).select("source_file", "dir", "elem_kind", "elem_no", "source_element", F.explode(method_call_names("body")).alias("name"))
+    src = analysis_sources(meta).select("source_file", "dir", "source_element", F.explode_outer(method_call_names("body")).alias("name")).where(F.col("name").isNotNull())
     cls = _python(meta).select(F.col("path").alias("target_file"), F.explode("classes").alias("c"))
     tgt = cls.select("target_file", F.col("c.name").alias("class_name"), F.explode("c.methods.function.name").alias("name")).withColumn(
         "dir", dir_of("target_file")
@@ -166,7 +202,7 @@ def uses_method_edges(meta: DataFrame) -> DataFrame:
 def extends_edges(meta: DataFrame) -> DataFrame:
     """The source *path* contains the name of another class of the same directory."""
     py = _python(meta)
-    src_files = py.where(F.size("classes") > 0).select(F.col("path").alias("source_file"), F.explode(path_substrings(F.col("path"))).alias("name"))
+    src_files = py.where(F.size("classes") > 0).select(F.col("path").alias("source_file"), F.explode_outer(path_substrings(F.col("path"))).alias("name")).where(F.col("name").isNotNull())
     src_files = src_files.withColumn("dir", dir_of("source_file"))
     tgt = py.select(F.col("path").alias("target_file"), F.explode("classes.name").alias("name")).withColumn("dir", dir_of("target_file"))
     hits = src_files.join(tgt, ["dir", "name"]).where(F.col("source_file") != F.col("target_file"))
@@ -253,11 +289,11 @@ def module_rollup(paths: DataFrame) -> DataFrame:
     pre = p.select(
         "path",
         n.alias("n"),
-        F.posexplode(F.transform(_range(1, n - 1), lambda k: F.array_join(F.slice(F.col("parts"), 1, k), "/"))).alias("i", "module_path"),
-    )
+        F.posexplode_outer(F.transform(_range(1, n - 1), lambda k: F.array_join(F.slice(F.col("parts"), 1, k), "/"))).alias("i", "module_path"),
+    ).where(F.col("module_path").isNotNull())
     # sub-modules of module at depth i+1: the distinct prefixes strictly between it and the file
     subs = p.select(
-        F.explode(
+        F.explode_outer(
             F.transform(
                 _range(2, n - 1),
                 lambda k: F.struct(
@@ -266,7 +302,7 @@ def module_rollup(paths: DataFrame) -> DataFrame:
                 ),
             )
         ).alias("s")
-    ).where(F.size("s.ancestors") > 0)
+    ).where(F.col("s").isNotNull() & (F.size("s.ancestors") > 0))
     sub_rows = subs.select(F.col("s.sub").alias("sub"), F.explode("s.ancestors").alias("module_path")).where(F.col("sub").isNotNull()).distinct()
     sub_counts = sub_rows.groupBy("module_path").agg(F.count(F.lit(1)).alias("n_submodules"))
     files = pre.groupBy("module_path").agg(

@@ -9,6 +9,8 @@ executor re-reads checkpoint files instead of re-parsing.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.operators import extract, graph
@@ -19,9 +21,16 @@ _CACHE: dict[tuple, DataFrame] = {}
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one) into the shared checkpoint dir."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing a parquet table into the shared checkpoint dir.
+
+    A written table (not a local checkpoint) survives executor loss, is
+    columnar -- later readers prune columns and nested fields -- and
+    keeps the partitioning of the writer.
+    """
+    spark = df.sparkSession
+    out = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return spark.read.parquet(out)
 
 
 def _memo(spark: SparkSession, sf_dir: str, key: str, build) -> DataFrame:
@@ -39,12 +48,17 @@ def code_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.code_rows(spark, sf_dir)
 
 
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One parse per file: File record + per-function paths, written once."""
+    return _memo(spark, sf_dir, "parsed", lambda: materialize(extract.extract_corpus(corpus(spark, sf_dir))))
+
+
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "meta", lambda: materialize(extract.extract_metadata(corpus(spark, sf_dir))))
+    return extract.meta_of(parsed(spark, sf_dir))
 
 
 def function_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "fpaths", lambda: materialize(extract.extract_function_paths(corpus(spark, sf_dir))))
+    return extract.function_paths_of(parsed(spark, sf_dir))
 
 
 def file_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
