@@ -152,3 +152,15 @@ def apply_changes(table: DataFrame, changes: DataFrame, key: str, order: Column
 def to_document(df: DataFrame, key: str, doc: Column) -> DataFrame:
     """Record -> nested JSON document text."""
     return df.select(key, F.to_json(doc).alias("doc"))
+
+
+def create_class(spark, name: str, schema, location: str | None = None) -> None:
+    """Register an object class as a parquet table (``CREATE TABLE ... USING parquet``)."""
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    loc = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{loc}")
+
+
+def class_schema(spark, name: str):
+    """Read one class's schema back (name, type) from the catalog."""
+    return [(c.name, c.dataType) for c in spark.catalog.listColumns(name)]

@@ -571,3 +571,27 @@ SELECT conv_id, turn, CASE WHEN length(test_code) % 7 = 0 THEN NULL ELSE (length
 
 ORACLE["stream_attempts"] = ORACLE["attempt_loop"]
 ORACLE["stream_code_files"] = ORACLE["py_metadata"]
+
+# --------------------------------------------------------------------------- sinks, J1
+
+ORACLE["json_round_trip"] = with_f1(r"""
+SELECT path, replace(regexp_replace(path, '\.py$', ''), '/', '.') AS module,
+  CAST(CASE WHEN ok AND p_size % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_classes,
+  CAST(CASE WHEN ok AND p_size % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_interfaces,
+  CAST(CASE WHEN ok THEN nf ELSE 0 END AS BIGINT) AS n_functions
+FROM files
+""")
+ORACLE["write_outputs"] = ORACLE["test_path"]
+ORACLE["resolve_imports"] = with_f1(r"""
+SELECT DISTINCT dir, CASE WHEN q >= 0 THEN concat('mod_', q) ELSE 'ext_lib' END AS module,
+  CASE WHEN q >= 0 THEN concat(dir, '/mod_', q, '.py') ELSE 'ext_lib.py' END AS target_file
+FROM fnb
+""")
+
+ORACLE["java_metadata"] = r"""
+SELECT concat('jrepo/nation_', s_nationkey, '/S', s_suppkey, '.java') AS path, concat('nation_', s_nationkey) AS module,
+  concat('S', s_suppkey) AS class_name, 'id:int,size:int,name:String' AS fields,
+  concat('m', s_suppkey, '(int a,String b)->int') AS methods, '{ return a; }' AS bodies,
+  concat('I', s_suppkey) AS iface_name, 'go(int x)->void' AS iface_methods
+FROM supplier
+"""

@@ -751,3 +751,60 @@ def q_stream_code_files(spark, sf):
         "path", "module", _long(F.size("classes")).alias("n_classes"), _long(F.size("interfaces")).alias("n_interfaces"),
         _long(F.size("functions")).alias("n_functions"), F.col("error").isNotNull().alias("broken"),
     )
+
+
+# --------------------------------------------------------------------------- sinks and sources (S3-S5), J1 on its own
+
+
+def _scratch_dir(spark, name: str) -> str:
+    import uuid
+
+    from codeloom.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("json_round_trip")
+def q_json_round_trip(spark, sf):
+    """S5 then S4: File records saved as JSON documents and loaded back with the fixed schema."""
+    out = _scratch_dir(spark, "meta-json")
+    SRC.save_metadata_json(C.meta(spark, sf), out)
+    back = SRC.load_metadata_json(spark, out)
+    return back.select(
+        "path", "module", _long(F.size("classes")).alias("n_classes"), _long(F.size("interfaces")).alias("n_interfaces"),
+        _long(F.size("functions")).alias("n_functions"),
+    )
+
+
+@query("write_outputs")
+def q_write_outputs(spark, sf):
+    """S3: test-path table written partitioned by language, read back."""
+    out = _scratch_dir(spark, "outputs")
+    rows = q_test_path(spark, sf).withColumn("analyzer", TX.analyzer_lang("path"))
+    SRC.write_outputs(rows, out, partition_by="analyzer")
+    return spark.read.parquet(out).select("path", "code_type", "test_path")
+
+
+@query("resolve_imports")
+def q_resolve_imports(spark, sf):
+    """Distinct (directory, module) pairs of import lines resolved to files."""
+    rows = G.import_rows(G.analysis_sources(C.meta(spark, sf)))
+    return G.resolve_modules(rows.select("dir", "module").distinct(), C.file_paths(spark, sf))
+
+
+@query("java_metadata")
+def q_java_metadata(spark, sf):
+    """X11: Java declarations (package, classes with fields / methods, interfaces)."""
+    from codeloom.operators.java_extract import extract_java
+
+    m = extract_java(FX.java_corpus(spark, sf))
+    sig = lambda f: F.concat(f["name"], F.lit("("), F.array_join(F.transform(f["parameters"], lambda p: F.concat(p["type"], F.lit(" "), p["name"])), ","), F.lit(")->"), F.array_join(f["return_types"], "|"))
+    c = F.try_element_at("classes", F.lit(1))
+    i = F.try_element_at("interfaces", F.lit(1))
+    return m.select(
+        "path", "module", c["name"].alias("class_name"),
+        F.array_join(F.transform(c["fields"], lambda f: F.concat(f["name"], F.lit(":"), f["type"])), ",").alias("fields"),
+        F.array_join(F.transform(c["methods"], lambda mm: sig(mm["function"])), ";").alias("methods"),
+        F.array_join(F.transform(c["methods"], lambda mm: mm["function"]["body"]), ";").alias("bodies"),
+        i["name"].alias("iface_name"), F.array_join(F.transform(i["methods"], sig), ";").alias("iface_methods"),
+    )

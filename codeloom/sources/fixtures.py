@@ -104,3 +104,20 @@ def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     stripped = F.regexp_replace(F.regexp_replace(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[?#].*$", "")
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(stripped, "/+$", "").alias("path"))
+
+
+def java_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one Java file per supplier: ``jrepo/nation_<n>/S<s>.java``.
+
+    Package ``nation_<n>``; class ``S<s>`` with fields ``id, size`` (one
+    declaration), ``name`` (initializer containing a brace), a constructor
+    (must be ignored), method ``m<s>``; a comment with braces; interface
+    ``I<s>`` with one abstract method.
+    """
+    s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("s"), F.col("s_nationkey").cast("string").alias("n"))
+    content = F.concat(
+        F.lit("package nation_"), "n", F.lit(";\n\n// helper { not a brace }\n/* block } comment */\npublic class S"), "s", F.lit(" {\n"),
+        F.lit("    private int id, size;\n    String name = \"x{\";\n    public S"), "s", F.lit("(int id) { this.id = id; }\n"),
+        F.lit("    int m"), "s", F.lit("(int a, String b) { return a; }\n}\n\ninterface I"), "s", F.lit(" {\n    void go(int x);\n}\n"),
+    )
+    return s.select(F.concat(F.lit("jrepo/nation_"), "n", F.lit("/S"), "s", F.lit(".java")).alias("path"), content.alias("content"))

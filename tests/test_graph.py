@@ -16,7 +16,7 @@ def _rand_body(rng, n):
 def test_call_names_equal_brute_force_contains(spark):
     rng = random.Random(7)
     bodies = [_rand_body(rng, rng.randint(0, 40)) for _ in range(300)]
-    names = sorted({"a", "b", "ab", "_a", "a1", "x", "é", "ßx", "bé", "a_b", "1", "xa"})
+    names = sorted({"a", "b", "ab", "_a", "a1", "x", "é", "ßx", "bé", "a_b", "xa"})  # valid identifiers only
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
     got = {r["i"]: set(r["n"]) for r in df.select("i", G.call_names(F.col("body")).alias("n")).collect()}
     gotm = {r["i"]: set(r["n"]) for r in df.select("i", G.method_call_names(F.col("body")).alias("n")).collect()}
