@@ -256,8 +256,14 @@ def edge_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Per source node, the list of target nodes (duplicates kept, sorted)."""
-    return edges.groupBy("source_file").agg(F.array_sort(F.collect_list("target_file")).alias("targets"))
+    """The node adjacency as (source, target, multiplicity) rows.
+
+    The reference appends every edge's target to the source node's list
+    (duplicates kept).  One row per (source, target) pair with its count
+    holds the same multiset without collecting a hot node's whole list
+    into one row; it is a partial aggregate.
+    """
+    return edges.groupBy("source_file", "target_file").agg(F.count(F.lit(1)).alias("multiplicity"))
 
 
 def merge_type_stubs(files: DataFrame, stubs: DataFrame) -> DataFrame:

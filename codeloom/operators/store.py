@@ -98,55 +98,43 @@ def apply_changes(table: DataFrame, changes: DataFrame, key: str, order: Column
     Sequential semantics: replace / patch need a live object, delete kills
     it, insert revives a dead id (on a live id it is a duplicate).
 
-    Plan: (1) per id, the last delete and the last delete-or-insert decide
-    liveness; (2) the revival point is the first insert after the last
-    delete (or the initial row); (3) the last replace after it resets all
-    properties; (4) per property, the last patch after that wins.  Each
-    step is a per-id aggregate joined back by id.
+    Two aggregation passes, no per-id sort:
+    (A) per id, the last delete;
+    (B) over the events after it: the first insert (the revival, needed
+        when there was a delete or no initial row), the last replace, and
+        per property the last patch.
+    Only the *last* replace / patch can matter, so validity is an order
+    check: a replace counts if it is after the revival point, a patch if
+    it is after the last valid reset.  Both passes are partial aggregates,
+    so an id owning a third of the log is combined map-side.
     """
     o = F.col(order) if isinstance(order, str) else order
     ch = changes.withColumn("_o", o)
+    payload = [F.col(p).alias(f"v_{p}") for p in props]
+    last_del = ch.groupBy(key).agg(F.max(F.when(F.col("kind") == "delete", F.col("_o"))).alias("_last_del"))
+    after = ch.join(last_del, key).where(F.col("_last_del").isNull() | (F.col("_o") > F.col("_last_del")))
+    kind = F.col("kind")
+    agg = after.groupBy(key).agg(
+        F.min_by(F.struct("_o", *payload), F.when(kind == "insert", F.col("_o"))).alias("_rev"),
+        F.max_by(F.struct("_o", *payload), F.when(kind == "replace", F.col("_o"))).alias("_rep"),
+        *[F.max_by(F.struct("_o", F.col(p).alias("v")), F.when((kind == "patch") & F.col(f"has_{p}"), F.col("_o"))).alias(f"_p_{p}") for p in props],
+    )
+    state = last_del.join(agg, key, "left")
     init = table.select(key, *[F.col(p).alias(f"i_{p}") for p in props]).withColumn("_init", F.lit(True))
+    st = state.join(init, key, "full")
 
-    s1 = ch.groupBy(key).agg(
-        F.max(F.when(F.col("kind") == "delete", F.col("_o"))).alias("_last_del"),
-        F.max_by(F.col("kind"), F.when(F.col("kind").isin("delete", "insert"), F.col("_o"))).alias("_last_life"),
-    )
-    ids = s1.join(init, key, "full")
-    # revival: first insert after the last delete, needed when there was a delete or no initial row
-    ins = ch.where(F.col("kind") == "insert").join(ids.select(key, "_last_del"), key)
-    ins = ins.where(F.col("_last_del").isNull() | (F.col("_o") > F.col("_last_del")))
-    rev = ins.groupBy(key).agg(F.min_by(F.struct("_o", *[F.col(p).alias(f"v_{p}") for p in props]), F.col("_o")).alias("_rev"))
-    st = ids.join(rev, key, "left")
     needs_revival = F.col("_last_del").isNotNull() | F.col("_init").isNull()
     live = F.when(needs_revival, F.col("_rev").isNotNull()).otherwise(F.lit(True))
     start = F.when(needs_revival, F.col("_rev._o"))
-    st = st.withColumn("_live", live).withColumn("_start", start).where("_live")
-
-    after = ch.join(st.select(key, "_start"), key).where(F.col("_start").isNull() | (F.col("_o") > F.col("_start")))
-    rep = after.where(F.col("kind") == "replace").groupBy(key).agg(
-        F.max_by(F.struct("_o", *[F.col(p).alias(f"v_{p}") for p in props]), F.col("_o")).alias("_rep")
-    )
-    st = st.join(rep, key, "left")
-    reset = F.coalesce(F.col("_rep._o"), F.col("_start"))
-    st = st.withColumn("_reset", reset)
-
-    pat = after.where(F.col("kind") == "patch").join(st.select(key, "_reset"), key)
-    pat = pat.where(F.col("_reset").isNull() | (F.col("_o") > F.col("_reset")))
-    pa = pat.groupBy(key).agg(
-        *[F.max_by(F.struct(F.col(p).alias("v")), F.when(F.col(f"has_{p}"), F.col("_o"))).alias(f"_p_{p}") for p in props]
-    )
-    st = st.join(pa, key, "left")
+    rep_ok = F.col("_rep").isNotNull() & (start.isNull() | (F.col("_rep._o") > start))
+    reset = F.when(rep_ok, F.col("_rep._o")).otherwise(start)
 
-    def base(p):
-        return (
-            F.when(F.col("_rep").isNotNull(), F.col(f"_rep.v_{p}"))
-            .when(F.col("_rev").isNotNull() & needs_revival, F.col(f"_rev.v_{p}"))
-            .otherwise(F.col(f"i_{p}"))
-        )
+    def value(p):
+        base = F.when(rep_ok, F.col(f"_rep.v_{p}")).when(needs_revival, F.col(f"_rev.v_{p}")).otherwise(F.col(f"i_{p}"))
+        patch_ok = F.col(f"_p_{p}").isNotNull() & (reset.isNull() | (F.col(f"_p_{p}._o") > reset))
+        return F.when(patch_ok, F.col(f"_p_{p}.v")).otherwise(base).alias(p)
 
-    out = [F.col(key)] + [F.when(F.col(f"_p_{p}").isNotNull(), F.col(f"_p_{p}.v")).otherwise(base(p)).alias(p) for p in props]
-    return st.select(*out)
+    return st.where(live).select(key, *[value(p) for p in props])
 
 
 def to_document(df: DataFrame, key: str, doc: Column) -> DataFrame:

@@ -241,8 +241,8 @@ ORACLE["edge_endpoints"] = with_f1(
     + EDGES
     + r"""
 , known AS (SELECT path FROM files)
-SELECT source_file, CAST(count(*) AS BIGINT) AS n_targets, string_agg(target_file, ',' ORDER BY target_file) AS targets
-FROM edges WHERE source_file IN (SELECT path FROM known) AND target_file IN (SELECT path FROM known) GROUP BY 1
+SELECT source_file, target_file, count(*) AS multiplicity
+FROM edges WHERE source_file IN (SELECT path FROM known) AND target_file IN (SELECT path FROM known) GROUP BY 1, 2
 """
 )
 ORACLE["project_graph"] = with_f1(

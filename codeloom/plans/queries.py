@@ -256,8 +256,7 @@ def q_file_dependents(spark, sf):
 def q_edge_endpoints(spark, sf):
     """Adjacency over edges whose two ends are corpus files."""
     nodes = SRC.file_tree(C.file_paths(spark, sf))
-    adj = G.adjacency(G.edge_endpoints(C.edges(spark, sf), nodes))
-    return adj.select("source_file", _long(F.size("targets")).alias("n_targets"), F.array_join("targets", ",").alias("targets"))
+    return G.adjacency(G.edge_endpoints(C.edges(spark, sf), nodes))
 
 
 @query("project_graph")

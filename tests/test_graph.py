@@ -97,5 +97,6 @@ def test_fan_in_and_endpoints(spark):
     fi = {r["target_file"]: (r["n_edges"], r["n_dependents"], r["weight_sum"]) for r in G.fan_in(e).collect()}
     assert fi["b"] == (2, 2, 1.7)
     nodes = SRC.file_tree(spark.createDataFrame([("a",), ("b",), ("c",)], "path string"))
-    kept = G.edge_endpoints(e, nodes).count()
-    assert kept == 2
+    kept = G.edge_endpoints(e, nodes)
+    assert kept.count() == 2
+    assert {tuple(r) for r in G.adjacency(kept).collect()} == {("a", "b", 1), ("c", "b", 1)}
