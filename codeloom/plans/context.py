@@ -1,10 +1,10 @@
 """Shared, materialized intermediate tables for the registered queries.
 
 The parsed corpus is the expensive part (Python ``ast`` in tasks).  It is
-computed once per (session, data directory) and cut from its lineage with
-a reliable ``checkpoint()`` into the shared ``spark.checkpoint.dir``, so
-the several joins that read it do not re-run the parser, and a lost
-executor re-reads checkpoint files instead of re-parsing.
+computed once per (session, data directory) and written as a parquet table
+into the shared ``spark.checkpoint.dir``: the several joins that read it
+do not re-run the parser, a lost executor re-reads table files instead of
+re-parsing, and readers prune columns and nested fields.
 """
 
 from __future__ import annotations
