@@ -595,3 +595,45 @@ SELECT concat('jrepo/nation_', s_nationkey, '/S', s_suppkey, '.java') AS path, c
   concat('I', s_suppkey) AS iface_name, 'go(int x)->void' AS iface_methods
 FROM supplier
 """
+
+# --------------------------------------------------------------------------- T8 / N3 from row-derived sizes
+
+FN_TEXT = r"""concat('def f_', p, '_', sk, '(qty: int, price: float)', CASE sk % 3 WHEN 1 THEN ' -> float' WHEN 2 THEN '' ELSE ' -> Union[int, str]' END, ':', chr(10),
+  CASE WHEN q >= 0 THEN concat('    from mod_', q, ' import f_', q, '_', qs, chr(10), '    obj.m_', q, '(qty)', chr(10)) ELSE concat('    import ext_lib', chr(10)) END,
+  '    if qty > ', p_size, ':', chr(10),
+  CASE WHEN q >= 0 THEN concat('        return f_', q, '_', qs, '(qty, price)', chr(10)) ELSE concat('        return ext_lib.run(qty)', chr(10)) END,
+  '    else:', chr(10), '        return price', chr(10), chr(10))"""
+
+SYM_TEMPLATE_SQL = "concat('Generate unit tests for {file_name}.', chr(10), 'Path constraints:', chr(10), '{path_constraints}', chr(10), 'Source:', chr(10), '{code}', chr(10))"
+
+SIZES = (
+    r"""
+, fx AS (SELECT p, sum(length(""" + FN_TEXT + r""")) AS fn_len, sum(length(""" + FN_TEXT + r""") - length(replace(""" + FN_TEXT + r""", chr(10), ''))) AS fn_nl
+         FROM fr GROUP BY p),
+cs AS (SELECT f.path, f.dir, f.p,
+         CASE WHEN f.p % 17 = 0 THEN 13 ELSE 0 END + 62 + fx.fn_len
+           + CASE WHEN f.p_size % 3 = 0 THEN length(concat('class mod_', f.p, ':', chr(10), '    brand: str', chr(10), '    size: int', chr(10), chr(10), '    def m_', f.p, '(self, x: int) -> int:', chr(10), '        return x', chr(10), chr(10))) ELSE 0 END
+           + CASE WHEN f.p_size % 7 = 0 THEN length(concat('class I_', f.p, '(ABC):', chr(10), '    @abstractmethod', chr(10), '    def go(self, x: int) -> str:', chr(10), '        pass', chr(10))) ELSE 0 END AS content_len,
+         CASE WHEN f.p % 17 = 0 THEN 1 ELSE 0 END + 3 + fx.fn_nl + CASE WHEN f.p_size % 3 = 0 THEN 7 ELSE 0 END + CASE WHEN f.p_size % 7 = 0 THEN 4 ELSE 0 END AS content_nl
+       FROM files f JOIN fx ON f.p = fx.p),
+dsc AS (SELECT path, func_no, name, concat('Testcase 1 for ', name, '(qty: int, price: float)',
+          CASE sk % 3 WHEN 1 THEN ' -> float' WHEN 2 THEN '' ELSE ' -> Union[int, str]' END, ':', chr(10),
+          'test case where qty > ', p_size, ',', chr(10),
+          'returns ''', CASE WHEN q >= 0 THEN concat('f_', q, '_', qs, '(qty, price)') ELSE 'ext_lib.run(qty)' END, '''') AS constraints FROM fnb
+        UNION ALL SELECT f.path, CAST(f.nf AS BIGINT), concat('m_', f.p), '' FROM files f WHERE ok AND p_size % 3 = 0
+        UNION ALL SELECT f.path, CAST(f.nf + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS BIGINT), 'go', '' FROM files f WHERE ok AND p_size % 7 = 0),
+sz AS (SELECT d.path, d.func_no, d.name, cs.dir, cs.p,
+         CAST(length(""" + SYM_TEMPLATE_SQL + r""") - 35 + length(d.constraints) + cs.content_len + length(d.path) AS BIGINT) AS n_chars,
+         CAST(6 + length(d.constraints) - length(replace(d.constraints, chr(10), '')) + cs.content_nl AS BIGINT) AS n_lines
+       FROM dsc d JOIN cs ON d.path = cs.path)
+"""
+)
+ORACLE["sym_prompt"] = with_f1(SIZES + "SELECT path, func_no, n_chars, n_lines FROM sz")
+ORACLE["sym_pipeline"] = with_f1(
+    SIZES
+    + r"""
+SELECT concat(dir, '/mod_', p, '_', name, '_test_case_1.py') AS test_path, path, func_no,
+       concat('# ', n_chars, chr(10), 'def test_generated():', chr(10), '    assert True') AS test_code
+FROM sz
+"""
+)
