@@ -637,3 +637,36 @@ SELECT concat(dir, '/mod_', p, '_', name, '_test_case_1.py') AS test_path, path,
 FROM sz
 """
 )
+
+# The submit / attempt state machine stepped event by event with a recursive CTE.
+ORACLE["stream_dedupe"] = r"""
+WITH RECURSIVE ev AS (
+  SELECT source_path, kind, coverage, is_error,
+         row_number() OVER (PARTITION BY source_path ORDER BY ts, seq, CASE kind WHEN 'submit' THEN 0 ELSE 1 END) AS rn
+  FROM (SELECT concat('src/u', user_id, '.py') AS source_path, ts, event_id AS seq, 'attempt' AS kind, value / 100 AS coverage,
+               event_type = 'error' AS is_error FROM events
+        UNION ALL
+        SELECT concat('src/u', user_id, '.py'), ts, event_id, 'submit', NULL, false FROM events WHERE event_type = 'signup')
+),
+st AS (
+  SELECT source_path, CAST(0 AS BIGINT) AS rn, false AS started, false AS done, CAST(0 AS BIGINT) AS consumed,
+         CAST(0 AS BIGINT) AS accepted, CAST(0 AS BIGINT) AS refused, CAST(0 AS BIGINT) AS tasks, 'open' AS reason
+  FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT s.source_path, e.rn,
+    CASE WHEN e.kind = 'submit' OR NOT s.done THEN true ELSE s.started END,
+    CASE WHEN e.kind = 'submit' THEN false WHEN s.done THEN true ELSE (e.is_error OR e.coverage >= 0.8 OR s.consumed >= 3) END,
+    CASE WHEN e.kind = 'submit' THEN (CASE WHEN s.started AND NOT s.done THEN s.consumed ELSE 0 END)
+         WHEN s.done THEN s.consumed ELSE s.consumed + 1 END,
+    s.accepted + CASE WHEN e.kind = 'submit' AND NOT (s.started AND NOT s.done) THEN 1 ELSE 0 END,
+    s.refused + CASE WHEN e.kind = 'submit' AND s.started AND NOT s.done THEN 1 ELSE 0 END,
+    s.tasks + CASE WHEN e.kind = 'submit' AND NOT (s.started AND NOT s.done) THEN 1
+                   WHEN e.kind = 'attempt' AND NOT s.done AND NOT s.started THEN 1 ELSE 0 END,
+    CASE WHEN e.kind = 'submit' THEN (CASE WHEN s.started AND NOT s.done THEN s.reason ELSE 'open' END)
+         WHEN s.done THEN s.reason
+         WHEN e.is_error THEN 'error' WHEN e.coverage >= 0.8 THEN 'passed' WHEN s.consumed >= 3 THEN 'cap' ELSE 'open' END
+  FROM st s JOIN ev e ON e.source_path = s.source_path AND e.rn = s.rn + 1
+)
+SELECT st.source_path, accepted, refused, tasks, reason AS end_reason
+FROM st JOIN (SELECT source_path, max(rn) AS mx FROM ev GROUP BY 1) m ON st.source_path = m.source_path AND st.rn = m.mx
+"""

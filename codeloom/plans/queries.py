@@ -735,7 +735,7 @@ def q_stream_dedupe(spark, sf):
     """Submits refused while a task is active, accepted after it completes."""
     src = _staged_attempts(spark, sf, True)
     stream = spark.readStream.schema(RS.ATTEMPT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    out = RS.run_to_table(RS.stream_attempts(stream), "source_path", "r3")
+    out = RS.run_to_table(RS.stream_attempts(stream, with_submits=True), "source_path", "r3")
     return out.select("source_path", "accepted", "refused", "tasks", "end_reason")
 
 

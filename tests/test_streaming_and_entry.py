@@ -44,7 +44,7 @@ def test_stream_submit_refused_while_active(spark):
     src = RS._scratch(spark, "t-sub")
     RS.stage_by_time(df.select(*[f.name for f in RS.ATTEMPT_SCHEMA]), src, 2)
     stream = spark.readStream.schema(RS.ATTEMPT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    r = RS.run_to_table(RS.stream_attempts(stream), "source_path", "tsub").first()
+    r = RS.run_to_table(RS.stream_attempts(stream, with_submits=True), "source_path", "tsub").first()
     assert (r["accepted"], r["refused"], r["tasks"], r["attempts_used"], r["end_reason"]) == (2, 1, 2, 1, "open")
 
 
