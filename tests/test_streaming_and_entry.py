@@ -75,3 +75,22 @@ def test_every_query_matches_its_oracle_small(spark, sf_small):
         if r["status"] not in ("ok", "rows-only"):
             bad.append(r)
     assert not bad, bad
+
+
+STREAMING = {"stream_attempts", "stream_dedupe", "stream_code_files"}
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/part.parquet"), reason="driver tables not present")
+def test_no_query_plans_a_cross_product(spark, sf_small):
+    """Plan-shape guard: no cartesian product / nested-loop join anywhere."""
+    import __spark_entry__ as E
+
+    bad = {}
+    for name, fn in E.queries().items():
+        if name in STREAMING:
+            continue
+        plan = fn(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+        hits = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
+        if hits:
+            bad[name] = hits
+    assert not bad, bad
