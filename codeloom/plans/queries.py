@@ -651,9 +651,8 @@ def q_min_path_cover(spark, sf):
 def q_describe_paths(spark, sf):
     """Descriptions of the chosen paths of every function."""
     fp = C.function_paths(spark, sf)
-    labels = X.path_labels(fp)
-    picks = CV.min_path_cover(CV.branch_incidence(labels), ["path", "func_no"])
-    return CV.describe_paths(labels, picks, X.all_functions(fp))
+    picks = CV.min_path_cover(CV.branch_incidence(X.path_labels(fp)), ["path", "func_no"])
+    return CV.describe_functions(fp, picks)
 
 
 def _length_model(prompt: str) -> str:

@@ -65,6 +65,11 @@ def test_describe_paths_default_and_arm_keys(spark):
     picks2 = CV.min_path_cover(CV.branch_incidence(labels, keys=("kind", "pos", "arm")), ["path", "func_no"], keys=("kind", "pos", "arm"))
     d2 = {r["name"]: r["constraints"] for r in CV.describe_paths(labels, picks2, X.all_functions(fp)).collect()}
     assert d2["inferred"].split("\nTestcase 2")[1] == " for inferred(x) -> int:\ntest case where x,\nreturns 'x'"
+    # the nested formulation gives the same texts
+    for pk in (picks, picks2):
+        a = {r["name"]: r["constraints"] for r in CV.describe_paths(labels, pk, X.all_functions(fp)).collect()}
+        b = {r["name"]: r["constraints"] for r in CV.describe_functions(fp, pk).collect()}
+        assert a == b
 
 
 # --------------------------------------------------------------------------- W1 / A4 / W4 / W5
