@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as TX
 from codeloom.operators import extract as X
 from codeloom.operators import graph as G
+from codeloom.operators import attempts as AT
+from codeloom.operators import store as ST
+from codeloom.operators import cover as CV
+from codeloom.operators import generate as GN
+from codeloom.streaming import attempts_stream as RS
 from codeloom.plans import context as C
 from codeloom.sources import corpus as SRC
 from codeloom.sources import fixtures as FX
@@ -302,8 +307,6 @@ def q_stub_merge_stats(spark, sf):
 
 # --------------------------------------------------------------------------- text
 
-from codeloom.operators import attempts as AT  # noqa: E402
-from codeloom.operators import store as ST  # noqa: E402
 
 
 def _responses(spark, sf) -> DataFrame:
@@ -607,8 +610,6 @@ def q_apply_changes(spark, sf):
 
 # --------------------------------------------------------------------------- paths and cover
 
-from codeloom.operators import cover as CV  # noqa: E402
-from codeloom.operators import generate as GN  # noqa: E402
 
 SYM_TEMPLATE = "Generate unit tests for {file_name}.\nPath constraints:\n{path_constraints}\nSource:\n{code}\n"
 
@@ -702,7 +703,6 @@ def q_sym_pipeline(spark, sf):
 
 # --------------------------------------------------------------------------- streaming
 
-from codeloom.streaming import attempts_stream as RS  # noqa: E402
 
 
 def _staged_attempts(spark, sf, with_submits: bool) -> str:

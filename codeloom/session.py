@@ -41,7 +41,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only a local-mode session without one (tests, laptops) gets a fresh
     temporary folder; a cluster session without it is a configuration error.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        sc = None
+    if sc is None:
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        return conf_dir or tempfile.mkdtemp(prefix="codeloom-ckpt-")
     current = sc.getCheckpointDir()
     if current:
         return current
