@@ -670,3 +670,7 @@ st AS (
 SELECT st.source_path, accepted, refused, tasks, reason AS end_reason
 FROM st JOIN (SELECT source_path, max(rn) AS mx FROM ev GROUP BY 1) m ON st.source_path = m.source_path AND st.rn = m.mx
 """
+
+ORACLE["java_module_rollup"] = "WITH " + rollup_sql(
+    "jp AS (SELECT concat('jrepo/nation_', s_nationkey, '/S', s_suppkey, '.java') AS path FROM supplier), tpaths AS (SELECT path FROM jp)"
+)

@@ -806,3 +806,9 @@ def q_java_metadata(spark, sf):
         F.array_join(F.transform(c["methods"], lambda mm: mm["function"]["body"]), ";").alias("bodies"),
         i["name"].alias("iface_name"), F.array_join(F.transform(i["methods"], sig), ";").alias("iface_methods"),
     )
+
+
+@query("java_module_rollup")
+def q_java_module_rollup(spark, sf):
+    """G6 for Java sources: every package directory with all files / sub-directories below it."""
+    return G.module_rollup(SRC.skip_hidden(FX.java_corpus(spark, sf).select("path")))
