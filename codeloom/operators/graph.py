@@ -147,15 +147,18 @@ def import_edges(meta: DataFrame, file_paths: DataFrame, mode: str = "token") ->
 # --------------------------------------------------------------------------- J2 / J3 / J4
 
 
+# Every identifier-shaped suffix of a run in front of "(": a zero-width match at each
+# position that can start an identifier, capturing the rest of the run up to "(".
+CALL_SUFFIX_RE = rf"(?=({IDENT_START_CLASS}{IDENT_CLASS}*+)\()"
+
+
 def call_names(body) -> F.Column:
     """All identifier-shaped names ``n`` such that ``n(`` occurs in ``body``.
 
-    Every suffix of the identifier run in front of a ``(``, except those
-    starting with a character that cannot start an identifier.
+    One regex pass: each match is a suffix of the identifier run in front
+    of a ``(`` that starts with a character able to start an identifier.
     """
-    runs = F.regexp_extract_all(body, F.lit(CALL_RE), 1)
-    sufs = F.flatten(F.transform(F.array_distinct(runs), lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substring(r, i, 1 << 20))))
-    return F.array_distinct(F.filter(sufs, lambda x: x.rlike(f"^{IDENT_START_CLASS}")))
+    return F.array_distinct(F.regexp_extract_all(body, F.lit(CALL_SUFFIX_RE), 1))
 
 
 def method_call_names(body) -> F.Column:
