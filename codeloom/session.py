@@ -27,6 +27,7 @@ def get_spark(master: str | None = None, app: str = "codeloom", shuffle_partitio
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.driver.memory", os.environ.get("CODELOOM_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
