@@ -32,6 +32,8 @@ ABSTRACT_DECORATOR = "abstractmethod"
 
 def normalize_newlines(text: str) -> str:
     """Universal-newline translation, as a text-mode file read does."""
+    if "\r" not in text:
+        return text
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
@@ -140,9 +142,9 @@ def parse_file(path: str, content, with_paths: int | None = None) -> dict:
         text = content.decode("utf-8") if isinstance(content, (bytes, bytearray)) else content
         text = normalize_newlines(text)
         tree = ast.parse(text)
-        if with_paths is not None:
-            rec["fpaths"] = _function_paths(path, text, tree, with_paths)
         lines = text.split("\n")
+        if with_paths is not None:
+            rec["fpaths"] = _function_paths(path, text, tree, with_paths, lines)
         functions = [function_record(n, lines) for n in tree.body if isinstance(n, ast.FunctionDef)]
         classes, interfaces = [], []
         for n in tree.body:
@@ -166,8 +168,8 @@ def parse_file(path: str, content, with_paths: int | None = None) -> dict:
 class _Source:
     """Source text with helpers to slice by ast (line, utf-8 byte column) positions."""
 
-    def __init__(self, text: str):
-        self.lines = text.split("\n")
+    def __init__(self, text: str, lines: list[str] | None = None):
+        self.lines = lines if lines is not None else text.split("\n")
         self._enc: dict[int, bytes] = {}
 
     def _col(self, lineno: int, col: int) -> int:
@@ -282,8 +284,8 @@ def function_paths_of_file(path: str, content, cap: int) -> list[dict]:
     return _function_paths(path, text, tree, cap)
 
 
-def _function_paths(path: str, text: str, tree, cap: int) -> list[dict]:
-    src = _Source(text)
+def _function_paths(path: str, text: str, tree, cap: int, lines: list[str] | None = None) -> list[dict]:
+    src = _Source(text, lines)
     funcs: list = []
     _preorder_functions(tree, funcs)
     rows = []
