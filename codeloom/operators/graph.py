@@ -4,10 +4,10 @@ The reference re-parses every sibling file for every body and tests
 ``contains(body, name + "(")`` in nested loops.  Here the corpus is parsed
 once and each rule becomes an equi-join:
 
-* uses / function (J2): the identifier run in front of every ``(`` is
-  extracted and all of its suffixes are exploded; ``name(`` occurs in the
-  body exactly when ``name`` is one of those suffixes, so the rule is a
-  hash join on ``(dir, name)``.
+* uses / function (J2): every identifier-shaped suffix of the identifier
+  run in front of a ``(`` is extracted (one lookahead regex); ``name(``
+  occurs in the body exactly when ``name`` is one of those suffixes, so
+  the rule is a hash join on ``(dir, name)``.
 * uses / method (J3): ``.m(`` occurs exactly when ``m`` is the run between
   a dot and a parenthesis: join on ``(dir, m)``.
 * extends (J4): a class name occurs in the source path exactly when it is
@@ -24,9 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import schemas as S
-from codeloom.functions.text import IDENT_CLASS, IDENT_START_CLASS, WS_CLASS, base_name, dir_of, ext_of, fields, join_path, trim_ws
+from codeloom.functions.text import IDENT_CLASS, IDENT_START_CLASS, dir_of, ext_of, fields, join_path, trim_ws
 
-CALL_RE = rf"(?<!{IDENT_CLASS})({IDENT_CLASS}++)\("
 METHOD_CALL_RE = rf"\.({IDENT_CLASS}++)\("
 IDENT_RUN_RE = rf"({IDENT_CLASS}++)"
 
@@ -334,6 +333,3 @@ def python_modules(meta: DataFrame) -> DataFrame:
         F.sum(F.size("classes")).cast("long").alias("n_classes"),
     )
 
-
-def base_of(c) -> F.Column:
-    return base_name(c)

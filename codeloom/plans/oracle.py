@@ -674,3 +674,5 @@ FROM st JOIN (SELECT source_path, max(rn) AS mx FROM ev GROUP BY 1) m ON st.sour
 ORACLE["java_module_rollup"] = "WITH " + rollup_sql(
     "jp AS (SELECT concat('jrepo/nation_', s_nationkey, '/S', s_suppkey, '.java') AS path FROM supplier), tpaths AS (SELECT path FROM jp)"
 )
+
+ORACLE["read_source"] = ORACLE["py_metadata"]

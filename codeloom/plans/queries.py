@@ -812,3 +812,24 @@ def q_java_metadata(spark, sf):
 def q_java_module_rollup(spark, sf):
     """G6 for Java sources: every package directory with all files / sub-directories below it."""
     return G.module_rollup(SRC.skip_hidden(FX.java_corpus(spark, sf).select("path")))
+
+
+@query("read_source")
+def q_read_source(spark, sf):
+    """S1 + S2: the corpus laid out as one file per source path, scanned back with binaryFile.
+
+    Spark's writer creates the tree (``partitionBy(path)`` -> one directory per
+    file, no per-task file IO); the scan recovers each logical path from its
+    partition directory, keeps source files (S1 predicate) and the extractor
+    decodes the raw bytes strictly (S2).
+    """
+    root = _scratch_dir(spark, "tree")
+    C.corpus(spark, sf).select("path", "content").write.partitionBy("path").text(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root)
+    logical = F.url_decode(F.regexp_extract("path", r"/path=([^/]*)/[^/]*$", 1))
+    files = files.select(logical.alias("path"), "content").where(SRC.keep_source_name(TX.base_name("path")))
+    meta = X.extract_metadata(files)
+    return meta.select(
+        "path", "module", _long(F.size("classes")).alias("n_classes"), _long(F.size("interfaces")).alias("n_interfaces"),
+        _long(F.size("functions")).alias("n_functions"), F.col("error").isNotNull().alias("broken"),
+    )
