@@ -94,3 +94,17 @@ def test_no_query_plans_a_cross_product(spark, sf_small):
         if hits:
             bad[name] = hits
     assert not bad, bad
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/part.parquet"), reason="driver tables not present")
+def test_pruning_and_pushdown_reach_the_scan(spark, sf_small):
+    """Column pruning, nested-field pruning and predicate pushdown appear in the scans."""
+    import __spark_entry__ as E
+
+    def plan(name):
+        return E.queries()[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+
+    nested = plan("nested_projection")
+    assert "classes:array<struct<name:string>>" in nested and "body" not in nested
+    assert "ReadSchema: struct<c_custkey:bigint,c_name:string>" in plan("get_objects")
+    assert "EqualTo(o_orderstatus,F)" in plan("object_by_id")
