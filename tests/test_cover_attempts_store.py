@@ -45,11 +45,11 @@ def test_min_path_cover_equals_sequential_greedy(spark):
     inc = spark.createDataFrame(rows, "g long, p long, kind string, pos long")
     # hybrid default (the hot group exceeds the cap and takes the distributed rounds),
     # all groups in rounds, and all groups in the per-group pass
-    for cap in (40, 0, 10**9):
+    for cap, first in ((40, 0), (40, 1), (0, 0), (10**9, 0)):
         got = {}
-        for r in CV.min_path_cover(inc, ["g"], "p", small_group_rows=cap).collect():
+        for r in CV.min_path_cover(inc, ["g"], "p", small_group_rows=cap, first_rounds=first).collect():
             got.setdefault(r["g"], []).append((r["pick_no"], r["p"]))
-        assert {g: [p for _, p in sorted(v)] for g, v in got.items()} == expected, cap
+        assert {g: [p for _, p in sorted(v)] for g, v in got.items()} == expected, (cap, first)
     first = {r["g"]: r["p"] for r in CV.argmax_pick(inc, ["g"], "p").collect()}
     assert first == {g: v[0] for g, v in expected.items()}
 
