@@ -89,3 +89,49 @@ def test_render_context_layout(spark):
         "\nPlease analyze this code structure and provide insights or answer questions about it."
     )
     assert text == expected
+
+
+# Go's unicode.IsSpace set (the same list as functions/text.py).
+GO_SPACE = set("\t\n\x0b\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
+
+
+def _go_trim(s):
+    i, j = 0, len(s)
+    while i < j and s[i] in GO_SPACE:
+        i += 1
+    while j > i and s[j - 1] in GO_SPACE:
+        j -= 1
+    return s[i:j]
+
+
+def _go_fields(s):
+    out, cur = [], []
+    for ch in s:
+        if ch in GO_SPACE:
+            if cur:
+                out.append("".join(cur))
+                cur = []
+        else:
+            cur.append(ch)
+    if cur:
+        out.append("".join(cur))
+    return out
+
+
+def test_trim_and_fields_match_go_rules(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    alphabet = st.sampled_from(sorted(GO_SPACE) + list("ab,\u00e9\u200b\ufeffx"))
+    samples = []
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(alphabet=alphabet, max_size=12))
+    def collect(s):
+        samples.append(s)
+
+    collect()
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
+    got = {r["i"]: (r["t"], list(r["f"])) for r in df.select("i", TX.trim_ws("s").alias("t"), TX.fields("s").alias("f")).collect()}
+    for i, s in enumerate(samples):
+        assert got[i] == (_go_trim(s), _go_fields(s)), repr(s)
