@@ -108,3 +108,22 @@ def test_pruning_and_pushdown_reach_the_scan(spark, sf_small):
     assert "classes:array<struct<name:string>>" in nested and "body" not in nested
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string>" in plan("get_objects")
     assert "EqualTo(o_orderstatus,F)" in plan("object_by_id")
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/part.parquet"), reason="driver tables not present")
+def test_workers_do_not_need_the_package_on_their_path(tmp_path):
+    """A driver outside the repo (package only on its sys.path) still runs Python-worker stages."""
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {repo!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('COUNT', E.queries()['py_metadata'](s, '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "COUNT 200" in out.stdout, out.stderr[-2000:]
