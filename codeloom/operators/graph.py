@@ -27,7 +27,6 @@ from codeloom import schemas as S
 from codeloom.functions.text import IDENT_CLASS, IDENT_START_CLASS, dir_of, ext_of, fields, join_path, trim_ws
 
 METHOD_CALL_RE = rf"\.({IDENT_CLASS}++)\("
-IDENT_RUN_RE = rf"({IDENT_CLASS}++)"
 
 
 def _python(meta: DataFrame) -> DataFrame:
@@ -165,21 +164,19 @@ def method_call_names(body) -> F.Column:
     return F.array_distinct(F.regexp_extract_all(body, F.lit(METHOD_CALL_RE), 1))
 
 
+# Every identifier-shaped suffix of every identifier run: a zero-width match at each
+# position that can start an identifier, capturing the rest of the run.
+RUN_SUFFIX_RE = rf"(?=({IDENT_START_CLASS}{IDENT_CLASS}*+))"
+
+
 def path_substrings(path) -> F.Column:
-    """Every substring of every identifier run of ``path`` (candidate class names)."""
-    runs = F.array_distinct(F.regexp_extract_all(path, F.lit(IDENT_RUN_RE), 1))
-    subs = F.flatten(
-        F.transform(
-            runs,
-            lambda r: F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), F.length(r)),
-                    lambda i: F.transform(F.sequence(i, F.length(r)), lambda j: F.substring(r, i, j - i + 1)),
-                )
-            ),
-        )
-    )
-    return F.array_distinct(F.filter(subs, lambda x: x.rlike(f"^{IDENT_START_CLASS}")))
+    """Every identifier-shaped substring of ``path`` (candidate class names).
+
+    A substring starting at position i is a prefix of the run suffix that
+    starts at i, so all candidates are the prefixes of the lookahead matches.
+    """
+    sufs = F.array_distinct(F.regexp_extract_all(path, F.lit(RUN_SUFFIX_RE), 1))
+    return F.array_distinct(F.flatten(F.transform(sufs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda k: F.substring(r, 1, k)))))
 
 
 def uses_function_edges(meta: DataFrame) -> DataFrame:

@@ -676,3 +676,12 @@ ORACLE["java_module_rollup"] = "WITH " + rollup_sql(
 )
 
 ORACLE["read_source"] = ORACLE["py_metadata"]
+
+ORACLE["extends_by_path"] = r"""
+WITH nb AS (SELECT DISTINCT s_nationkey AS n FROM supplier),
+cls AS (SELECT concat('nrepo/n', n, '/Base', n, '.py') AS path, concat('nrepo/n', n) AS dir, concat('Base', n) AS class_name FROM nb
+        UNION ALL
+        SELECT concat('nrepo/n', s_nationkey, '/Base', s_nationkey, 'Child', s_suppkey, '.py'), concat('nrepo/n', s_nationkey), concat('C', s_suppkey) FROM supplier)
+SELECT a.path AS source_file, b.path AS target_file, 'extends' AS type, a.class_name AS source_element, b.class_name AS target_element, CAST(0.9 AS DOUBLE) AS weight
+FROM cls a JOIN cls b ON a.dir = b.dir AND a.path <> b.path AND a.class_name <> b.class_name AND contains(a.path, b.class_name)
+"""

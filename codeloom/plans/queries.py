@@ -833,3 +833,9 @@ def q_read_source(spark, sf):
         "path", "module", _long(F.size("classes")).alias("n_classes"), _long(F.size("interfaces")).alias("n_interfaces"),
         _long(F.size("functions")).alias("n_functions"), F.col("error").isNotNull().alias("broken"),
     )
+
+
+@query("extends_by_path")
+def q_extends_by_path(spark, sf):
+    """J4 on a corpus whose child paths name their base class (non-empty at every scale)."""
+    return _edges_out(G.extends_edges(X.extract_metadata(FX.inheritance_corpus(spark, sf))))

@@ -121,3 +121,19 @@ def java_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("    int m"), "s", F.lit("(int a, String b) { return a; }\n}\n\ninterface I"), "s", F.lit(" {\n    void go(int x);\n}\n"),
     )
     return s.select(F.concat(F.lit("jrepo/nation_"), "n", F.lit("/S"), "s", F.lit(".java")).alias("path"), content.alias("content"))
+
+
+def inheritance_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per nation of a supplier, ``nrepo/n<n>/Base<n>.py`` with class ``Base<n>``; per
+    supplier ``nrepo/n<n>/Base<n>Child<s>.py`` with class ``C<s>(Base<n>)``.  Child paths
+    contain the base class name, so the path rule of the extends edges fires."""
+    s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("s"), F.col("s_nationkey").cast("string").alias("n"))
+    d = F.concat(F.lit("nrepo/n"), F.col("n"))
+    base = s.select("n").distinct().select(
+        F.concat(d, F.lit("/Base"), "n", F.lit(".py")).alias("path"), F.concat(F.lit("class Base"), "n", F.lit(":\n    x: int\n")).alias("content")
+    )
+    child = s.select(
+        F.concat(d, F.lit("/Base"), "n", F.lit("Child"), "s", F.lit(".py")).alias("path"),
+        F.concat(F.lit("class C"), "s", F.lit("(Base"), "n", F.lit("):\n    y: int\n")).alias("content"),
+    )
+    return base.unionByName(child)
