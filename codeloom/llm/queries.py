@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, exact, packing, secrets, simhash, toxicity
+from codeloom.llm import bpe, embed, exact, htmlx, langid, packing, secrets, simhash, suffix, toxicity
 from codeloom.llm.common import fold_of
 from codeloom.session import read_table
 
@@ -31,6 +31,16 @@ def op1_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer()).drop("same")
 
 
+@query
+def op2_embedding_dedup(spark, sf_dir):
+    return embed.near_vectors(read_table(spark, sf_dir, "embeddings"), 0.93)
+
+
+@query
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query
 def op4_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
@@ -55,6 +65,19 @@ def op7_secrets(spark, sf_dir):
     return secrets.scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+@query
+def op8_html_text(spark, sf_dir):
+    out = htmlx.extract(read_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op9_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    out = langid.identify(docs)
+    return out.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query
 def op10_exact_dedup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,3 +90,23 @@ select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (part
        doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
 from d
 """
+
+ORACLE["op2_embedding_dedup"] = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+),
+ok as (
+  select * from v where label is not null and e is not null and not list_contains(list_transform(e, lambda x: x is null or not isfinite(x)), true)
+    and coalesce(list_sum(list_transform(e, lambda x: x * x)), 0) > 0
+),
+link as (
+  select a.vec_id as a, b.vec_id as b from ok a join ok b
+  on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.93
+),
+reach(n, r) as (
+  select vec_id, vec_id from v union select reach.n, link.b from reach join link on reach.r = link.a
+)
+select v.vec_id, count(distinct l.b) as n_links, (select min(r) from reach where n = v.vec_id) as component_id,
+       v.vec_id = (select min(r) from reach where n = v.vec_id) as kept
+from v left join link l on l.a = v.vec_id group by v.vec_id
+"""

@@ -58,7 +58,7 @@ class Bag:
         return np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(self.start[words], n)
 
 
-def train(texts: list[list[str]], toxic: np.ndarray, epochs: int = 6, rate: float = 0.3, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(texts: list[list[str]], toxic: np.ndarray, epochs: int = 6, rate: float = 0.3, least: int = 2, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, softmax weights and bias, fitted jointly (Adagrad, log loss)."""
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM
@@ -70,6 +70,10 @@ def train(texts: list[list[str]], toxic: np.ndarray, epochs: int = 6, rate: floa
         return emb, w, b
     doc = np.array([d for d, _ in windows])
     part = [bag.words[d][at : at + WINDOW] for d, at in windows]
+    # Subwords of few texts stay at zero: they would fit single texts.
+    seen = np.bincount(np.concatenate([np.unique(bag.ids[bag.flat(t)]) for t in bag.words if len(t)]), minlength=BUCKETS)
+    rare = seen < least
+    emb[rare] = 0
     # One window per clean text and epoch; toxic texts choose theirs after the first epoch.
     for epoch in range(epochs):
         scores = _word_scores(bag, emb, w)
@@ -78,7 +82,7 @@ def train(texts: list[list[str]], toxic: np.ndarray, epochs: int = 6, rate: floa
         first = order[np.r_[True, np.diff(doc[order]) > 0]]
         pos = first[toxic[doc[first]] == 1]
         neg = first[toxic[doc[first]] == 0]  # the highest clean windows: the hardest
-        other = rng.permutation(np.flatnonzero(toxic[doc] == 0))[: len(pos) + len(neg)]
+        other = rng.permutation(np.flatnonzero(toxic[doc] == 0))[: 4 * (len(pos) + len(neg))]
         pick = rng.permutation(np.concatenate([pos, neg, other]))
         for at in range(0, len(pick), 64):
             sel = pick[at : at + 64]
@@ -100,7 +104,7 @@ def train(texts: list[list[str]], toxic: np.ndarray, epochs: int = 6, rate: floa
             u, inv = np.unique(ids, return_inverse=True)
             de = np.stack([np.bincount(inv, dm[:, k], len(u)) for k in range(DIM)], axis=1).astype(np.float32)
             ge[u] += (de * de).mean(axis=1)
-            emb[u] -= rate * de / np.sqrt(ge[u])[:, None]
+            emb[u] -= np.where(rare[u], 0, rate / np.sqrt(ge[u]))[:, None] * de
             gw += dw * dw
             gb += db * db
             if epoch == 0 and at == 0:
@@ -118,7 +122,7 @@ def _word_scores(bag: Bag, emb: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> tuple[np.ndarray, float]:
-    """Train on at most ``rows`` toxic and ``rows`` clean labelled documents outside the held-out fold.
+    """Train on at most ``rows`` toxic and twice as many clean labelled documents outside the held-out fold.
 
     The sample is the ids of least hash, the same on every run; only it leaves
     the executors.  Returns the score of each subword bucket (its embedding
@@ -127,14 +131,54 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> tuple[np.ndarra
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold_of(F.col("doc_id")) != 0)
     present = known.join(docs.select("doc_id"), "doc_id", "left_semi")
-    both = [present.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for v in (0, 1)]
+    both = [present.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows if v else 2 * rows) for v in (0, 1)]
     chosen = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(both[0].union(both[1])), "doc_id")
     sample = chosen.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").select("text", "toxic").toPandas()
     toxic = sample["toxic"].to_numpy(np.int64) if len(sample) else np.zeros(0, np.int64)
     if len(set(toxic.tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0
-    emb, w, b = train([words_of(t) for t in sample["text"]], toxic)
-    return (emb @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0])
+    fresh = first_of_copies([words_of(t) for t in sample["text"]])
+    sample, toxic = sample.iloc[fresh], toxic[fresh]
+    words = [words_of(t) for t in sample["text"]]
+    aside = np.arange(len(words)) % 5 == 0  # calibrates the bias
+    if len(set(toxic[~aside].tolist())) < 2 or len(set(toxic[aside].tolist())) < 2:
+        aside[:] = False
+    emb, w, b = train([x for x, out in zip(words, aside) if not out], toxic[~aside])
+    sub, bias = (emb @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0])
+    if aside.any():
+        cache: dict[str, float] = {}
+        p = np.array([text_score(t, sub, bias, cache) for t, out in zip(sample["text"], aside) if out])
+        bias -= cut_of(np.log(p) - np.log1p(-p), toxic[aside])
+    return sub, bias
+
+
+def first_of_copies(texts: list[list[str]], width: int = 4, least: int = 8, shared: int = 2) -> np.ndarray:
+    """Indices of texts that are no near copies of earlier ones in the (bounded) sample.
+
+    Compared by the ``least`` smallest shingle hashes; a group of copies would
+    otherwise teach the words of one text as signs of its label.
+    """
+    seen: set[int] = set()
+    out = []
+    for i, t in enumerate(texts):
+        sketch = sorted({zlib.crc32(" ".join(t[k : k + width]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(t) - width + 1))})[:least]
+        if sum(h in seen for h in sketch) < shared:
+            out.append(i)
+        seen.update(sketch)
+    return np.array(out, np.int64)
+
+
+def cut_of(z: np.ndarray, toxic: np.ndarray, clean_weight: float = 4.0) -> float:
+    """The logit that best parts the two labels; a clean text lost costs ``clean_weight`` toxic ones missed.
+
+    Half-way between the two neighbours at the least cost, the lowest such place.
+    """
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], toxic[order]
+    missed = np.r_[0, np.cumsum(y)] / max(1, y.sum())
+    lost = np.r_[np.cumsum((1 - y)[::-1])[::-1], 0] / max(1, (1 - y).sum())
+    at = int(np.argmin(missed + clean_weight * lost))
+    return float((z[max(at - 1, 0)] + z[min(at, len(z) - 1)]) / 2)
 
 
 def text_score(text: str | None, sub: np.ndarray, bias: float, cache: dict[str, float]) -> float:
