@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,7 +148,7 @@ def _anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndar
     return hashes[pos], context, pos, s, e
 
 
-def _scan(ids: list[int], texts: list[bytes], length: int, limit: int = 1 << 21) -> Iterator[list[np.ndarray]]:
+def _scan(ids: list[int], texts: list[bytes], length: int, limit: int = 1 << 19) -> Iterator[list[np.ndarray]]:
     """Columns (flag, h, c, k, pos, lo, hi) of the documents: anchors (0) and repeats among them (1)."""
     pieces: list[tuple[int, int, bytes]] = []  # id, offset in the text, bytes
     for k, t in zip(ids, texts):
@@ -198,18 +199,29 @@ def _merged(k: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarra
     return [np.ones(len(k), np.int8), _mix(k.view(U) ^ start.view(U)).view(np.int64), zero, k, start, zero, end]
 
 
+def _packed(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns as (h, c, k, p), half as wide for the shuffle: repeats have p < 0 and their end in c."""
+    flag, h, c, k, pos, lo, hi = cols
+    return [h, np.where(flag == 1, hi, c), k, np.where(flag == 1, -1 - pos, pos << 24 | (hi & 4095) << 12 | lo & 4095)]
+
+
+def _unpacked(h: np.ndarray, c: np.ndarray, k: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
+    done = p < 0
+    return [done.astype(np.int8), h, np.where(done, 0, c), k, np.where(done, -1 - p, p >> 24), np.where(done, 0, p & 4095), np.where(done, c, p >> 12 & 4095)]
+
+
 NAMES = ["flag", "h", "c", "k", "pos", "lo", "hi"]
 SCHEMA = "flag byte, h long, c long, k long, pos long, lo long, hi long"
 
 
 def _firsts(length: int):
-    """Mapper over anchors sorted by (h, c, k, pos): repeats (1), and firsts of unlike contexts (2)."""
+    """Mapper over packed anchors sorted by (h, c, k, p): repeats (1), and firsts of unlike contexts (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # h, c, k, pos of the current context's first row
         waiting: list[np.ndarray] | None = None  # that row, while its anchor has one context
         for batch in batches:
-            cols = [batch.column(n).to_numpy() for n in NAMES]
+            cols = _unpacked(*(batch.column(n).to_numpy() for n in "hckp"))
             if len(cols[0]) == 0:
                 continue
             done = cols[0] == 1
@@ -219,9 +231,9 @@ def _firsts(length: int):
             if not len(cols[0]):
                 continue
             _, h, c, k, pos, lo, hi = cols
-            ph, pc = np.r_[last[0] if last else ~h[0], h[:-1]], np.r_[last[1] if last else 0, c[:-1]]
+            ph, pcx = np.r_[last[0] if last else ~h[0], h[:-1]], np.r_[last[1] if last else 0, c[:-1]]
             new_h = h != ph
-            new = new_h | (c != pc)
+            new = new_h | (c != pcx)
             at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
             fk = np.where(at >= 0, k[at], last[2] if last else 0)
             fp = np.where(at >= 0, pos[at], last[3] if last else 0)
@@ -336,9 +348,10 @@ def _compare(length: int, symbols: int = 400_000):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, part: int = 8 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document; ``kept`` are the bytes left.
 
+    ``length`` is 32 to 4000; a task looks at ``part`` bytes of text at a time.
     Texts are UTF-8 bytes; null counts as empty; texts shorter than ``length``
     keep all.  Earlier means smaller doc_id (null first), or the same document and an
     earlier start.  Rows that repeat an id and its text are one document and get the
@@ -358,11 +371,17 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cols in _scan(batch.column("k").to_pylist(), batch.column("text").to_pylist(), length):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=NAMES)
-
-    anchors = rows.select("k", "text").mapInArrow(scan, SCHEMA)
-    found = save(anchors.repartition("h").sortWithinPartitions("h", "c", "k", "pos").mapInArrow(_firsts(length), SCHEMA), "repeats")
+            ids, texts = batch.column("k").to_pylist(), batch.column("text")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(ids):  # some megabytes at a time
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + part, side="right")))
+                for cols in _scan(ids[at:end], texts[at:end].to_pylist(), length):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _packed(cols)], names=list("hckp"))
+                at = end
+
+    anchors = rows.select("k", "text").mapInArrow(scan, "h long, c long, k long, p long")
+    found = save(anchors.repartition("h").sortWithinPartitions("h", "c", "k", "p").mapInArrow(_firsts(length), SCHEMA), "repeats")
 
     spots = found.filter("flag = 2").groupBy("k").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("spots"))
     near = rows.select("k", "text").dropDuplicates(["k"]) if not several.isEmpty() else rows.select("k", "text")
