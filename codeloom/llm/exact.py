@@ -85,9 +85,9 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, by
     # Full bytes of hits against the retained row, found by its locator.
     several = groups.filter("group_size > 1")
     text = normalised(F.col("text"))
-    hit = table.join(several.select("__digest", F.col("__first.__at").alias("__to")), "__digest").filter("__at <> __to").select("__at", "__to", text.alias("t"))
-    first = table.select(F.col("__at").alias("__to"), text.alias("u"))
-    first = first.join(several.select(F.col("__first.__at").alias("__to")), "__to", "left_semi")
+    members = table.join(several.select("__digest", F.col("__first.__at").alias("__to")), "__digest")
+    members = save(members.select("__at", "__to", text.alias("t")), "members")
+    hit, first = members.filter("__at <> __to"), members.filter("__at = __to").select("__to", F.col("t").alias("u"))
     differ = save(hit.join(first, "__to").filter("t <> u").select("__at"), "differ")
     unlike = not differ.isEmpty()
     if unlike:
