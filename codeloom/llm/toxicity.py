@@ -24,16 +24,35 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import fold_of
 
 BUCKETS, DIM, WINDOW = 1 << 17, 12, 24
-WORD = re.compile(r"\w+")
-
-
-def subwords(word: str) -> list[int]:
-    """Hashed n-grams of 3 to 5 characters of <word>, and the word itself."""
-    w = f"<{word}>"
-    if len(w) > 66:  # a long run is the bag of its 64-character parts
-        return [g for at in range(0, len(word), 64) for g in subwords(word[at : at + 64])]
-    grams = [w] + [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+WORD = re.compile(r"\w{1,64}")  # a longer run is read as several words
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of 3 to 5 characters of <word> and of the whole of it, and the word of each, in order."""
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    word = np.repeat(np.arange(len(words)), size)
+    start = np.cumsum(size) - size
+    place = np.arange(len(points)) - start[word]
+    left = size[word] - place
+    gram = np.zeros(len(points), np.uint64)
+    found, of = [], []
+    for n in range(1, 6):
+        gram = gram[: len(points) - n + 1]
+        gram = (gram ^ points[n - 1 :]) * MIX
+        gram ^= gram >> np.uint64(31)
+        if n >= 3:
+            at = np.flatnonzero(left[: len(gram)] >= n)
+            found.append(gram[at] + np.uint64(n))
+            of.append(word[at])
+    whole = np.add.reduceat((points + np.uint64(1)) * (place.astype(np.uint64) * MIX | np.uint64(1)), start) if len(words) else gram
+    found.append(whole ^ (whole >> np.uint64(33)))
+    of.append(np.arange(len(words)))
+    of = np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    bucket = (np.concatenate(found) * MIX) >> np.uint64(64 - BUCKETS.bit_length() + 1)
+    return bucket.astype(np.int64)[order], of[order]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -46,10 +65,9 @@ class Bag:
     def __init__(self, texts: list[list[str]]):
         index: dict[str, int] = {}
         self.words = [np.array([index.setdefault(w, len(index)) for w in t], np.int64) for t in texts]
-        ids = [np.array(subwords(w), np.int64) for w in index]
-        self.size = np.array([len(x) for x in ids], np.int64)
+        self.ids, of = subwords(list(index))
+        self.size = np.bincount(of, minlength=len(index))
         self.start = np.cumsum(self.size) - self.size
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
 
     def flat(self, words: np.ndarray) -> np.ndarray:
         """Positions in ``ids`` of all subwords of ``words``, in order."""
@@ -121,7 +139,7 @@ def _word_scores(bag: Bag, emb: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.add.reduceat(sub[bag.ids], bag.start) / bag.size
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 1500) -> tuple[np.ndarray, float]:
     """Train on at most ``rows`` toxic and twice as many clean labelled documents outside the held-out fold.
 
     The sample is the ids of least hash, the same on every run; only it leaves
@@ -146,8 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> tuple[np.ndarra
     emb, w, b = train([x for x, out in zip(words, aside) if not out], toxic[~aside])
     sub, bias = (emb @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0])
     if aside.any():
-        cache: dict[str, float] = {}
-        p = np.array([text_score(t, sub, bias, cache) for t, out in zip(sample["text"], aside) if out])
+        p = text_scores([t for t, out in zip(sample["text"], aside) if out], sub, bias, {})
         bias -= cut_of(np.log(p) - np.log1p(-p), toxic[aside])
     return sub, bias
 
@@ -181,24 +198,35 @@ def cut_of(z: np.ndarray, toxic: np.ndarray, clean_weight: float = 4.0) -> float
     return float((z[max(at - 1, 0)] + z[min(at, len(z) - 1)]) / 2)
 
 
-def text_score(text: str | None, sub: np.ndarray, bias: float, cache: dict[str, float]) -> float:
-    """Softmax probability of label 1 of the highest window of a text."""
-    words = words_of(text)
-    if not words:
-        return float(1 / (1 + np.exp(-bias)))
-    try:
-        v = list(map(cache.__getitem__, words))
-    except KeyError:
-        for x in set(words) - cache.keys():
-            cache[x] = float(sub[subwords(x)].mean())
-        v = list(map(cache.__getitem__, words))
-    sums = np.add.reduceat(np.array(v), range(0, len(v), WINDOW))
-    n = np.full(len(sums), WINDOW)
-    n[-1] = len(v) - WINDOW * (len(sums) - 1)
-    return float(1 / (1 + np.exp(-np.clip((sums / n).max() + bias, -700, 700))))
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> DataFrame:
+def text_scores(texts: list[str | None], sub: np.ndarray, bias: float, cache: dict[str, float], limit: int = 500_000) -> np.ndarray:
+    """Softmax probability of label 1 of the highest window of each text; ``cache`` keeps scores of words."""
+    out = np.full(len(texts), bias)
+    at = 0
+    while at < len(texts):  # about a million characters at a time
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") < 1 << 20):
+            size += len(texts[end] or "")
+            end += 1
+        lists = [words_of(t) for t in texts[at:end]]
+        if len(cache) > limit:
+            cache.clear()
+        new = list(set().union(*lists).difference(cache))
+        for k in range(0, len(new), 100_000):
+            some = new[k : k + 100_000]
+            ids, of = subwords(some)
+            cache.update(zip(some, (np.bincount(of, sub[ids], len(some)) / np.bincount(of, minlength=len(some))).tolist()))
+        for i, words in enumerate(lists, at):
+            if words:
+                v = np.array(list(map(cache.__getitem__, words)))
+                sums = np.add.reduceat(v, np.arange(0, len(v), WINDOW))
+                n = np.full(len(sums), WINDOW)
+                n[-1] = len(v) - WINDOW * (len(sums) - 1)
+                out[i] = (sums / n).max() + bias
+        at = end
+    return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 1500) -> DataFrame:
     """(doc_id, score) of every whole text; ``labels`` (doc_id, toxic) mark the training rows.
 
     Score: 0 to 1, higher means label 1 is likelier.  Null, empty and wordless
@@ -211,16 +239,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, cache = model.value, {}
         for batch in batches:
-            if len(cache) > 500_000:
-                cache.clear()
-            score = [text_score(t, table, bias, cache) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
+            score = text_scores(batch.column("text").to_pylist(), table, bias, cache)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = 3000, limit: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = 1500, limit: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose text scores ``limit`` or more; all columns stay.
 
     The score is computed beside each row, so null or repeated ids need no join.
@@ -231,9 +257,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = 3000, limit: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, cache = model.value, {}
         for batch in batches:
-            if len(cache) > 500_000:
-                cache.clear()
-            clean = [text_score(t, table, bias, cache) < limit for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            clean = text_scores(batch.column("text").to_pylist(), table, bias, cache) < limit
+            yield batch.filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)
