@@ -21,7 +21,12 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import save, store, work_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Many small stores: do not reserve disk ahead, and commit changes instead of whole files.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -48,8 +53,9 @@ def stream_state(keys: DataFrame, path: str, bytes_per_trigger: int = 64 << 30)
     """
     spark = keys.sparkSession
     out, log = work_dir(spark, "state"), work_dir(spark, "statelog")
-    had = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    had = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         stream = spark.readStream.schema(keys.schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(path)
         state = stream.groupBy("__digest").agg(F.min(F.struct("doc_id", "__at")).alias("__first"), F.count("*").alias("group_size"))
@@ -60,10 +66,8 @@ def stream_state(keys: DataFrame, path: str, bytes_per_trigger: int = 64 << 30)
         query = state.writeStream.outputMode("update").option("checkpointLocation", log).foreachBatch(write).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        if had is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", had)
+        for key, value in had.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     rows = spark.read.parquet(f"{out}/*")
     return rows.groupBy("__digest").agg(F.max_by(F.struct("__first", "group_size"), "__batch").alias("s")).select("__digest", "s.*")
 
