@@ -191,7 +191,7 @@ def sufficient_lookahead(merges: dict[tuple[int, int], tuple[int, int]], tokens:
 class Encoder:
     """Encodes texts block by block; caches the ids of units (white space and the run behind it)."""
 
-    LIMIT, LONG = 900_000, 48
+    LIMIT, LONG = 1_600_000, 48
 
     def __init__(self, model: Model):
         import regex
@@ -201,7 +201,7 @@ class Encoder:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(model.special, key=len, reverse=True))) + ")") if model.special else None
 
     def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """Put new units into the cache; those too long to keep are returned instead."""
+        """Ids of new units; those not too long to keep also go to the cache."""
         # Letters behind one space are one piece.
         parts = {u: [u] if u[0] == " " and u[1:].isalpha() else self.split(u) for u in units}
         new = {p for ps in parts.values() for p in ps}
@@ -210,18 +210,18 @@ class Encoder:
         for p in new:
             if len(p) > self.LONG:
                 known[p] = b"".join(np.array(x, "<u4").tobytes() for x in self.model.piece(p.encode("utf-8", "surrogatepass")))
-        long_units: dict[str, bytes] = {}
-        for u, ps in parts.items():
-            (self.units if len(u) <= self.LONG else long_units)[u] = known[u] if len(ps) == 1 else b"".join([known[p] for p in ps])
-        return long_units
+        out = {u: known[u] if len(ps) == 1 else b"".join([known[p] for p in ps]) for u, ps in parts.items()}
+        self.units.update(out if max(map(len, out)) <= self.LONG else {u: x for u, x in out.items() if len(u) <= self.LONG})
+        return out
 
     def _ids(self, blocks: list[list[str]]) -> Iterator[bytes]:
         if len(self.units) > self.LIMIT:
             self.units.clear()
-        cache = self.units
-        once = self._learn(set().union(*blocks).difference(cache))
-        for units in blocks:
-            yield b"".join([cache[u] if u in cache else once[u] for u in units] if once else map(cache.__getitem__, units))
+        known = [list(map(self.units.get, units)) for units in blocks]
+        new = {u for units, ids in zip(blocks, known) if None in ids for u, x in zip(units, ids) if x is None}
+        learnt = self._learn(new) if new else {}
+        for units, ids in zip(blocks, known):
+            yield b"".join([learnt[u] if x is None else x for u, x in zip(units, ids)] if None in ids else ids)
 
     def cuts(self, text: str | None, size: int = 1 << 20) -> Iterator[list[str] | bytes]:
         """Lists of units of about ``size`` characters, or the ids of a special token."""
