@@ -62,9 +62,9 @@ def words_of(text: str | None) -> list[str]:
 class Bag:
     """Flat subword ids of a word list, gathered once; windows refer to words."""
 
-    def __init__(self, texts: list[list[str]]):
+    def __init__(self, texts: list[str]):
         index: dict[str, int] = {}
-        self.words = [np.array([index.setdefault(w, len(index)) for w in t], np.int64) for t in texts]
+        self.words = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32) for t in texts]
         self.ids, of = subwords(list(index))
         self.size = np.bincount(of, minlength=len(index))
         self.start = np.cumsum(self.size) - self.size
@@ -76,7 +76,7 @@ class Bag:
         return np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(self.start[words], n)
 
 
-def train(texts: list[list[str]], toxic: np.ndarray, epochs: int = 6, rate: float = 0.3, least: int = 2, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(texts: list[str], toxic: np.ndarray, epochs: int = 6, rate: float = 0.3, least: int = 2, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, softmax weights and bias, fitted jointly (Adagrad, log loss)."""
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM
@@ -151,25 +151,36 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 1500) -> tuple[np.ndarra
     present = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     both = [present.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows if v else 2 * rows) for v in (0, 1)]
     chosen = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(both[0].union(both[1])), "doc_id")
-    sample = chosen.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").select("text", "toxic").toPandas()
-    toxic = sample["toxic"].to_numpy(np.int64) if len(sample) else np.zeros(0, np.int64)
+    sample = chosen.dropDuplicates(["doc_id", "text"]).select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "toxic")))))
+        sub, bias = learn_texts([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([sub.tobytes()], pa.binary()), pa.array([bias])], names=["sub", "bias"])
+
+    # The sample is bounded, so one task trains; only the bucket scores reach the driver.
+    model = sample.coalesce(1).mapInArrow(learn, "sub binary, bias double").first()
+    return (np.frombuffer(model["sub"], np.float32), model["bias"]) if model else (np.zeros(BUCKETS, np.float32), 0.0)
+
+
+def learn_texts(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Bucket scores and bias from labelled texts; neutral without both labels."""
     if len(set(toxic.tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0
-    fresh = first_of_copies([words_of(t) for t in sample["text"]])
-    sample, toxic = sample.iloc[fresh], toxic[fresh]
-    words = [words_of(t) for t in sample["text"]]
-    aside = np.arange(len(words)) % 5 == 0  # calibrates the bias
+    fresh = first_of_copies(texts)
+    texts, toxic = [texts[i] for i in fresh], toxic[fresh]
+    aside = np.arange(len(texts)) % 5 == 0  # calibrates the bias
     if len(set(toxic[~aside].tolist())) < 2 or len(set(toxic[aside].tolist())) < 2:
         aside[:] = False
-    emb, w, b = train([x for x, out in zip(words, aside) if not out], toxic[~aside])
+    emb, w, b = train([t for t, out in zip(texts, aside) if not out], toxic[~aside])
     sub, bias = (emb @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0])
     if aside.any():
-        p = text_scores([t for t, out in zip(sample["text"], aside) if out], sub, bias, {})
+        p = text_scores([t for t, out in zip(texts, aside) if out], sub, bias, {})
         bias -= cut_of(np.log(p) - np.log1p(-p), toxic[aside])
     return sub, bias
 
 
-def first_of_copies(texts: list[list[str]], width: int = 4, least: int = 8, shared: int = 2) -> np.ndarray:
+def first_of_copies(texts: list[str], width: int = 4, least: int = 8, shared: int = 2) -> np.ndarray:
     """Indices of texts that are no near copies of earlier ones in the (bounded) sample.
 
     Compared by the ``least`` smallest shingle hashes; a group of copies would
@@ -177,7 +188,7 @@ def first_of_copies(texts: list[list[str]], width: int = 4, least: int = 8, shar
     """
     seen: set[int] = set()
     out = []
-    for i, t in enumerate(texts):
+    for i, t in enumerate(map(words_of, texts)):
         sketch = sorted({zlib.crc32(" ".join(t[k : k + width]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(t) - width + 1))})[:least]
         if sum(h in seen for h in sketch) < shared:
             out.append(i)
