@@ -148,7 +148,7 @@ def host_of(url) -> "F.Column":
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, salt: int = 64) -> DataFrame:
     """(page_id, url, text, path) of every page (page_id, url, html).
 
     Null and empty pages give an empty text, as do pages without text.  Pages
@@ -167,6 +167,9 @@ def extract(pages: DataFrame) -> DataFrame:
     tally = votes.filter("score > 0").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").cast("decimal(38,2)").alias("score"))
     best = F.min_by(F.col("path"), F.struct(-F.col("n"), -F.col("score"), "path"))
     wins = tally.groupBy("host").agg(best.alias("path"))
+    # A host's pages are dealt to ``salt`` keys, each of which has a copy of the host's path.
+    wins = wins.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(salt)).cast("int"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,4 +182,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(paths, pa.string())], names=["page_id", "url", "text", "path"])
 
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, path string"
-    return rows.join(wins, "host", "left").select("page_id", "url", "html", "path").mapInArrow(read, schema)
+    return rows.join(wins, ["host", "part"], "left").select("page_id", "url", "html", "path").mapInArrow(read, schema)
