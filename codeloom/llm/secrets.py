@@ -71,7 +71,7 @@ def fit(docs: DataFrame, rows: int = 8000) -> list[float]:
     Labelled rows: at most ``rows`` documents, those of least hash of their id.
     The random class is smoothed by uniform transitions, worth as much as its
     own counts, since keys come in other alphabets than the sampled ones; the
-    ordinary class gets half a count of each transition.
+    ordinary class backs off to its single characters.
     """
     import math
 
@@ -85,13 +85,15 @@ def fit(docs: DataFrame, rows: int = 8000) -> list[float]:
     a, b = _transitions(random), _transitions(words)
     known = range(1, SIZE)
     table = [0.0] * (SIZE * SIZE)
+    ends = [sum(b[x * SIZE + y] for x in known) + 0.5 for y in range(SIZE)]
+    chars = [e / sum(ends[1:]) for e in ends]
     for x in known:
         at = x * SIZE
         na, nb = sum(a[at + 1 : at + SIZE]), sum(b[at + 1 : at + SIZE])
         weight = max(na, 1.0) / (SIZE - 1)
         for y in known:
             p = (a[at + y] + weight) / (na + weight * (SIZE - 1))
-            q = (b[at + y] + 0.5) / (nb + 0.5 * (SIZE - 1))
+            q = (b[at + y] + 5 * chars[y]) / (nb + 5)
             table[at + y] = math.log(p / q)
     return table
 
@@ -104,6 +106,11 @@ def likelihood_ratio(word: Column, table: list[float]) -> Column:
     return F.when(F.length(word) < 2, 0.0).otherwise(F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.get(scores, code(i) * SIZE + code(i + F.lit(1)))))
 
 
+def _ranked(spans, rank: int) -> Column:
+    """Spans as (start, rank, end): their sort order."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
+
+
 def scan_secrets(docs: DataFrame, rows: int = 8000, nats: float = 10.0, nats_per_char: float = 0.5) -> DataFrame:
     """``docs`` with n_assign, n_access, n_hex, base_sha256, spans and found (an array of kind, start, end).
 
@@ -116,12 +123,12 @@ def scan_secrets(docs: DataFrame, rows: int = 8000, nats: float = 10.0, nats_per
     table = fit(docs, rows)
     text = F.coalesce(F.col("text"), F.lit(""))
     frame = docs.withColumns({f"__{k}": s for k, s in base_spans(text).items()})
-    base = F.concat(*[F.transform(f"__{k}", lambda s, n=n: F.struct(s["start"].alias("start"), F.lit(n).alias("rank"), s["end"].alias("end"))) for n, k in enumerate(KINDS[:3])])
+    base = F.concat(*[_ranked(f"__{k}", n) for n, k in enumerate(KINDS[:3])])
     frame = frame.withColumn("__base", F.array_sort(base))
     run = _spans(text, RUN, lambda m: (likelihood_ratio(m, table) >= nats) & (likelihood_ratio(m, table) >= F.length(m) * nats_per_char))
     frame = frame.withColumn("__run", run)
     free = F.filter("__run", lambda s: ~F.exists("__base", lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-    added = F.transform(free, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("rank"), s["end"].alias("end")))
+    added = _ranked(free, 3)
     frame = frame.withColumn("__all", F.when(F.size(added) > 0, F.array_sort(F.concat("__base", added))).otherwise(F.col("__base")))
     names = F.array(*map(F.lit, KINDS))
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")

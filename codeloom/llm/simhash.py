@@ -100,6 +100,7 @@ def fingerprint_links(prints: DataFrame, bits: int = 4, tile: int = 4096) -> Dat
         for batch in batches:
             for r in range(batch.num_rows):
                 x, u, y, v = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("fp1", "node1", "fp", "node"))
+                x, y = x.view(np.uint64), y.view(np.uint64)  # bit counts of signed values ignore the sign
                 found = []
                 for at in range(0, len(x), 256):
                     i, j = np.nonzero(np.bitwise_count(x[at : at + 256, None] ^ y[None, :]) <= bits)
