@@ -11,25 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 def get_spark(master: str | None = None, app: str = "codeloom", shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE and skew-join handling switched on.
 
-    On a cluster the master and shuffle partition count come from the
-    submitter; locally they default to ``local[N]`` with N = cores.
+    Only what is unset is set: the master, shuffle partitions and memory that
+    spark-submit or an existing session brings stay.  Without a master the
+    session is local with one thread a core.
     """
+    from pyspark import SparkConf
+
     cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count() or 8)
+    given = SparkConf()  # what spark-submit has set
+    active = SparkSession.getActiveSession()
+    local = active is None and not given.contains("spark.master") and not os.environ.get("SPARK_MASTER")
+    options = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
+    if local:
+        options |= {"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("CODELOOM_DRIVER_MEMORY", "16g")}
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
+    if master or local:
         builder = builder.master(master or f"local[{cpus}]")
-    builder = (
-        builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-        .config("spark.driver.memory", os.environ.get("CODELOOM_DRIVER_MEMORY", "16g"))
-    )
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        options.pop("spark.sql.shuffle.partitions", None)
+    for key, value in options.items():
+        if not given.contains(key) and (active is None or active.conf.get(key, None) is None):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -48,7 +60,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     if sc is None:
         conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-        return conf_dir or tempfile.mkdtemp(prefix="codeloom-ckpt-")
+        if not conf_dir:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current
