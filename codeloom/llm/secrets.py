@@ -5,7 +5,7 @@ key-like characters are judged by two first-order character Markov models, one
 of random strings and one of ordinary identifiers: a run is reported when the log-likelihood
 ratio of its transitions speaks for random.  Both models are counted from
 labelled samples: secrets matched by the patterns are the random class, the
-other words of the sampled documents the ordinary class.  Everything is built
+name-like words of the sampled documents the ordinary class.  Everything is built
 from Spark SQL expressions; there is no Python on the executors.
 """
 
@@ -23,6 +23,8 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
 SIZE = len(ALPHABET) + 1
 RUN = "[A-Za-z0-9+/_=]{16,}"
+# Letters, also joined by underscores, and digits at the end only: what names look like.
+ORDINARY = "(?<![A-Za-z0-9+/_=])[A-Za-z]{2,}(?:_[A-Za-z]+)*[0-9]{0,4}(?![A-Za-z0-9+/_=])"
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -81,7 +83,7 @@ def fit(docs: DataFrame, rows: int = 8000) -> list[float]:
     secrets = F.concat(value, F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
     random = sample.select(F.explode(secrets).alias("word")).filter("length(word) >= 8")
     rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
-    words = sample.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=]{2,}"), F.lit(0))).alias("word"))
+    words = sample.select(F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("word"))
     a, b = _transitions(random), _transitions(words)
     known = range(1, SIZE)
     table = [0.0] * (SIZE * SIZE)
