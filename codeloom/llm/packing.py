@@ -18,6 +18,7 @@ holds one group and one batch, and a lost task repeats the same result.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,11 +28,54 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.bpe import Model
+from codeloom.llm.bpe import SPACE, Model
 from codeloom.llm.common import held, share
 
 END_ID = 0
 
+# Fixed value: the pre-tokeniser's pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
+
+
+class Ids:
+    """Ids of texts by the tiktoken library over the vocabulary of a tokenizers file.
+
+    The library merges by token rank, so ids must rise in the order of the merges.
+    A text is cut in front of white space behind other characters, where a piece of
+    the pre-tokeniser ends and no special token can lie.  A stretch of over two
+    spans without such a place goes through the streaming encoder, whose ids are
+    the same and whose memory is bounded.
+    """
+
+    SPAN = 1 << 14
+
+    def __init__(self, model: Model):
+        made = [new for _, new in sorted(model.merges.values())]
+        if made != sorted(made):
+            raise ValueError("token ids do not rise in the order of the merges")
+        if any(re.search(f"[{SPACE}]", t) for t in model.special):
+            raise ValueError("a special token holds white space")
+        self.model, self.library = model, None
+
+    def blocks(self, text: str | None) -> Iterator[bytes]:
+        """The ids of ``text`` as little-endian unsigned 32-bit integers, a span at a time."""
+        if self.library is None:
+            import tiktoken
+
+            special = self.model.special
+            ranks = {t: i for i, t in enumerate(self.model.tokens) if t and i not in special.values()}
+            self.library = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        text, at = text or "", 0
+        while at < len(text):
+            cut = CUT.search(text, at + self.SPAN)
+            end = cut.start() if cut else len(text)
+            if end - at > 2 * self.SPAN:
+                yield from self.model.encoder().blocks(text[at:end])
+            else:
+                yield self.library.encode_to_numpy(text[at:end], allowed_special="all").astype("<u4").tobytes()
+            at = end
+
 
 def difference(sizes: list[int], ways: int) -> list[list[int]]:
     """Indices of ``sizes`` in ``ways`` groups of near-equal sums, by multiway differencing.
@@ -94,11 +138,11 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, windows: int = 64, pa
     doc_id are packed each on its own; other columns are ignored; an empty table
     gives an empty result.
     """
-    model = share(docs.sparkSession, Model(path))
+    ids_of = share(docs.sparkSession, Ids(Model(path)))  # the vocabulary: fixed size
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_to"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held(model).encoder()
+        blocks = held(ids_of).blocks
         sequence = TaskContext.get().partitionId() << 40
         rest: list[tuple[int, int, bytes, int]] = []  # doc_id, start, ids, doc_tokens
         out: list[tuple] = []
@@ -145,9 +189,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, windows: int = 64, pa
 
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for doc, blocks in zip(batch.column("doc_id").to_pylist(), encoder.texts(texts)):
-                ids = b"".join([*blocks, end])
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                ids = b"".join([*blocks(text), end])
                 total = len(ids) // 4
                 whole = total - total % capacity
                 for at in range(0, whole, capacity):

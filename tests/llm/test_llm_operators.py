@@ -276,6 +276,18 @@ def test_packing_places_every_id_once(spark):
     assert sum(map(len, ids.values())) > 0.97 * room
 
 
+def test_packing_ids_equal_library_at_any_cut():
+    rng, lib = random.Random(8), library()
+    parts = ["a", "'s", "'", "  ", "\n", "\t", " ", "<|endoftext|>", "<|", "7", "é", "漢字", "\u3000", "\x85", "\xa0", "\x1c", "...", "😀", " the", "\r\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 400))) for _ in range(300)] + ODD + [" " * 500, "ab" * 500 + " " * 300 + "c"]
+    for span in (16, packing.Ids.SPAN):
+        ids = packing.Ids(bpe.Model(tokenizer()))
+        ids.SPAN = span
+        for t in texts:
+            want = np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+            assert b"".join(ids.blocks(t)) == want
+
+
 def test_differencing_balances():
     rng = random.Random(1)
     sizes = [rng.randint(1, 256) for _ in range(300)]
