@@ -5,7 +5,7 @@ key-like characters are judged by two first-order character Markov models, one
 of random strings and one of ordinary identifiers: a run is reported when the log-likelihood
 ratio of its transitions speaks for random.  Both models are counted from
 labelled samples: secrets matched by the patterns are the random class, the
-name-like words of the sampled documents the ordinary class.  Everything is built
+name-like words and numbers of the sampled documents the ordinary class.  Everything is built
 from Spark SQL expressions; there is no Python on the executors.
 """
 
@@ -23,8 +23,8 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
 SIZE = len(ALPHABET) + 1
 RUN = "[A-Za-z0-9+/_=]{16,}"
-# Letters, also joined by underscores, and digits at the end only: what names look like.
-ORDINARY = "(?<![A-Za-z0-9+/_=])[A-Za-z]{2,}(?:_[A-Za-z]+)*[0-9]{0,4}(?![A-Za-z0-9+/_=])"
+# Letters, also joined by underscores, and digits at the end only: what names look like; and plain numbers.
+ORDINARY = "(?<![A-Za-z0-9+/_=])(?:[A-Za-z]{2,}(?:_[A-Za-z]+)*[0-9]{0,4}|[0-9]{2,})(?![A-Za-z0-9+/_=])"
 SPAN = "array<struct<start:int,end:int>>"
 
 
