@@ -1,10 +1,11 @@
 """Corpus extraction: source files -> nested metadata rows.
 
-The per-file parser is a small helper; the operator is the corpus-wide
-Spark job ``files(path, content) -> mapInArrow -> fixed schema``.  Spark
-partitions the files over executors; each task parses its files with the
-standard-library ``ast`` module and streams Arrow batches back.  Everything
-downstream is built-in SQL on the nested result.
+One pass over the syntax tree of a file, with a stack of its own, gives flat
+arrays in source order: scopes (functions and classes at any depth), branch
+nodes, leaves (branch node of every simple statement) and returned values.  A
+scope names its parts by ranges and positions in these arrays.  The nested
+records, the interface flag, the return types and the numbered paths are
+put together from them with SQL array functions, file by file, without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ INTERFACE_BASES = ("ABC", "Protocol", "Interface")
 ABSTRACT_DECORATOR = "abstractmethod"
 
 # ---------------------------------------------------------------------------
-# per-file helpers (plain Python, run inside Spark tasks)
+# the pass over one file (plain Python, run inside Spark tasks)
 # ---------------------------------------------------------------------------
 
 
@@ -37,132 +38,29 @@ def normalize_newlines(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
-def _attr_name(node: ast.Attribute) -> str:
-    if isinstance(node.value, ast.Attribute):
-        return f"{_attr_name(node.value)}.{node.attr}"
-    if isinstance(node.value, ast.Name):
-        return f"{node.value.id}.{node.attr}"
-    return node.attr
-
-
-def type_text(a) -> str:
-    """Annotation -> text (names, dotted names, subscripts, tuples, constants)."""
-    if isinstance(a, ast.Name):
-        return a.id
-    if isinstance(a, ast.Attribute):
-        return _attr_name(a)
-    if isinstance(a, ast.Subscript):
-        return f"{type_text(a.value)}[{type_text(a.slice)}]"
-    if isinstance(a, ast.Tuple):
-        return "Tuple[" + ", ".join(type_text(e) for e in a.elts) + "]"
-    if isinstance(a, ast.Constant):
-        return str(a.value)
-    if isinstance(a, ast.List):
-        return "List"
-    if isinstance(a, ast.Dict):
-        return "Dict"
-    # Any other expression (e.g. ``int | None``): its source form, not an object repr.
-    return ast.unparse(a)
-
-
-def return_types(fn: ast.FunctionDef) -> list[str]:
-    """Annotation (``Union[...]`` split on ', '), else inferred names, else None."""
-    if fn.returns is not None:
-        t = type_text(fn.returns)
-        if t.startswith("Union["):
-            return t[6:-1].split(", ")
-        return [t]
-    found = set()
-    for sub in walk_statements(fn.body):
-        if isinstance(sub, ast.Return) and sub.value is not None:
-            if isinstance(sub.value, ast.Name):
-                found.add(sub.value.id)
-            elif isinstance(sub.value, ast.Constant):
-                found.add(type(sub.value.value).__name__)
-    return sorted(found) if found else ["None"]
-
-
-# Statement blocks of compound statements, in declaration order.  Function
-# definitions and ``return`` are statements, so walking blocks (not every
-# expression node) finds all of them, in source pre-order.
-_BLOCK_FIELDS = frozenset(("body", "handlers", "orelse", "finalbody", "cases"))
-
-
-def walk_statements(stmts):
-    """Pre-order over statements at any depth (incl. nested defs, handlers, cases)."""
-    for st in stmts:
-        yield st
-        for f in st._fields:
-            if f in _BLOCK_FIELDS:
-                v = getattr(st, f, None)
-                if v:
-                    yield from walk_statements(v)
-
-
-def function_record(fn: ast.FunctionDef, lines: list[str]) -> dict:
-    params = [{"name": a.arg, "type": type_text(a.annotation) if a.annotation is not None else "Any"} for a in fn.args.args]
-    body = "\n".join(lines[fn.lineno : fn.end_lineno]).strip()
-    return {"name": fn.name, "parameters": params, "return_types": return_types(fn), "body": body}
-
-
-def is_interface(cls: ast.ClassDef) -> bool:
-    for b in cls.bases:
-        if isinstance(b, ast.Name) and b.id in INTERFACE_BASES:
-            return True
-        if isinstance(b, ast.Attribute) and b.attr in INTERFACE_BASES:
-            return True
-    for item in cls.body:
-        if isinstance(item, ast.FunctionDef):
-            for d in item.decorator_list:
-                if isinstance(d, ast.Name) and d.id == ABSTRACT_DECORATOR:
-                    return True
-    return False
-
-
-def class_record(cls: ast.ClassDef, lines: list[str]) -> dict:
-    fields, methods = [], []
-    for item in cls.body:
-        if isinstance(item, ast.AnnAssign) and isinstance(item.target, ast.Name):
-            fields.append({"name": item.target.id, "type": type_text(item.annotation)})
-        elif isinstance(item, ast.FunctionDef):
-            methods.append({"reciever": cls.name, "function": function_record(item, lines)})
-    return {"name": cls.name, "fields": fields, "methods": methods}
-
-
-def parse_file(path: str, content, with_paths: int | None = None) -> dict:
-    """One File record; a file that does not parse gives empty arrays + error.
-
-    With ``with_paths`` (a path cap), the same parse also yields the X10/C1
-    rows of every function under ``fpaths``.
-    """
-    rec = {"path": path, "module": None, "classes": [], "interfaces": [], "functions": [], "error": None}
-    if with_paths is not None:
-        rec["fpaths"] = []
-    try:
-        text = content.decode("utf-8") if isinstance(content, (bytes, bytearray)) else content
-        text = normalize_newlines(text)
-        tree = ast.parse(text)
-        lines = text.split("\n")
-        if with_paths is not None:
-            rec["fpaths"] = _function_paths(path, text, tree, with_paths, lines)
-        functions = [function_record(n, lines) for n in tree.body if isinstance(n, ast.FunctionDef)]
-        classes, interfaces = [], []
-        for n in tree.body:
-            if isinstance(n, ast.ClassDef):
-                c = class_record(n, lines)
-                if is_interface(n):
-                    interfaces.append({"name": c["name"], "methods": [m["function"] for m in c["methods"]]})
-                else:
-                    classes.append(c)
-        rec.update(functions=functions, classes=classes, interfaces=interfaces)
-    except Exception as e:  # noqa: BLE001 - any failure is a per-file error row
-        rec["error"] = f"{type(e).__name__}: {e}"
-    return rec
+class _Spelling(ast.NodeTransformer):
+    """Folds the parts of an annotation with a spelling of their own into names; ``unparse`` writes the rest."""
 
+    SPELT = {
+        ast.Constant: lambda n: str(n.value),
+        ast.List: lambda n: "List",
+        ast.Dict: lambda n: "Dict",
+        ast.Tuple: lambda n: f"Tuple[{', '.join(map(type_text, n.elts))}]",
+    }
 
-# ---------------------------------------------------------------------------
-# control-flow paths (C1) and all functions
-# ---------------------------------------------------------------------------
+    def visit(self, node):
+        if spelt := self.SPELT.get(type(node)):
+            return ast.Name(spelt(node))
+        if isinstance(node, ast.Subscript):
+            return ast.Subscript(self.visit(node.value), self.visit(node.slice))
+        if isinstance(node, ast.Attribute) and not isinstance(node.value, (ast.Name, ast.Attribute)):
+            return ast.Name(node.attr)
+        return ast.Attribute(self.visit(node.value), node.attr) if isinstance(node, ast.Attribute) else node
+
+
+def type_text(annotation: ast.expr) -> str:
+    """Annotation as text; expressions without a rule keep their source form."""
+    return ast.unparse(_Spelling().visit(annotation))
 
 
 class _Source:
@@ -220,100 +118,131 @@ class _Source:
         return text[i:]
 
 
-_FUNC_TYPES = (ast.FunctionDef, ast.AsyncFunctionDef)
-
-
-def _preorder_functions(tree, out: list) -> None:
-    out.extend(st for st in walk_statements(tree.body) if isinstance(st, _FUNC_TYPES))
-
-
-def _label(kind: str, arm: str, text: str) -> tuple[str, str, str]:
-    return (kind, arm, text)
-
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_MUTED = (None, None, None)  # a block that is no part of the paths around it
 
-def collect_paths(stmts: list, src: _Source, prefix: tuple, out: list, cap: int) -> None:
-    """Statement-level label paths: every simple statement ends a path.
 
-    if -> then / else arms (elif = else arm holding an if); for / while ->
-    body; try -> body, each handler, finally; return -> expression text.
-    Siblings do not multiply: each statement extends the same prefix.
-    """
-    for st in stmts:
-        if len(out) >= cap:
-            return
-        if isinstance(st, ast.If):
+def _branches(st: ast.stmt, src: _Source) -> list[tuple[list, list[tuple]]] | None:
+    """(block, labels in front of it) of a compound statement in source order; None for a simple one."""
+    match st:
+        case ast.If():
             cond = src.segment(st.test)
-            collect_paths(st.body, src, prefix + (_label("if_statement", "then", cond),), out, cap)
-            if st.orelse:
-                collect_paths(st.orelse, src, prefix + (_label("if_statement", "else", cond),), out, cap)
-        elif isinstance(st, (ast.For, ast.AsyncFor)):
-            head = f"{src.segment(st.target)} in {src.segment(st.iter)}"
-            collect_paths(st.body, src, prefix + (_label("for_statement", "body", head),), out, cap)
-        elif isinstance(st, ast.While):
-            collect_paths(st.body, src, prefix + (_label("while_statement", "body", src.segment(st.test)),), out, cap)
-        elif isinstance(st, (ast.Try, getattr(ast, "TryStar", ast.Try))):
-            collect_paths(st.body, src, prefix + (_label("try_statement", "try", ""),), out, cap)
-            for h in st.handlers:
-                htxt = src.segment(h.type) if h.type is not None else ""
-                collect_paths(
-                    h.body, src, prefix + (_label("try_statement", "except", ""), _label("except_clause", "except", htxt)), out, cap
-                )
-            if st.finalbody:
-                collect_paths(
-                    st.finalbody, src, prefix + (_label("try_statement", "finally", ""), _label("finally", "finally", "")), out, cap
-                )
-        elif isinstance(st, ast.Return):
-            out.append(prefix + (_label("return", "", src.segment(st.value) if st.value is not None else ""),))
-        elif isinstance(st, (ast.With, ast.AsyncWith, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            collect_paths(st.body, src, prefix, out, cap)
-        elif isinstance(st, ast.Match):
-            for case in st.cases:
-                collect_paths(case.body, src, prefix, out, cap)
-        else:
-            out.append(prefix)
-
-
-def function_paths_of_file(path: str, content, cap: int) -> list[dict]:
-    """X10 + C1: every function definition (pre-order) with its distinct label paths."""
+            return [(block, [("if_statement", arm, cond)]) for arm, block in (("then", st.body), ("else", st.orelse))]
+        case ast.For() | ast.AsyncFor():
+            over = f"{src.segment(st.target)} in {src.segment(st.iter)}"
+            return [(st.body, [("for_statement", "body", over)]), (st.orelse, [_MUTED])]
+        case ast.While():
+            return [(st.body, [("while_statement", "body", src.segment(st.test))]), (st.orelse, [_MUTED])]
+        case ast.Try() | ast.TryStar():
+            at = lambda arm: ("try_statement", arm, "")
+            caught = [(h.body, [at("except"), ("except_clause", "except", src.segment(h.type) if h.type else "")]) for h in st.handlers]
+            return [(st.body, [at("try")]), *caught, (st.orelse, [_MUTED]), (st.finalbody, [at("finally"), ("finally", "finally", "")])]
+        case ast.Match():
+            return [(case.body, []) for case in st.cases]
+        case ast.With() | ast.AsyncWith() | ast.FunctionDef() | ast.AsyncFunctionDef() | ast.ClassDef():
+            return [(st.body, [])]
+    return None
+
+
+class _Outline:
+    """The flat arrays of one module.
+
+    Branch nodes are interned by (parent, label), so equal paths of a function
+    end at the same node.  ``chain`` lists a node's ancestors and itself; ``mute``
+    is the depth of the last muted node among them, 0 without one.  A function
+    outside of others starts at a new muted node, its base: the nodes from there
+    to its end are those of its paths and of the functions in it.
+    """
+
+    def __init__(self, text: str):
+        tree = ast.parse(text)
+        self.src = _Source(text)
+        self.top: list[int] = []
+        self.scopes: list[dict] = []
+        self.nodes: list[dict] = [{"kind": None, "arm": None, "text": None, "chain": [], "mute": 0}]
+        self.bases: list[int | None] = [None]
+        self.known: dict[tuple, int] = {}
+        self.leaves: list[int] = []
+        self.values: list[str] = []
+        # (statement, branch node, positions of the scopes it stands in directly, its class) or (None, scope)
+        todo: list[tuple] = [(st, 0, self.top, None) for st in reversed(tree.body)]
+        while todo:
+            st, at, *place = todo.pop()
+            if st is None:
+                at.update(leaves_to=len(self.leaves), values_to=len(self.values), nodes_to=len(self.nodes))
+            else:
+                todo.extend(reversed(self.enter(st, at, *place)))
+
+    def add(self, up: int, label: tuple, base: int | None) -> int:
+        chain = [*self.nodes[up]["chain"], len(self.nodes)]
+        mute = len(chain) if label is _MUTED else self.nodes[up]["mute"]
+        self.nodes.append({"kind": label[0], "arm": label[1], "text": label[2], "chain": chain, "mute": mute})
+        self.bases.append(base)
+        return len(self.nodes) - 1
+
+    def node(self, up: int, label: tuple) -> int:
+        if (up, label) not in self.known:
+            self.known[up, label] = self.add(up, label, self.bases[up])
+        return self.known[up, label]
+
+    def enter(self, st: ast.stmt, at: int, siblings: list | None, cls: dict | None) -> list[tuple]:
+        blocks = _branches(st, self.src)
+        if blocks is None:
+            self.simple(st, at, cls)
+            return []
+        members, owner, after = None, None, []
+        if isinstance(st, (*_FUNCTIONS, ast.ClassDef)):
+            if siblings is not None:
+                siblings.append(len(self.scopes))
+            if isinstance(st, _FUNCTIONS) and self.bases[at] is None:
+                at = self.add(at, _MUTED, len(self.nodes))
+            scope = self.scope(st, at)
+            self.scopes.append(scope)
+            after = [(None, scope)]
+            if isinstance(st, ast.ClassDef):
+                members, owner = scope["members"], scope
+        inner = []
+        for block, labels in blocks:
+            end = at
+            for label in labels if block else ():
+                end = self.node(end, label)
+            inner.extend((s, end, members, owner) for s in block)
+        return inner + after
+
+    def simple(self, st: ast.stmt, at: int, cls: dict | None) -> None:
+        if isinstance(st, ast.Return):
+            if isinstance(st.value, ast.Name):
+                self.values.append(st.value.id)
+            elif isinstance(st.value, ast.Constant):
+                self.values.append(type(st.value.value).__name__)
+            at = self.node(at, ("return", "", self.src.segment(st.value) if st.value else ""))
+        elif cls is not None and isinstance(st, ast.AnnAssign) and isinstance(st.target, ast.Name):
+            cls["fields"].append({"name": st.target.id, "type": type_text(st.annotation)})
+        self.leaves.append(at)
+
+    def scope(self, st, at: int) -> dict:
+        out = {"kind": type(st).__name__, "name": st.name, "depth": len(self.nodes[at]["chain"]), "root": at, "base": self.bases[at]}
+        out |= {"leaves_from": len(self.leaves), "values_from": len(self.values), "members": [], "fields": []}
+        if isinstance(st, ast.ClassDef):
+            return out | {"bases": [getattr(b, "id", getattr(b, "attr", None)) for b in st.bases if isinstance(b, (ast.Name, ast.Attribute))]}
+        return out | {
+            "marks": [d.id for d in st.decorator_list if isinstance(d, ast.Name)],
+            "params": [{"name": a.arg, "type": a.annotation and type_text(a.annotation)} for a in st.args.args],
+            "params_text": self.src.params_text(st),
+            "returns": st.returns and type_text(st.returns),
+            "returns_text": self.src.segment(st.returns) if st.returns else "",
+            "body": "\n".join(self.src.lines[st.lineno : st.end_lineno]).strip(),
+        }
+
+
+def outline(path: str, content) -> dict:
+    """The flat arrays of a file; one that does not decode or parse has empty arrays and the error."""
     try:
         text = content.decode("utf-8") if isinstance(content, (bytes, bytearray)) else content
-        text = normalize_newlines(text)
-        tree = ast.parse(text)
-    except Exception:  # noqa: BLE001 - unparseable files have no functions
-        return []
-    return _function_paths(path, text, tree, cap)
-
-
-def _function_paths(path: str, text: str, tree, cap: int, lines: list[str] | None = None) -> list[dict]:
-    src = _Source(text, lines)
-    funcs: list = []
-    _preorder_functions(tree, funcs)
-    rows = []
-    for no, fn in enumerate(funcs):
-        raw: list = []
-        collect_paths(fn.body, src, (), raw, cap + 1)
-        seen, labels = set(), []
-        for p in raw:
-            if p and p not in seen:
-                seen.add(p)
-                labels.append(p)
-        truncated = len(raw) > cap
-        labels = labels[:cap]
-        rows.append(
-            {
-                "path": path,
-                "func_no": no,
-                "name": fn.name,
-                "params_text": src.params_text(fn),
-                "returns_text": src.segment(fn.returns) if fn.returns is not None else "",
-                "truncated": truncated,
-                "paths": [
-                    {"path_no": i, "labels": [{"pos": k, "kind": a, "arm": b, "text": c} for k, (a, b, c) in enumerate(p)]}
-                    for i, p in enumerate(labels)
-                ],
-            }
-        )
-    return rows
+        o = _Outline(normalize_newlines(text))
+        return {"path": path, "error": None, "top": o.top, "scopes": o.scopes, "nodes": o.nodes, "leaves": o.leaves, "values": o.values}
+    except Exception as e:  # noqa: BLE001 - any failure is a per-file error row
+        return {"path": path, "error": f"{type(e).__name__}: {e}", "top": [], "scopes": [], "nodes": [], "leaves": [], "values": []}
 
 
 # ---------------------------------------------------------------------------
@@ -322,65 +251,141 @@ def _function_paths(path: str, text: str, tree, cap: int, lines: list[str] | Non
 
 _RAW_META = T.StructType([f for f in S.FILE_META.fields])
 
-LABEL = T.StructType(
+BRANCH = T.StructType(
     [
-        T.StructField("pos", T.LongType()),
         T.StructField("kind", T.StringType()),
         T.StructField("arm", T.StringType()),
         T.StructField("text", T.StringType()),
     ]
 )
+# A path lists positions in the branches of its function: labels in full would grow with depth times paths.
 FUNCTION_PATHS = T.StructType(
     list(S.ALL_FUNCTIONS.fields[:5])
     + [
-        T.StructField("truncated", T.BooleanType()),
+        T.StructField("branches", T.ArrayType(BRANCH)),
         T.StructField(
             "paths",
-            T.ArrayType(T.StructType([T.StructField("path_no", T.LongType()), T.StructField("labels", T.ArrayType(LABEL))])),
+            T.ArrayType(T.StructType([T.StructField("path_no", T.LongType()), T.StructField("steps", T.ArrayType(T.IntegerType()))])),
         ),
     ]
 )
+OUTLINE = (
+    "path string, error string, top array<int>, scopes array<struct<kind: string, name: string, depth: int, root: int, base: int, nodes_to: int, "
+    "leaves_from: int, leaves_to: int, values_from: int, values_to: int, members: array<int>, fields: array<struct<name: string, type: string>>, "
+    "bases: array<string>, marks: array<string>, params: array<struct<name: string, type: string>>, params_text: string, returns: string, "
+    "returns_text: string, body: string>>, nodes array<struct<kind: string, arm: string, text: string, chain: array<int>, mute: int>>, "
+    "leaves array<int>, values array<string>"
+)
 
 
-def _arrow_mapper(fn, spark_schema: T.StructType):
+def _arrow_mapper(fn, spark_schema: T.StructType, files: int = 64):
+    """``fn(path, content) -> rows`` over Arrow batches, given back some files at a time."""
     arrow_schema = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            paths = b.column(0).to_pylist()
-            contents = b.column(1).to_pylist()
-            rows = []
-            for p, c in zip(paths, contents):
-                rows.extend(fn(p, c))
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
+            for at in range(0, b.num_rows, files):
+                part = b.slice(at, files)
+                rows = [r for p, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for r in fn(p, c)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
 
     return run
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a Python-heavy stage at least one partition per core.
+def _as_corpus(corpus: DataFrame, path_col: str, content_col: str) -> DataFrame:
+    return corpus.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
 
-    Small inputs (a few MB after AQE coalescing) can arrive as a single
-    partition, which would serialise the parser on one core.  Inputs that
-    are already wider (any real corpus: file splits of
-    ``spark.sql.files.maxPartitionBytes``) are left alone -- no extra
-    shuffle at scale.
-    """
-    if df.isStreaming:
-        return df
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): keep the input partitioning
-        return df
-    if n < cores:
-        return df.repartition(cores, "path")
-    return df
 
+def outlines(corpus: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """One row of flat arrays per file, on the partitioning of ``corpus``: a caller with few, full partitions splits them."""
+    schema = T.StructType.fromDDL(OUTLINE)
+    return _as_corpus(corpus, path_col, content_col).mapInArrow(_arrow_mapper(lambda p, c: [outline(p, c)], schema), schema)
+
+
+def _return_types(s: Column) -> Column:
+    """The annotation, ``Union[...]`` split at ', '; else the returned names and constant types, sorted; else None."""
+    union = F.split(F.substr(s["returns"], F.lit(7), F.length(s["returns"]) - 7), ", ")
+    seen = F.array_sort(F.array_distinct(F.slice("values", s["values_from"] + 1, s["values_to"] - s["values_from"])))
+    inferred = F.when(F.size(seen) > 0, seen).otherwise(F.array(F.lit("None")))
+    return F.when(s["returns"].isNull(), inferred).when(s["returns"].startswith("Union["), union).otherwise(F.array(s["returns"]))
 
-def _as_corpus(corpus: DataFrame, path_col: str, content_col: str) -> DataFrame:
-    return spread(corpus.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")))
+
+def _function(s: Column) -> Column:
+    params = F.transform(s["params"], lambda p: F.struct(p["name"].alias("name"), F.coalesce(p["type"], F.lit("Any")).alias("type")))
+    return F.struct(s["name"].alias("name"), params.alias("parameters"), _return_types(s).alias("return_types"), s["body"].alias("body"))
+
+
+def _direct(positions: Column, kind: type) -> Column:
+    """The scopes of a kind among ``positions``."""
+    return F.filter(F.transform(positions, lambda i: F.get("scopes", i)), lambda s: s["kind"] == kind.__name__)
+
+
+def _is_interface(c: Column) -> Column:
+    """A known base, or a method under the abstract decorator."""
+    abstract = F.exists(_direct(c["members"], ast.FunctionDef), lambda m: F.array_contains(m["marks"], ABSTRACT_DECORATOR))
+    return F.exists(c["bases"], lambda b: b.isin(*INTERFACE_BASES)) | abstract
+
+
+def _meta(flat: DataFrame, *others: str) -> DataFrame:
+    """File records of outlines; ``others`` are kept beside them."""
+    classes = _direct(F.col("top"), ast.ClassDef)
+    record = {
+        "module": module_name("path"),
+        "classes": F.transform(
+            F.filter(classes, lambda c: ~_is_interface(c)),
+            lambda c: F.struct(
+                c["name"].alias("name"),
+                c["fields"].alias("fields"),
+                F.transform(
+                    _direct(c["members"], ast.FunctionDef), lambda m: F.struct(c["name"].alias("reciever"), _function(m).alias("function"))
+                ).alias("methods"),
+            ),
+        ),
+        "interfaces": F.transform(
+            F.filter(classes, _is_interface),
+            lambda c: F.struct(c["name"].alias("name"), F.transform(_direct(c["members"], ast.FunctionDef), _function).alias("methods")),
+        ),
+        "functions": F.transform(_direct(F.col("top"), ast.FunctionDef), _function),
+    }
+    return flat.select(*[record.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in S.FILE_META.fields], *others)
+
+
+def _paths(s: Column) -> Column:
+    """The distinct branch paths of a function in source order, from its root down; empty ones left out."""
+    leaves = F.slice("leaves", s["leaves_from"] + 1, s["leaves_to"] - s["leaves_from"])
+    own = F.filter(F.array_distinct(leaves), lambda n: (n != s["root"]) & (F.get("nodes", n)["mute"] <= s["depth"]))
+
+    def steps(leaf: Column) -> Column:
+        chain = F.get("nodes", leaf)["chain"]
+        return F.transform(F.slice(chain, s["depth"] + 1, F.size(chain)), lambda n: n - s["base"])
+
+    return F.transform(own, lambda leaf, i: F.struct(i.cast("long").alias("path_no"), steps(leaf).alias("steps")))
+
+
+def _branches_of(s: Column) -> Column:
+    own = F.slice("nodes", s["base"] + 1, s["nodes_to"] - s["base"])
+    return F.transform(own, lambda n: F.struct(*[n[c].alias(c) for c in BRANCH.names]))
+
+
+def labels_of(steps: Column, branches: Column) -> Column:
+    """The labels (pos, kind, arm, text) of one path."""
+    return F.transform(
+        steps, lambda n, k: F.struct(k.cast("long").alias("pos"), *[F.get(branches, n)[c].alias(c) for c in BRANCH.names])
+    )
+
+
+def _function_paths() -> Column:
+    """X10 + C1: every function of a file at any depth, in source order."""
+    found = F.filter("scopes", lambda s: s["kind"] != ast.ClassDef.__name__)
+    rows = F.transform(
+        found,
+        lambda s, i: F.struct(
+            F.col("path").alias("path"), i.cast("long").alias("func_no"), s["name"].alias("name"), s["params_text"].alias("params_text"),
+            s["returns_text"].alias("returns_text"), _branches_of(s).alias("branches"), _paths(s).alias("paths"),
+        ),
+    )
+    return rows.cast(T.ArrayType(FUNCTION_PATHS))
 
 
 def extract_metadata(corpus: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
@@ -390,28 +395,17 @@ def extract_metadata(corpus: DataFrame, path_col: str = "path", content_col: str
     as UTF-8, a decode failure is a per-file error).  ``module`` is derived
     from the (relative) path by a column expression.
     """
-    mapped = _as_corpus(corpus, path_col, content_col).mapInArrow(
-        _arrow_mapper(lambda p, c: [parse_file(p, c)], _RAW_META), _RAW_META
-    )
-    return mapped.withColumn("module", module_name("path")).select(*[f.name for f in S.FILE_META.fields])
-
-
-def extract_function_paths(corpus: DataFrame, cap: int = 10_000, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """X10 + C1 in one pass: one row per function definition at any depth."""
-    return _as_corpus(corpus, path_col, content_col).mapInArrow(
-        _arrow_mapper(lambda p, c: function_paths_of_file(p, c, cap), FUNCTION_PATHS), FUNCTION_PATHS
-    )
+    return _meta(outlines(corpus, path_col, content_col))
 
 
-_COMBINED = T.StructType(list(_RAW_META.fields) + [T.StructField("fpaths", T.ArrayType(FUNCTION_PATHS))])
+def extract_function_paths(corpus: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """X10 + C1: one row per function definition at any depth, with all its distinct paths."""
+    return outlines(corpus, path_col, content_col).select(F.inline(_function_paths()))
 
 
-def extract_corpus(corpus: DataFrame, cap: int = 10_000, path_col: str = "path", content_col: str = "content") -> DataFrame:
+def extract_corpus(corpus: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """X1 + X10 + C1 from a single parse per file: File record plus ``fpaths``."""
-    mapped = _as_corpus(corpus, path_col, content_col).mapInArrow(
-        _arrow_mapper(lambda p, c: [parse_file(p, c, cap)], _COMBINED), _COMBINED
-    )
-    return mapped.withColumn("module", module_name("path")).select(*[f.name for f in S.FILE_META.fields], "fpaths")
+    return _meta(outlines(corpus, path_col, content_col).withColumn("fpaths", _function_paths()), "fpaths")
 
 
 def meta_of(combined: DataFrame) -> DataFrame:
@@ -428,10 +422,10 @@ def all_functions(function_paths: DataFrame) -> DataFrame:
 
 
 def path_labels(function_paths: DataFrame) -> DataFrame:
-    """C1 long form: (path, func_no, path_no, pos, kind, arm, text, truncated)."""
-    p = function_paths.select("path", "func_no", "truncated", F.explode("paths").alias("p"))
-    lab = p.select("path", "func_no", "truncated", F.col("p.path_no").alias("path_no"), F.explode("p.labels").alias("l"))
-    return lab.select("path", "func_no", "path_no", "l.pos", "l.kind", "l.arm", "l.text", "truncated")
+    """C1 long form: (path, func_no, path_no, pos, kind, arm, text)."""
+    p = function_paths.select("path", "func_no", "branches", F.explode("paths").alias("p"))
+    lab = p.select("path", "func_no", F.col("p.path_no").alias("path_no"), labels_of(F.col("p.steps"), F.col("branches")).alias("ls"))
+    return lab.select("path", "func_no", "path_no", F.inline("ls"))
 
 
 # ---------------------------------------------------------------------------

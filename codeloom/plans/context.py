@@ -49,8 +49,12 @@ def code_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One parse per file: File record + per-function paths, written once."""
-    return _memo(spark, sf_dir, "parsed", lambda: materialize(extract.extract_corpus(corpus(spark, sf_dir))))
+    """One parse per file: File record + per-function paths, written once.
+
+    Parsing is heavy for its input size, so files are dealt to all shuffle partitions.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _memo(spark, sf_dir, "parsed", lambda: materialize(extract.extract_corpus(corpus(spark, sf_dir).repartition(parts, "path"))))
 
 
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -627,7 +627,7 @@ def cover_sets(spark, sf) -> DataFrame:
 @query("py_paths")
 def q_py_paths(spark, sf):
     """Control-flow label paths per function (long form)."""
-    return X.path_labels(C.function_paths(spark, sf)).drop("truncated")
+    return X.path_labels(C.function_paths(spark, sf))
 
 
 @query("distinct_branches")

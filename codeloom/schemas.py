@@ -77,7 +77,6 @@ PATH_LABELS = T.StructType(
         T.StructField("kind", T.StringType()),
         T.StructField("arm", T.StringType()),
         T.StructField("text", T.StringType()),
-        T.StructField("truncated", T.BooleanType()),
     ]
 )
 

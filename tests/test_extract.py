@@ -10,20 +10,32 @@ def _golden():
         return f.read()
 
 
+def _record(spark, path, text):
+    """The File record of one file, as nested dicts."""
+    row = X.extract_metadata(spark.createDataFrame([(path, text)], "path string, content string")).collect()[0]
+    return row.asDict(recursive=True)
+
+
+def _functions(spark, path, text):
+    """The X10 / C1 rows of one file, in order."""
+    rows = X.extract_function_paths(spark.createDataFrame([(path, text)], "path string, content string")).collect()
+    return sorted((r.asDict() for r in rows), key=lambda r: r["func_no"])
+
+
 def _fn(rec, name):
     return next(f for f in rec["functions"] if f["name"] == name)
 
 
-def test_top_level_functions_in_order_sync_only():
-    rec = X.parse_file("pkg/sample_module.py", _golden())
+def test_top_level_functions_in_order_sync_only(spark):
+    rec = _record(spark, "pkg/sample_module.py", _golden())
     assert rec["error"] is None
     assert [f["name"] for f in rec["functions"]] == [
         "outer", "long_signature", "either", "pick", "inferred", "nothing", "modern", "one_liner",
     ]
 
 
-def test_parameters_and_annotation_text():
-    rec = X.parse_file("p.py", _golden())
+def test_parameters_and_annotation_text(spark):
+    rec = _record(spark, "p.py", _golden())
     pick = _fn(rec, "pick")
     assert pick["parameters"] == [{"name": "items", "type": "List[T]"}, {"name": "pred", "type": "Callable[Tuple[List, bool]]"}]
     assert pick["return_types"] == ["Optional[T]"]
@@ -33,28 +45,28 @@ def test_parameters_and_annotation_text():
     assert modern["return_types"] == ["dict[Tuple[str, int]]"]
 
 
-def test_union_and_tuple_quirks():
-    rec = X.parse_file("p.py", _golden())
+def test_union_and_tuple_quirks(spark):
+    rec = _record(spark, "p.py", _golden())
     assert _fn(rec, "either")["return_types"] == ["Tuple[str", "List[str]]"]
     assert _fn(rec, "long_signature")["return_types"] == ["Tuple[Tuple[int, str]]"]
 
 
-def test_inferred_return_types_sorted_and_default_none():
-    rec = X.parse_file("p.py", _golden())
+def test_inferred_return_types_sorted_and_default_none(spark):
+    rec = _record(spark, "p.py", _golden())
     assert _fn(rec, "inferred")["return_types"] == ["NoneType", "int", "x"]
     assert _fn(rec, "nothing")["return_types"] == ["None"]
     assert _fn(rec, "one_liner")["return_types"] == ["v"]
 
 
-def test_bodies_multiline_signature_leak_nested_function_and_one_liner():
-    rec = X.parse_file("p.py", _golden())
+def test_bodies_multiline_signature_leak_nested_function_and_one_liner(spark):
+    rec = _record(spark, "p.py", _golden())
     assert _fn(rec, "outer")["body"].startswith("def inner(c):")
     assert _fn(rec, "long_signature")["body"].startswith("first: int,")
     assert _fn(rec, "one_liner")["body"] == ""
 
 
-def test_classes_fields_methods_nested_ignored():
-    rec = X.parse_file("p.py", _golden())
+def test_classes_fields_methods_nested_ignored(spark):
+    rec = _record(spark, "p.py", _golden())
     assert [c["name"] for c in rec["classes"]] == ["Point", "Box"]
     point = rec["classes"][0]
     assert point["fields"] == [
@@ -70,25 +82,25 @@ def test_classes_fields_methods_nested_ignored():
     assert put["return_types"] == ["Box[T]"]
 
 
-def test_interfaces_by_base_and_by_decorator():
-    rec = X.parse_file("p.py", _golden())
+def test_interfaces_by_base_and_by_decorator(spark):
+    rec = _record(spark, "p.py", _golden())
     assert [(i["name"], [m["name"] for m in i["methods"]]) for i in rec["interfaces"]] == [
         ("Shape", ["area", "describe"]), ("Walker", ["walk"]), ("Marked", ["mark"]),
     ]
 
 
-def test_parse_error_gives_empty_record():
-    rec = X.parse_file("bad.py", "def broken(:\n    pass\n")
+def test_parse_error_gives_empty_record(spark):
+    rec = _record(spark, "bad.py", "def broken(:\n    pass\n")
     assert rec["error"] and rec["functions"] == [] and rec["classes"] == [] and rec["interfaces"] == []
 
 
-def test_crlf_is_universal_newline():
-    rec = X.parse_file("w.py", "def f(a):\r\n    x = 1\r\n    return a\r\n")
+def test_crlf_is_universal_newline(spark):
+    rec = _record(spark, "w.py", "def f(a):\r\n    x = 1\r\n    return a\r\n")
     assert rec["functions"][0]["body"] == "x = 1\n    return a"
 
 
-def test_all_functions_preorder_includes_nested_and_async():
-    rows = X.function_paths_of_file("p.py", _golden(), 10_000)
+def test_all_functions_preorder_includes_nested_and_async(spark):
+    rows = _functions(spark, "p.py", _golden())
     names = [r["name"] for r in rows]
     assert names == [
         "area", "describe", "walk", "mark", "norm", "fetch", "hidden", "put", "get", "outer", "inner",
@@ -101,11 +113,11 @@ def test_all_functions_preorder_includes_nested_and_async():
 
 def _labels(rows, name):
     r = next(r for r in rows if r["name"] == name)
-    return [[(l["kind"], l["arm"], l["text"]) for l in p["labels"]] for p in r["paths"]]
+    return [[tuple(r["branches"][n]) for n in p["steps"]] for p in r["paths"]]
 
 
-def test_paths_if_elif_loop_return():
-    rows = X.function_paths_of_file("p.py", _golden(), 10_000)
+def test_paths_if_elif_loop_return(spark):
+    rows = _functions(spark, "p.py", _golden())
     assert _labels(rows, "pick") == [
         [("for_statement", "body", "it in items"), ("if_statement", "then", "pred(it)"), ("return", "", "it")],
         [("return", "", "None")],
@@ -119,12 +131,12 @@ def test_paths_if_elif_loop_return():
     assert _labels(rows, "nothing") == []
 
 
-def test_paths_try_except_finally_and_cap():
+def test_paths_try_except_finally(spark):
     src = (
         "def g(x):\n    try:\n        y = x()\n    except ValueError:\n        return 1\n    except (KeyError, OSError):\n"
         "        pass\n    finally:\n        x.close()\n    while x:\n        x = x - 1\n"
     )
-    rows = X.function_paths_of_file("t.py", src, 10_000)
+    rows = _functions(spark, "t.py", src)
     got = _labels(rows, "g")
     assert got == [
         [("try_statement", "try", "")],
@@ -133,8 +145,6 @@ def test_paths_try_except_finally_and_cap():
         [("try_statement", "finally", ""), ("finally", "finally", "")],
         [("while_statement", "body", "x")],
     ]
-    capped = X.function_paths_of_file("t.py", src, 2)[0]
-    assert capped["truncated"] and len(capped["paths"]) == 2
 
 
 def test_extract_metadata_job_matches_helper(spark):
@@ -144,7 +154,7 @@ def test_extract_metadata_job_matches_helper(spark):
     assert meta["pkg/__init__.py"]["module"] == "pkg"
     assert meta["bad.py"]["error"] is not None and meta["bad.py"]["functions"] == []
     names = [f["name"] for f in meta["pkg/sample_module.py"]["functions"]]
-    assert names == [f["name"] for f in X.parse_file("x", _golden())["functions"]]
+    assert names == [f["name"] for f in _record(spark, "x", _golden())["functions"]]
 
 
 def test_binary_content_decodes_strictly(spark):
@@ -152,3 +162,54 @@ def test_binary_content_decodes_strictly(spark):
     meta = {r["path"]: r for r in X.extract_metadata(df).collect()}
     assert meta["a.py"]["functions"][0]["name"] == "f"
     assert meta["b.py"]["error"].startswith("UnicodeDecodeError")
+
+
+def test_long_functions_and_deep_chains_are_whole(spark):
+    flat = "def f(x):\n" + "    y = 1\n" * 20_000 + "    if x:\n        return 1\n"
+    got = _functions(spark, "f.py", flat)
+    assert _labels(got, "f") == [[("if_statement", "then", "x"), ("return", "", "1")]]
+    arms = 2_000
+    chain = "def g(x):\n    if x == 0:\n        return 0\n" + "".join(f"    elif x == {i}:\n        return {i}\n" for i in range(1, arms))
+    assert _record(spark, "g.py", chain)["error"] is None
+    paths = _labels(_functions(spark, "g.py", chain), "g")
+    assert [p[-1] for p in paths] == [("return", "", str(i)) for i in range(arms)]
+    assert [len(p) for p in paths] == list(range(2, arms + 2))
+    assert paths[2][:-1] == [("if_statement", "else", "x == 0"), ("if_statement", "else", "x == 1"), ("if_statement", "then", "x == 2")]
+
+
+def test_paths_of_nested_functions_and_loop_else(spark):
+    src = (
+        "def f(x):\n    for a in x:\n        def g(y):\n            if y:\n                return a\n        y = 1\n"
+        "    else:\n        def h():\n            return 2\n        return 3\n    with x:\n        while x:\n            pass\n"
+        "    match x:\n        case 1:\n            return 4\n        case _:\n            return 4\n"
+    )
+    rows = _functions(spark, "n.py", src)
+    assert [r["name"] for r in rows] == ["f", "g", "h"]
+    over = ("for_statement", "body", "a in x")
+    assert _labels(rows, "f") == [
+        [over, ("if_statement", "then", "y"), ("return", "", "a")], [over], [("while_statement", "body", "x")], [("return", "", "4")],
+    ]
+    assert _labels(rows, "g") == [[("if_statement", "then", "y"), ("return", "", "a")]]
+    assert _labels(rows, "h") == [[("return", "", "2")]]
+    assert _fn(_record(spark, "n.py", src), "f")["return_types"] == ["a", "int"]
+
+
+def test_annotation_text_and_interfaces(spark):
+    src = (
+        "import abc\nclass A(abc.ABC):\n    x: a.b.C[d, 'E'] = 1\n    if 1:\n        z: int\n    async def s(self): ...\n    def m(self, k: [int], *r, n: int) -> {}: ...\n"
+        "class B(Base[int]):\n    @abc.abstractmethod\n    def m(self): ...\nclass C:\n    y: a.b.C[d, 'E'] = 1\n    if 1:\n        z: int\n"
+    )
+    rec = _record(spark, "a.py", src)
+    assert [i["name"] for i in rec["interfaces"]] == ["A"] and [c["name"] for c in rec["classes"]] == ["B", "C"]
+    m = rec["interfaces"][0]["methods"]
+    assert [f["name"] for f in m] == ["m"] and m[0]["return_types"] == ["Dict"]
+    assert m[0]["parameters"] == [{"name": "self", "type": "Any"}, {"name": "k", "type": "List"}]
+    assert rec["classes"][1]["fields"] == [{"name": "y", "type": "a.b.C[Tuple[d, E]]"}]
+
+
+def test_building_the_plan_runs_no_job(spark):
+    df = spark.range(100).repartition(3).selectExpr("concat('p', id) AS path", "'x = 1' AS content").groupBy("path").agg({"content": "max"})
+    spark.sparkContext.setJobGroup("plan-only", "")
+    X.extract_corpus(df.toDF("path", "content"))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
