@@ -169,7 +169,7 @@ def relative_path(path, root: str) -> Column:
     """Path relative to root when it starts with root, else the base name."""
     p = _c(path)
     r = root.rstrip("/") + "/"
-    return F.when(p.startswith(r), F.substring(p, len(r) + 1, 1 << 30)).otherwise(base_name(p))
+    return F.when(p.startswith(r), F.substr(p, F.lit(len(r) + 1))).otherwise(base_name(p))
 
 
 def module_name(rel_path) -> Column:

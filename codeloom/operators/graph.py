@@ -88,9 +88,9 @@ def import_rows(sources: DataFrame, mode: str = "token") -> DataFrame:
     else:
         is_from, is_import = F.try_element_at(parts, F.lit(1)) == "from", F.try_element_at(parts, F.lit(1)) == "import"
     from_ok = is_from & (n >= 4) & (F.try_element_at(parts, F.lit(3)) == "import")
-    names = fields(F.regexp_replace(F.array_join(F.slice(parts, 4, 1 << 20), " "), ",", " "))
+    names = fields(F.regexp_replace(F.array_join(F.slice(parts, F.lit(4), n), " "), ",", " "))
     module = F.try_element_at(parts, F.lit(2))
-    mods = F.transform(F.slice(parts, 2, 1 << 20), lambda x: F.regexp_replace(x, ",+$", ""))
+    mods = F.transform(F.slice(parts, F.lit(2), n), lambda x: F.regexp_replace(x, ",+$", ""))
     # one pass over the lines: each line yields an array of (module, element) rows
     rows = lines.select(
         "source_file", "dir", "source_element",
