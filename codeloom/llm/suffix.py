@@ -384,7 +384,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, part: int = 8 << 20) -> D
     found = save(anchors.repartition("h").sortWithinPartitions("h", "c", "k", "p").mapInArrow(_firsts(length), SCHEMA), "repeats")
 
     spots = found.filter("flag = 2").groupBy("k").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("spots"))
-    near = rows.select("k", "text").dropDuplicates(["k"]) if not several.isEmpty() else rows.select("k", "text")
+    near = rows.select("k", "text").dropDuplicates(["k"])  # rows that repeat a document would give its edges again
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

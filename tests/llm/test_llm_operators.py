@@ -154,6 +154,20 @@ def test_repeats_odd_rows(spark):
     assert suffix.remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_repeats_of_repeated_rows_only(spark):
+    """No id has two texts: a document that stands in two rows keeps its first occurrence of a shared passage."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(200)
+    x, y, z = (text(300) + shared + text(300) for _ in range(3))
+    for once, again in (([(1, x), (3, y)], [(1, x)]), ([(None, x), (3, y), (4, z)], [(None, x), (3, y), (3, y)])):
+        want = brute_repeats([(-1 if i is None else i, t) for i, t in once], 100)
+        rows = suffix.remove_repeats(spark.createDataFrame(once + again, "doc_id long, text string").repartition(3)).collect()
+        got = [(-1 if r.doc_id is None else r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in rows]
+        assert sorted(got) == sorted((i, want[i]) for i in [-1 if i is None else i for i, _ in once + again])
+        assert want[3][1] >= 200
+
+
 # Toxicity and language ---------------------------------------------------------------------
 
 
