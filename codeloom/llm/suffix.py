@@ -16,7 +16,9 @@ A byte goes if a string of ``length`` bytes that covers it also starts earlier.
    sequence of symbols, and suffix-sorted by grouping on Lyndon prefixes.  In this
    order the contexts that share a window's bytes from the anchor on are
    neighbours; those that also share the bytes before it have the same window.
-   All but the earliest of them are repeats.
+   All but the earliest of them are repeats.  An anchor with more first contexts
+   than one sort takes is not sorted: its windows are dealt by a 128-bit digest
+   of their bytes, and all but the earliest of equal digests are repeats.
 
 The repeats of a document are merged and cut out of its text.
 """
@@ -214,12 +216,13 @@ NAMES = ["flag", "h", "c", "k", "pos", "lo", "hi"]
 SCHEMA = "flag byte, h long, c long, k long, pos long, lo long, hi long"
 
 
-def _firsts(length: int):
-    """Mapper over packed anchors sorted by (h, c, k, p): repeats (1), and firsts of unlike contexts (2)."""
+def _firsts(length: int, most: int = 1 << 62):
+    """Mapper over packed anchors sorted by (h, c, k, p): repeats (1), firsts of unlike contexts (2), anchors of over ``most`` of these (3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # h, c, k, pos of the current context's first row
         waiting: list[np.ndarray] | None = None  # that row, while its anchor has one context
+        many = 0  # contexts of the current anchor
         for batch in batches:
             cols = _unpacked(*(batch.column(n).to_numpy() for n in "hckp"))
             if len(cols[0]) == 0:
@@ -242,6 +245,16 @@ def _firsts(length: int):
                 m = _merged(k[again], (pos - hi)[again], (pos - lo + length)[again])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in m], names=NAMES)
             first = np.flatnonzero(new)
+            if len(first):
+                head = np.flatnonzero(np.r_[True, h[first][1:] != h[first][:-1]])
+                total = np.diff(np.r_[head, len(first)])
+                before = np.zeros(len(head), np.int64)
+                before[0] = many if last and h[first[0]] == last[0] else 0
+                many = int(before[-1] + total[-1])
+                wide = h[first[head[(before <= most) & (before + total > most)]]]
+                if len(wide):
+                    none = np.zeros(len(wide), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(wide), 3, np.int8), wide, none, none, none, none, none)], names=NAMES)
             rows = [x[first] for x in (np.full(len(h), 2, np.int8), h, c, k, pos, lo, hi)]
             if waiting:
                 rows = [np.concatenate([a, b]) for a, b in zip(waiting, rows)]
@@ -319,8 +332,68 @@ def _windows(group: np.ndarray, rank: np.ndarray, back: list[bytes], ahead: list
     return list(zip(rows[i].tolist(), first.tolist(), (stop - 1).tolist()))
 
 
+EDGES = ["h", "d", "k", "pos", "lo", "hi", "back", "ahead"]
+WINDOW, DONE = -1, -2  # in ``lo``: a window (digest in h and d, start in pos), a repeat (start in pos, end in hi)
+
+
+def _dealt(texts: list[bytes], spots: list[tuple[int, int, int]], length: int) -> list[np.ndarray]:
+    """Columns (h, d, k, pos, lo, hi) of the windows at ``spots`` (k, first, last), whose bytes are ``texts``:
+    the earliest of each digest as a window, the others as repeats."""
+    size = [last - first + 1 for _, first, last in spots]
+    digests = b"".join(hashlib.blake2b(t[s : s + length], digest_size=16).digest() for t, (_, first, last) in zip(texts, spots) for s in range(last - first + 1))
+    h, d = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+    k = np.repeat(np.array([x[0] for x in spots], np.int64), size)
+    start = np.concatenate([np.arange(first, last + 1) for _, first, last in spots])
+    order = np.lexsort((start, k, d, h))
+    h, d, k, start = h[order], d[order], k[order], start[order]
+    again = np.r_[False, (h[1:] == h[:-1]) & (d[1:] == d[:-1])]
+    _, mix, zero, mk, begin, _, end = _merged(k[again], start[again], start[again] + length)
+    n = int((~again).sum())
+    out = [(h[~again], mix), (d[~again], zero), (k[~again], mk), (start[~again], begin), (np.full(n, WINDOW), np.full(len(mk), DONE)), (np.zeros(n, np.int64), end)]
+    return [np.concatenate(x) for x in out]
+
+
+def _fetch(length: int, windows: int = 1 << 18):
+    """Mapper over (k, text, spots): EDGES rows of each spot, of its windows if its anchor is wide."""
+    kinds = [pa.int64()] * 6 + [pa.binary()] * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[bytes] = []  # bytes of spots of wide anchors that are not yet dealt
+        wide: list[tuple[int, int, int]] = []
+        n = 0
+
+        def deal() -> pa.RecordBatch:
+            nonlocal n
+            cols = _dealt(texts, wide, length)
+            texts.clear()
+            wide.clear()
+            n = 0
+            empty = pa.array([b""] * len(cols[0]), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols] + [empty, empty], names=EDGES)
+
+        for batch in batches:
+            for k, text, spots in zip(*(batch.column(c).to_pylist() for c in ("k", "text", "spots"))):
+                out = []
+                for s in spots:
+                    pos, lo, hi = s["pos"], s["lo"], s["hi"]
+                    if not s["wide"]:
+                        out.append((s["h"], 0, k, pos, lo, hi, text[pos - hi : pos], text[pos : pos + length]))
+                        continue
+                    texts.append(text[pos - hi : pos - lo + length])
+                    wide.append((k, pos - hi, pos - lo))
+                    n += hi - lo + 1
+                    if n >= windows:
+                        yield deal()
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=EDGES)
+        if wide:
+            yield deal()
+
+    return run
+
+
 def _compare(length: int, symbols: int = 400_000):
-    """Mapper over rows (h, k, pos, lo, hi, back, ahead) sorted by h: repeats (k, start, end)."""
+    """Mapper over EDGES rows sorted by (h, d, k, pos): repeats (k, start, end)."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         _, group = np.unique([r[0] for r in rows], return_inverse=True)
@@ -336,7 +409,23 @@ def _compare(length: int, symbols: int = 400_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        last: tuple | None = None  # digest of the last window
         for batch in batches:
+            kind = batch.column("lo").to_numpy()
+            if (kind < 0).any():
+                h, d, k, pos, lo, hi = (batch.column(c).to_numpy()[kind < 0] for c in EDGES[:6])
+                at = np.flatnonzero(lo == WINDOW)
+                if len(at):
+                    a, b = h[at], d[at]
+                    again = np.r_[last == (a[0], b[0]), (a[1:] == a[:-1]) & (b[1:] == b[:-1])]
+                    last = a[-1], b[-1]
+                    hi = hi.copy()
+                    hi[at] = pos[at] + length
+                    lo = lo.copy()
+                    lo[at[again]] = DONE
+                done = lo == DONE
+                yield pa.RecordBatch.from_arrays([pa.array(x[done]) for x in (k, pos, hi)], names=["k", "start", "end"])
+                batch = batch.filter(pa.array(kind >= 0))
             for row in zip(*(batch.column(n).to_pylist() for n in ("h", "k", "pos", "lo", "hi", "back", "ahead"))):
                 if len(held) * (length // 8 + 2) > symbols and held[-1][0] != row[0]:
                     yield flush(held)
@@ -348,10 +437,25 @@ def _compare(length: int, symbols: int = 400_000):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, part: int = 8 << 20) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mapper over repeats (k, start, end) sorted by k and start: those that touch become one."""
+    for batch in batches:
+        cols = _merged(*(batch.column(c).to_numpy() for c in ("k", "start", "end")))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[i]) for i in (3, 4, 6)], names=["k", "start", "end"])
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """(k, d, n) of every id and text hash; ``n`` rises in their order, from the partition and the place in it."""
+    names = rows.select("k", F.xxhash64("text").alias("d")).distinct().orderBy("k", "d")
+    return names.withColumn("n", F.monotonically_increasing_id())
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, part: int = 8 << 20, symbols: int = 400_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document; ``kept`` are the bytes left.
 
     ``length`` is 32 to 4000; a task looks at ``part`` bytes of text at a time.
+    A sort takes about ``symbols`` symbols, and anchors whose contexts have more
+    go by the digests of their windows.
     Texts are UTF-8 bytes; null counts as empty; texts shorter than ``length``
     keep all.  Earlier means smaller doc_id (null first), or the same document and an
     earlier start.  Rows that repeat an id and its text are one document and get the
@@ -363,10 +467,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, part: int = 8 << 20) -> D
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(least)))
     several = rows.groupBy("k").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).filter("a <> b")
     if not several.isEmpty():
-        from pyspark.sql import Window
-
-        names = rows.select("k", F.xxhash64("text").alias("d")).distinct()
-        names = save(names.withColumn("n", F.row_number().over(Window.orderBy("k", "d")).cast("long")), "names")
+        names = save(numbered(rows), "names")
         rows = rows.withColumn("d", F.xxhash64("text")).join(names, ["k", "d"]).select("doc_id", "text", F.col("n").alias("k"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,20 +482,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, part: int = 8 << 20) -> D
                 at = end
 
     anchors = rows.select("k", "text").mapInArrow(scan, "h long, c long, k long, p long")
-    found = save(anchors.repartition("h").sortWithinPartitions("h", "c", "k", "p").mapInArrow(_firsts(length), SCHEMA), "repeats")
-
-    spots = found.filter("flag = 2").groupBy("k").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("spots"))
+    found = save(anchors.repartition("h").sortWithinPartitions("h", "c", "k", "p").mapInArrow(_firsts(length, max(1, symbols // (length // 8 + 2))), SCHEMA), "repeats")
+
+    spots = found.filter("flag = 2").select("h", "k", "pos", "lo", "hi")
+    wide = found.filter("flag = 3").select("h")
+    split = not wide.isEmpty()
+    # One row in ``symbols`` / (``length`` / 8 + 2) contexts at most.
+    spots = spots.join(F.broadcast(wide.withColumn("wide", F.lit(True))), "h", "left") if split else spots.withColumn("wide", F.lit(False))
+    spots = spots.groupBy("k").agg(F.collect_list(F.struct("h", "pos", "lo", "hi", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("spots"))
     near = rows.select("k", "text").dropDuplicates(["k"])  # rows that repeat a document would give its edges again
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, text, spots in zip(*(batch.column(n).to_pylist() for n in ("k", "text", "spots"))):
-                out = [(s["h"], k, s["pos"], s["lo"], s["hi"], text[s["pos"] - s["hi"] : s["pos"]], text[s["pos"] : s["pos"] + length]) for s in spots]
-                kinds = [pa.int64()] * 5 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["h", "k", "pos", "lo", "hi", "back", "ahead"])
-
-    edges = near.join(spots, "k").mapInArrow(fetch, "h long, k long, pos long, lo long, hi long, back binary, ahead binary")
-    edges = edges.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(length), "k long, start long, end long")
+    edges = near.join(spots, "k").mapInArrow(_fetch(length), "h long, d long, k long, pos long, lo long, hi long, back binary, ahead binary")
+    edges = edges.repartition("h").sortWithinPartitions("h", "d", "k", "pos").mapInArrow(_compare(length, symbols), "k long, start long, end long")
+    if split:
+        edges = edges.repartition("k").sortWithinPartitions("k", "start").mapInArrow(_joined, "k long, start long, end long")
     spans = found.filter("flag = 1").select("k", F.col("pos").alias("start"), F.col("hi").alias("end")).union(edges)
     spans = spans.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 

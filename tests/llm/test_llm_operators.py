@@ -168,6 +168,46 @@ def test_repeats_of_repeated_rows_only(spark):
         assert want[3][1] >= 200
 
 
+def footers(rng, n):
+    """Texts of one line, longer than a window in some, between neighbours that differ."""
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, tail = text(60), text(120)
+    return [text(rng.randint(60, 150)) + line + (tail[: rng.randint(0, 120)] if i % 2 else "") + text(rng.randint(60, 150)) for i in range(n)]
+
+
+@pytest.mark.parametrize("symbols", [14, 42, 400_000])
+def test_repeats_of_wide_anchors(spark, symbols):
+    """Anchors of more contexts than one sort takes are split by window, with the same result."""
+    rng = random.Random(12)
+    texts = footers(rng, 60)
+    texts += [texts[1], texts[3][5:], "ab" * 300, None]
+    rows = list(enumerate(texts))
+    got = suffix.remove_repeats(docs_of(spark, texts).repartition(3), part=2000, symbols=symbols).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows, 100)
+
+
+def test_wide_anchors_are_marked_once():
+    rng = np.random.default_rng(2)
+    h, c = (x.ravel().astype(np.int64) for x in np.meshgrid([1, 2, 3], np.arange(9), indexing="ij"))
+    keep = (h != 2) | (c < 5)
+    h, c = h[keep], c[keep]
+    k = np.arange(len(h))
+    for cut in [[len(h)], sorted(rng.choice(np.arange(1, len(h)), 6, replace=False).tolist()) + [len(h)], list(range(1, len(h) + 1))]:
+        batches = [suffix.pa.RecordBatch.from_arrays([suffix.pa.array(x[a:b]) for x in (h, c, k, k << 24)], names=list("hckp")) for a, b in zip([0] + cut, cut)]
+        out = [(r["flag"], r["h"]) for b in suffix._firsts(100, most=5)(iter(batches)) for r in b.to_pylist()]
+        assert [x for f, x in out if f == 3] == [1, 3]
+        assert sorted(x for f, x in out if f == 2) == h.tolist()
+
+
+def test_ids_are_numbered_without_one_task(spark):
+    rows = spark.createDataFrame([(i % 7, f"{i * 37 % 50}".encode()) for i in range(200)], "k long, text binary").repartition(5)
+    names = suffix.numbered(rows)
+    plan = names._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan
+    got = sorted((r.n, r.k, r.d) for r in names.collect())
+    assert [x[1:] for x in got] == sorted({x[1:] for x in got}) and len({x[0] for x in got}) == len(got)
+
+
 # Toxicity and language ---------------------------------------------------------------------
 
 
