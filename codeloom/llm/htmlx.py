@@ -3,8 +3,9 @@
 A page is read once as a stream of tags.  Every container (a structural
 element outside navigation, forms, adverts and the like) has a generalised path:
 the tags from the root with their classes, digits replaced.  Each page scores
-its containers by the text they hold, less what is link text, and casts one
-vote for the path of the best.  Votes are summed per host in Spark; every page
+its containers by the text they hold, less what is link text, climbs from the
+best to what encloses it as long as that adds text and not just links, and casts
+one vote for the path it comes to.  Votes are summed per host in Spark; every page
 is then read again and gives the text of its containers with the winning path,
 or, if it has none, of its own best one.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "canvas"}
 SKIP = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "menu", "dialog", "label", "fieldset"}
 BOXES = {"html", "body", "div", "article", "section", "main", "table", "tbody", "tr", "td", "th", "ul", "ol", "dl", "center", "blockquote", "figure", "details", "span"}
+PARTS = {"ul", "ol", "dl", "blockquote", "figure"}  # of a text, with all that is in them
+GRID = {"table", "tbody", "tr", "th"}  # a cell may hold a page's text
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banners?|promo(?:tion)?s?|sponsor(?:ed)?s?|nav(?:bar|igation)?|menus?|breadcrumbs?|sidebars?|side-bar|footers?|headers?|masthead|"
@@ -118,20 +121,45 @@ class Page:
                 put((box, " "))
 
     def best(self) -> tuple[str, float]:
-        """Path of the container that holds most text that is no link, and its score.
+        """Path of the container of the main text, and the score of the box it grew from.
 
         A container has its own text, half of that of its inner containers and
-        so on inwards; ties go to the first in the page.
+        so on inwards; ties go to the first in the page.  Lists, quotes and figures
+        with what is in them, and tables apart from their cells, are only text of
+        what they stand in.  The best box may hold a part of the text alone, so
+        ``_climb`` follows.
         """
-        own = [0.0] * len(self.paths)
-        for box, text in self.pieces:
-            own[box] += len(text.strip())
-        own = [o - 2 * k for o, k in zip(own, self.linked)]
-        score = own[:]
-        for i in range(len(own) - 1, 0, -1):
+        text = [0.0] * len(self.paths)
+        for box, piece in self.pieces:
+            text[box] += len(piece.strip())
+        score = [o - 2 * k for o, k in zip(text, self.linked)]
+        for i in range(len(score) - 1, 0, -1):
             score[self.parent[i]] += max(0.0, score[i]) / 2
-        top = max(range(len(score)), key=lambda i: (score[i], -i))
-        return self.paths[top], score[top]
+        tags = [p.rsplit("/", 1)[-1].split(".", 1)[0] for p in self.paths]
+        part = [False] * len(tags)
+        for i in range(1, len(tags)):
+            part[i] = part[self.parent[i]] or tags[i] in PARTS
+        top = max((i for i in range(len(score)) if not part[i] and tags[i] not in GRID), key=lambda i: (score[i], -i))
+        return self.paths[self._climb(top, tags, text)], score[top]
+
+    def _climb(self, box: int, tags: list[str], text: list[float]) -> int:
+        """The highest container around ``box`` whose further text is mostly no link text, or ``box``.
+
+        The climb ends at an article or main element; body and what is around it
+        are taken only if no container below adds text.
+        """
+        whole, links = text[:], [float(k) for k in self.linked]
+        for i in range(len(whole) - 1, 0, -1):
+            whole[self.parent[i]] += whole[i]
+            links[self.parent[i]] += links[i]
+        found, at = box, box
+        while tags[at] not in ("article", "main") and self.parent[at] >= 0:
+            at = self.parent[at]
+            if tags[at] in ("", "html", "body") and found != box:
+                break
+            if whole[at] > whole[found] and 2 * (links[at] - links[box]) < whole[at] - whole[box]:
+                found = at
+        return found
 
     def text(self, path: str) -> str:
         """Text of all containers with this path and what is in them, blocks joined by one space."""

@@ -401,6 +401,28 @@ def test_html_text(spark):
     assert got == {1: "A & B One two three four. Five <six> long enough text here", 2: "A & B One two three four.", 3: "", 4: "", 5: "plain text only", 6: "cut &am"}
 
 
+def test_html_text_of_nested_containers(spark):
+    """The box with most text is a part of the article: headline, paragraphs, lists and sections all stay."""
+    words = lambda n, w: " ".join([w] * n)
+    nav = '<div class="x1"><a href=a>' + words(80, "menu") + "</a></div>"
+    items = "".join(f"<li>{words(30, w)}</li>" for w in ("one", "two", "three", "four"))
+    cases = {
+        "list": (f"<article><h1>Head</h1><p>{words(40, 'intro')}</p><ul>{items}</ul><p>end</p></article>", ["Head", "intro", "four", "end"]),
+        "title": (f'<div class="post"><div class="title">Head line</div><div class="entry"><p>{words(200, "body")}</p></div></div>', ["Head line", "body"]),
+        "sections": (f'<article><section class="intro">{words(30, "intro")}</section><section class="body">{words(300, "body")}</section><section class="end">{words(30, "end")}</section></article>', ["intro", "body", "end"]),
+        "table": (f"<div class='c'><p>{words(40, 'intro')}</p><table><tr><td>{words(200, 'cell')}</td><td>{words(50, 'other')}</td></tr></table></div>", ["intro", "cell", "other"]),
+        "quote": (f"<div class='c'><p>{words(30, 'intro')}</p><blockquote><div>{words(200, 'said')}</div></blockquote><p>end</p></div>", ["intro", "said", "end"]),
+        "links": (f'<div class="post"><div class="l"><a href=a>{words(9, "more")}</a></div><div class="entry">{words(200, "body")}</div></div>', ["body"]),
+        "layout": (f'<table><tr><td class=l><a href=a>{words(90, "link")}</a></td><td class=t><p>{words(200, "body")}</p></td></tr></table>', ["body"]),
+    }
+    rows = [(f"{name}{i}", f"http://{name}.example/{i}" if i < 2 else f"http://{name}-alone.example/", f"<html><body>{nav}{html}</body></html>") for name, (html, _) in cases.items() for i in range(3)]
+    got = {r.page_id: r.text for r in htmlx.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    for name, (_, want) in cases.items():
+        for i in range(3):
+            text = got[f"{name}{i}"]
+            assert all(w in text for w in want) and not any(w in text for w in ("menu", "more", "link")), (name, i, text[:200])
+
+
 # Exact dedup -------------------------------------------------------------------------------
 
 
