@@ -9,8 +9,9 @@ the one with the emptiest of the other, until one partition is left, whose
 windows are near equal.  The number of windows starts at total / capacity and
 rises while the fullest window exceeds the capacity.
 
-The last, small group of a task is not padded either: its ids are cut into
-sequences of the powers of two that its length is made of.  A group is
+The last group of a task is packed alike into the windows it can fill, with its
+pieces cut smaller until they fit.  The ids left, less than a window, are not padded: they are
+cut into sequences of the powers of two that their number is made of.  A group is
 bounded and lies within one input partition, so nothing is shuffled, a task
 holds one group and one batch, and a lost task repeats the same result.
 """
@@ -152,9 +153,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, windows: int = 64, pa
             doc, start, ids, total = piece
             out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset, padded))
 
-        def close() -> None:
+        def close(groups: list[list[int]]) -> None:
             nonlocal sequence
-            for g in pack_group([len(p[2]) // 4 for p in rest], capacity):
+            for g in groups:
                 length = sum(len(rest[i][2]) // 4 for i in g)
                 offset = 0
                 for i in g:
@@ -163,6 +164,28 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, windows: int = 64, pa
                 sequence += 1
             rest.clear()
 
+        def last() -> None:
+            """The last group: as many windows as its ids fill, without more windows for the sake of a fit."""
+            ways = filled // (capacity - slack)
+            left = ways * (capacity - slack)
+            whole, over = [], []
+            for doc, start, ids, total in rest:
+                cut = min(left, len(ids) // 4)
+                left -= cut
+                whole += [(doc, start, ids[: 4 * cut], total)] if cut else []
+                over += [(doc, start + cut, ids[4 * cut :], total)] if 4 * cut < len(ids) else []
+            most = part
+            while ways:
+                rest[:] = [(doc, start + at, ids[4 * at : 4 * (at + most)], total) for doc, start, ids, total in whole for at in range(0, len(ids) // 4, most)]
+                sizes = [len(p[2]) // 4 for p in rest]
+                groups = difference(sizes, ways)
+                if most == 1 or max(sum(sizes[i] for i in g) for g in groups) <= capacity:
+                    close(groups)
+                    break
+                most //= 2
+            rest[:] = over
+            powers()
+
         def powers() -> None:
             """The rest in sequences whose lengths are powers of two, cutting where one is full."""
             nonlocal sequence
@@ -202,11 +225,11 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, windows: int = 64, pa
                     rest.append((doc, at, ids[4 * at : 4 * (at + take)], total))
                     at, filled = at + take, filled + take
                     if filled == mark:
-                        close()
+                        close(pack_group([len(p[2]) // 4 for p in rest], capacity))
                         filled = 0
                 if len(out) > 50_000:
                     yield flush()
-        powers()
+        last()
         yield flush()
 
     schema = ", ".join(f"`{n}` long" for n in names)

@@ -330,6 +330,28 @@ def test_packing_places_every_id_once(spark):
     assert sum(map(len, ids.values())) > 0.97 * room
 
 
+def test_packing_differences_the_last_group(spark):
+    """Less than a group of remainders: windows by differencing, under one window of ids cut to powers of two."""
+    rng, lib = random.Random(10), library()
+    small = ["".join(rng.choice("abc de\n") for _ in range(rng.randint(1, 250))) for _ in range(90)]
+    alike = [" ".join(["a"] * 223)] * 9  # nine equal pieces do not fit two windows uncut
+    for texts in (small, alike, small[:2], []):
+        rows = packing.pack(docs_of(spark, texts).coalesce(1), tokenizer()).collect()
+        ids = {i: lib.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+        sequences, pieces = {}, {}
+        for r in rows:
+            assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+            sequences[r.sequence_id] = sequences.get(r.sequence_id, 0) + r.length
+            pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        assert {i: sum(n for _, n in p) for i, p in pieces.items()} == {i: len(t) for i, t in ids.items()}
+        full = [n for n in sequences.values() if n >= 900]
+        short = [n for n in sequences.values() if n < 900]
+        total = sum(map(len, ids.values()))
+        assert max(full, default=0) <= 1024 and len(full) == total // 1008 and sum(short) == total % 1008
+        if texts is small:
+            assert len(full) > 5 and sum(len(p) > 1 for p in pieces.values()) <= 1 + len(short)
+
+
 def test_packing_ids_equal_library_at_any_cut():
     rng, lib = random.Random(8), library()
     parts = ["a", "'s", "'", "  ", "\n", "\t", " ", "<|endoftext|>", "<|", "7", "é", "漢字", "\u3000", "\x85", "\xa0", "\x1c", "...", "😀", " the", "\r\n"]
