@@ -11,6 +11,10 @@ tiles of bounded size.  Within a tile pair, block distances select candidates
 and the cosine, in double precision, decides.  A pair that several blocks find
 counts in the first of them only.
 
+Vectors of different lengths never link.  Lengths up to the same power of two are
+joined in one go: the length is part of the key, and shorter vectors are filled
+with zeros, which changes no cosine.
+
 Equal vectors are collapsed before and counted by weight.  A tile pair emits
 counts per vector and a star per linked group, not its pairs.
 """
@@ -96,8 +100,12 @@ def near_vectors(table: DataFrame, cosine: float, width: int = 16, grid: int = 2
     units = distinct.withColumn("__norm", norm).select("label", "id", "n", F.transform("e", lambda x: x / F.col("__top") / F.col("__norm")).alias("v"), F.size("e").alias("dims"))
     units = save(units, "units")
     found = []
-    for dims in sorted(r["dims"] for r in units.select("dims").distinct().limit(1000).collect()):
-        found.append(_links(units.filter(F.col("dims") == dims), dims, cosine, min(width, dims), grid, tile))
+    # The bits of dims - 1, so one row for each power of two.
+    for r in units.groupBy(F.length(F.bin(F.col("dims") - 1)).alias("bits")).agg(F.min("dims").alias("low"), F.max("dims").alias("dims")).orderBy("bits").collect():
+        some, dims = units.filter(F.col("dims").between(r["low"], r["dims"])), r["dims"]
+        if r["low"] < dims:
+            some = some.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dims) - F.col("dims"))))
+        found.append(_links(some, dims, cosine, min(width, dims), grid, tile))
     if found:
         links = found[0]
         for f in found[1:]:
@@ -130,20 +138,20 @@ def _links(units: DataFrame, dims: int, cosine: float, width: int, grid: int, ti
             for k, (at, _) in enumerate(blocks):
                 cell = np.floor(x[:, at[:grid]] / np.sqrt(reach[k])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("label"), pa.array(np.full(len(x), k, np.int32)), pa.array(list(cell), pa.list_(pa.int32())), batch.column("id"), batch.column("n"), pa.array([r.tobytes() for r in x], pa.binary())],
-                    names=["label", "block", "cell", "id", "n", "x"],
+                    [batch.column("label"), batch.column("dims"), pa.array(np.full(len(x), k, np.int32)), pa.array(list(cell), pa.list_(pa.int32())), batch.column("id"), batch.column("n"), pa.array([r.tobytes() for r in x], pa.binary())],
+                    names=["label", "dims", "block", "cell", "id", "n", "x"],
                 )
 
-    placed = units.mapInArrow(cells, "label long, block int, cell array<int>, id long, n long, x binary")
+    placed = units.mapInArrow(cells, "label long, dims int, block int, cell array<int>, id long, n long, x binary")
     placed = save(placed, "placed")
-    key = ["label", "block", "cell"]
+    key = ["label", "dims", "block", "cell"]
     sizes = placed.groupBy(*key).agg(F.ceil(F.count("*") / tile).alias("tiles"))
     placed = placed.join(sizes, key).withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")))
     tiles = save(placed.groupBy(*key, "t").agg(F.collect_list(F.struct("id", "n", "x")).alias("m")).select(*key, "t", F.col("m.id").alias("id"), F.col("m.n").alias("n"), F.col("m.x").alias("x")), "tiles")
     steps = [s for s in itertools.product((-1, 0, 1), repeat=grid) if s >= (0,) * grid]
     near = tiles.withColumn("step", F.explode(F.array(*[F.array(*map(F.lit, s)) for s in steps])))
     near = near.select(
-        "label", "block", F.zip_with("cell", "step", lambda c, s: c + s).alias("cell"), F.col("t").alias("t1"), F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("x").alias("x1"),
+        "label", "dims", "block", F.zip_with("cell", "step", lambda c, s: c + s).alias("cell"), F.col("t").alias("t1"), F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("x").alias("x1"),
         F.exists("step", lambda s: s != 0).alias("other"),
     )
     pairs = near.join(tiles, key).filter("other or t1 <= t").select("block", (~F.col("other") & (F.col("t1") == F.col("t"))).alias("same"), "id1", "n1", "x1", "id", "n", "x")

@@ -107,6 +107,21 @@ def test_embedding_links_equal_brute_force(spark):
     assert embed.near_vectors(table.limit(0), 0.9).count() == 0
 
 
+def test_embedding_many_lengths(spark, monkeypatch):
+    """Every length is joined, in as many goes as there are powers of two."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for dims in list(range(1, 20)) + [31, 33]:
+        x = rng.normal(size=dims)
+        for v in (x, x * 3 + rng.normal(size=dims) * 0.01, -x, np.r_[x, 0.0]):
+            rows.append((len(rows), [float(a) for a in v], 1))
+    goes, links = [], embed._links
+    monkeypatch.setattr(embed, "_links", lambda units, dims, *rest: goes.append(dims) or links(units, dims, *rest))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.95).collect()}
+    assert got == brute_vectors(rows, 0.95)
+    assert goes == [2, 4, 8, 16, 32, 34]
+
+
 # Suffix sorting ----------------------------------------------------------------------------
 
 
