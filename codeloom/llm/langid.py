@@ -11,6 +11,7 @@ quantile calibrated on held-aside sample texts, is marked as rejected.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -163,11 +164,12 @@ class Models:
         return lang, score, none | (e.min(axis=1) > self.limit[best])
 
 
-def fit(docs: DataFrame, rows: int = 400, quantile: float = 0.995) -> Models | None:
+def fit(docs: DataFrame, rows: int = 400, quantile: float = 0.995, most: int = 8 << 20) -> Models | None:
     """Models of at most ``rows`` texts per language outside the held-out fold (least hash of the id).
 
-    A fifth of the sample is held aside: it sets, per language, the cross-entropy
-    beyond which a text is rejected, and the confidence scale.
+    Of a language's texts in this order those that start within its first
+    ``most`` characters serve, each up to ``most`` characters, so a language gives
+    less than 2 * ``most``.  One task trains; only the models reach the driver.
     """
     from pyspark.sql import Window
 
@@ -175,15 +177,40 @@ def fit(docs: DataFrame, rows: int = 400, quantile: float = 0.995) -> Models | N
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.distinct().withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= rows).select("doc_id", F.col("lang").alias("__lang"))
     chosen = chosen.hint("broadcast") if known.select("lang").distinct().count() <= 1000 else chosen
-    sample = docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").orderBy("doc_id", "__lang", "text").select("text", "__lang").toPandas()
-    langs = sorted(sample["__lang"].unique())
-    if not langs:
+    sample = docs.select("doc_id", F.substring("text", 1, most).alias("text")).filter("text is not null").join(chosen, "doc_id")
+    before = Window.partitionBy("__lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    sample = sample.withColumn("__before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).filter(F.col("__before") < most)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sorted(r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("doc_id", "__lang", "text"))))
+        if table:
+            models = learn_texts([r[2] for r in table], [r[1] for r in table], quantile)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps({n: getattr(models, n) for n in STATE}, 5)], pa.binary())], names=["model"])
+
+    model = sample.select("doc_id", "__lang", "text").repartition(1).mapInArrow(learn, "model binary").first()
+    if model is None:
         return None
+    models = Models.__new__(Models)
+    models.__dict__.update(pickle.loads(model["model"]))
+    models.cache, models.rows = {}, np.zeros((1, len(models.langs) + 1))
+    return models
+
+
+STATE = ("langs", "grams", "contexts", "limit", "heat", "floor")
+
+
+def learn_texts(sample: list[str], of: list[str], quantile: float) -> Models:
+    """Models of texts and their languages.
+
+    A fifth of the sample is held aside: it sets, per language, the cross-entropy
+    beyond which a text is rejected, and the confidence scale.
+    """
+    langs = sorted(set(of))
     aside = np.arange(len(sample)) % 5 == 4
-    texts = {lang: list(sample["text"][(sample["__lang"] == lang) & ~aside]) or list(sample["text"][sample["__lang"] == lang]) for lang in langs}
+    texts = {lang: [t for t, x, out in zip(sample, of, aside) if x == lang and not out] or [t for t, x in zip(sample, of) if x == lang] for lang in langs}
     models = Models(langs, texts)
-    entropy = models.entropies(list(sample["text"]))
-    truth = np.array([langs.index(x) for x in sample["__lang"]])
+    entropy = models.entropies(sample)
+    truth = np.array([langs.index(x) for x in of])
     ok = aside & ~np.isnan(entropy).any(axis=1)
     for i in range(len(langs)):
         mine = entropy[ok & (truth == i), i]
@@ -193,7 +220,6 @@ def fit(docs: DataFrame, rows: int = 400, quantile: float = 0.995) -> Models | N
         z = entropy[ok] - entropy[ok].min(axis=1, keepdims=True)
         loss = {h: -np.mean(-h * z[np.arange(ok.sum()), truth[ok]] - np.log(np.exp(-h * z).sum(axis=1))) for h in (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)}
         models.heat = min(loss, key=loss.get)
-    models.cache, models.rows = {}, models.rows[:1]
     return models
 
 

@@ -257,6 +257,23 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in rows if r.doc_id < 0} == {"und"} and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_models_are_trained_in_a_task(spark, monkeypatch):
+    """No text reaches the driver, and a very long one fills neither the sample nor its task."""
+    words = {"aa": "abra cadabra abba", "bb": "bob cab bib"}
+    rows = [(i, f"{words[lang]} {chr(97 + i % 26) * 4} " * 3, lang) for i in range(40) for lang in [sorted(words)[i % 2]]]
+    docs = spark.createDataFrame(rows + [(1000, "zzz " * 5000, "aa")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("texts on the driver"))
+    whole = langid.fit(docs)
+    kept = sorted((i, x, t) for i, t, x in map(tuple, docs.collect()) if zlib.crc32(str(i).encode()) % 5)
+    want = langid.learn_texts([r[2] for r in kept], [r[1] for r in kept], 0.995)
+    assert whole.langs == want.langs == ["aa", "bb"] and whole.heat == want.heat
+    assert all(np.array_equal(whole.grams[n][i], want.grams[n][i]) for n in want.grams for i in (0, 1))
+    small = langid.fit(docs, most=200)
+    assert 0 < sum(len(g) for g, _ in small.grams.values()) < sum(len(g) for g, _ in whole.grams.values())
+    out = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert len(out) == 41 and all(out[i] == x for i, _, x in rows)
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     models = langid.Models(["a", "b"], {"a": ["abra cadabra abba"], "b": ["bob cab"]})
     points, _, place = langid._positions(["abra"])
