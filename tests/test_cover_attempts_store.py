@@ -54,6 +54,15 @@ def test_min_path_cover_equals_sequential_greedy(spark):
     assert first == {g: v[0] for g, v in expected.items()}
 
 
+def test_min_path_cover_rounds_do_not_depend_on_size(spark):
+    rows = [(g, p, "if", 10 * p + b) for g in range(3) for p in range(6) for b in range(6 - p)]
+    inc = spark.createDataFrame(rows, "g int, p int, kind string, pos int")
+    for rounds in (0, 1, 3):
+        for cap, first in ((0, 0), (5_000, 0), (5_000, 2), (10, 1)):
+            got = CV.min_path_cover(inc, ["g"], "p", max_rounds=rounds, small_group_rows=cap, first_rounds=first).collect()
+            assert sorted((r.g, r.pick_no, r.p) for r in got) == [(g, n, n) for g in range(3) for n in range(rounds)]
+
+
 def test_describe_paths_default_and_arm_keys(spark):
     src = "def inferred(x) -> int:\n    if x:\n        return x\n    elif x is None:\n        return None\n    return 3\n\ndef plain(a):\n    a += 1\n"
     fp = X.extract_function_paths(spark.createDataFrame([("m.py", src)], "path string, content string"))
