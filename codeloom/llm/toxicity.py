@@ -4,9 +4,10 @@ Each word is a bag of hashed character n-grams plus the whole word.  The
 embeddings of a window's words are averaged and fed to a linear softmax; both
 are trained jointly by gradient descent in numpy.  A misspelling shares most of
 its n-grams, hence most of its vector, with the word it stands for.  A text is
-scored by its windows of ``WINDOW`` words (all of them, the last one shorter): its
-score is that of the highest window, so a long text does not dilute an insult.
-Training follows the same rule: a clean text supplies windows labelled 0; of
+scored by its windows of ``WINDOW`` words, one from every word on (a shorter text is
+one window): its score is that of the highest window, so a long text does not
+dilute an insult, wherever it stands.  Training follows the same rule on windows
+that overlap by half: a clean text supplies windows labelled 0; of
 a toxic text the window that now scores highest is labelled 1.
 """
 
@@ -83,7 +84,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 6, rate: float = 0.
     w, b = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     ge, gw, gb = np.full(BUCKETS, 1e-3, np.float32), np.full(w.shape, 1e-3, np.float32), np.full(2, 1e-3, np.float32)
     bag = Bag(texts)
-    windows = [(d, at) for d, t in enumerate(bag.words) for at in range(0, len(t), WINDOW)]
+    windows = [(d, at) for d, t in enumerate(bag.words) if len(t) for at in [*range(0, len(t) - WINDOW, WINDOW // 2), max(0, len(t) - WINDOW)]]
     if not windows:
         return emb, w, b
     doc = np.array([d for d, _ in windows])
@@ -229,10 +230,9 @@ def text_scores(texts: list[str | None], sub: np.ndarray, bias: float, cache: di
         for i, words in enumerate(lists, at):
             if words:
                 v = np.array(list(map(cache.__getitem__, words)))
-                sums = np.add.reduceat(v, np.arange(0, len(v), WINDOW))
-                n = np.full(len(sums), WINDOW)
-                n[-1] = len(v) - WINDOW * (len(sums) - 1)
-                out[i] = (sums / n).max() + bias
+                n = min(len(v), WINDOW)
+                sums = np.cumsum(np.r_[0.0, v])
+                out[i] = (sums[n:] - sums[:-n]).max() / n + bias
         at = end
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 

@@ -248,6 +248,17 @@ def test_toxicity_learns_and_shares_subwords(spark):
     assert none.score == 0.5
 
 
+def test_toxicity_does_not_depend_on_the_offset():
+    """Words in front of a text move no insult over a window's edge."""
+    ids, _ = toxicity.subwords(["idiotic"])
+    sub = np.zeros(toxicity.BUCKETS, np.float32)
+    sub[ids] = 1.0
+    calm = ["zq"] * 60
+    texts = [" ".join(calm[:at] + ["idiotic"] * 4 + calm) for at in range(50)]
+    scores = toxicity.text_scores(texts + ["zq " * 25 + "idiotic"], sub, -0.1, {})
+    assert np.allclose(scores[:50], scores[0]) and scores[50] < scores[0]
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = spark.createDataFrame([(-1, None, None), (-2, "123 ?!", "en"), (-3, "", "en")], "doc_id long, text string, lang string")
