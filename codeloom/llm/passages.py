@@ -53,6 +53,12 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(real), ends
 
 
+def _spaced(words: pa.Array) -> tuple[bytes, list[int]]:
+    """All words, one space between two, and where each one begins and the next one would."""
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().encode()
+    return text, np.r_[0, np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False) + 1)].tolist()
+
+
 def _names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Equal numbers for equal pairs (a[i], b[i])."""
     return np.unique(a * (np.int64(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64)
@@ -234,9 +240,7 @@ def _around(window: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, part):
             words, ends = split_words(batch.column("text"))
-            # All words of the part, each with one space behind it, and where each one begins.
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().encode()
-            begins = np.r_[0, np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False) + 1)].tolist()
+            text, begins = _spaced(words)
             out: list[tuple] = []
             for i, (k, first) in enumerate(zip(batch.column("k").to_pylist(), [0, *ends.tolist()])):
                 spots = batch.column("spots")[i].values
@@ -307,30 +311,29 @@ def _extend(window: int):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Mapper over (doc_id, text, spans): the documents without their repeats."""
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "repeats"]
+    kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     for batch in _parts(batches, 8 << 20):
         words, ends = split_words(batch.column("text"))
-        words = words.to_pylist()
-        out, begin = [], 0
+        text, begins = _spaced(words)
+        out, first = [], 0
         for doc, spans, end in zip(batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), ends.tolist()):
-            mine, begin = words[begin:end], end
-            kept, at, repeats = [], 0, []
+            repeats: list[dict[str, int]] = []
             for s, e in sorted((x["start"], x["end"]) for x in spans or []):
                 if repeats and s <= repeats[-1]["end"]:
                     repeats[-1]["end"] = max(e, repeats[-1]["end"])
                 else:
                     repeats.append({"start": s, "end": e})
-            for r in repeats:
-                kept += mine[at : r["start"]]
-                at = r["end"]
-            kept += mine[at:]
-            left = " ".join(kept)
-            out.append((doc, len(mine), len(mine) - len(kept), hashlib.sha256(left.encode()).hexdigest(), left, repeats))
-        kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "repeats"]
+            edges = [first, *(first + x for r in repeats for x in (r["start"], r["end"])), end]
+            kept = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+            left = b" ".join(text[begins[a] : begins[b] - 1] for a, b in kept)
+            n = sum(b - a for a, b in kept)
+            out.append((doc, end - first, end - first - n, hashlib.sha256(left).hexdigest(), left.decode(), repeats))
+            first = end
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=names)
 
 
-def remove_passages(docs: DataFrame, window: int = 13, part: int = 8 << 20, windows: int = 1 << 21, hot: int = 8, most: int = 4096) -> DataFrame:
+def remove_passages(docs: DataFrame, window: int = 13, part: int = 8 << 20, windows: int = 1 << 21, hot: int = 8, most: int = 1024) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept, repeats) of every document.
 
     Words are runs of bytes other than ASCII white space, unchanged; ``kept`` are the words left,
