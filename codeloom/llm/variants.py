@@ -6,9 +6,12 @@ near words share one of them.  Of the prefix two bigrams that do not
 overlap are the pivots, chosen by dynamic programming for the least total frequency.
 One edit touches at most one of them.  For two near words the
 pivots of the one whose prefix ends first meet the prefix of the other, so
-it is enough to look up all pivots in an index of all prefixes.  A bigram that
-the edit does not touch moves by one place at most, and how far follows from the
-lengths: the places are part of the key of the join.  The edit distance decides.
+it is enough to look up all pivots in an index of all prefixes.
+
+Places limit the join: the edit lies behind the bigram it does not touch or before it, so
+the place counted from the front or from the end is equal, and so are all letters on
+that side.  Of the letters on the side of the edit, it spares the first half or the second.
+Side, place, length, letters and half are the key of the join; the edit distance decides.
 """
 
 from __future__ import annotations
@@ -71,44 +74,50 @@ def pivots(grams: list[tuple[str, int]], rank: dict[str, tuple[int, str]]) -> li
     return [grams[j] for j in best[EDITS + 1][-1][1]]
 
 
-def _indexed(shared):
-    """Mapper: (word, n, len, prefix, pivots) of every word."""
+def keys(word: str, at: int, length: int) -> Iterator[tuple]:
+    """Keys under which a word with a bigram at ``at`` meets words of ``length`` letters that share the bigram.
+
+    A key holds the side that is equal, its letters, and the half of the other side that the
+    edit spares; the halves are those of the word of ``length``.
+    """
+    for side, same, rest in (("<", word[: at + GRAM], word[at + GRAM :]), (">", word[at:], word[:at])):
+        there = length - len(same)
+        near, far = there - there // 2, there // 2
+        if 0 <= near <= len(rest):
+            yield side, length, same, "first", rest[:near]
+        if 0 <= far <= len(rest):
+            yield side, length, same, "last", rest[len(rest) - far :]
+
+
+def _keyed(shared):
+    """Mapper: (word, index, probe), the keys of a word's prefix and, for lengths up to one edit away, of its pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = {g: (f, g) for g, f in held(shared).items()}
-        kind = pa.list_(pa.struct([("gram", pa.string()), ("at", pa.int32())]))
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            first = [prefix(w, rank) for w in words]
-            pivot = [pivots(p, rank) for p in first]
-            as_rows = lambda x: pa.array([[{"gram": g, "at": i} for g, i in p] for p in x], kind)
-            cols = [batch.column("word"), batch.column("n"), pa.array([len(w) for w in words], pa.int32()), as_rows(first), as_rows(pivot)]
-            yield pa.RecordBatch.from_arrays(cols, names=["word", "n", "len", "prefix", "pivots"])
+            index, probe = [], []
+            for w in batch.column("word").to_pylist():
+                first = prefix(w, rank)
+                index.append(list({" ".join(map(str, k)) for _, at in first for k in keys(w, at, len(w))}))
+                probe.append(list({" ".join(map(str, k)) for _, at in pivots(first, rank) for d in range(-EDITS, EDITS + 1) for k in keys(w, at, len(w) + d)}))
+            cols = [batch.column("word"), *(pa.array(x, pa.list_(pa.string())) for x in (index, probe))]
+            yield pa.RecordBatch.from_arrays(cols, names=["word", "index", "probe"])
 
     return run
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(a, na, b, nb), a < b: the pairs of ``words`` (word, n) that one edit turns into each other.
+    """(a, b), a < b: the pairs of ``words`` (word) that one edit turns into each other.
 
     Words are distinct and have four letters or more.  No pair is left out: the join has no caps.
     """
-    spark = words.sparkSession
     # At most 90 letters, so at most 8,100 bigrams.
     counts = words.select(F.explode_outer(_grams(F.col("word"))).alias("gram")).groupBy("gram").count()
-    shared = share(spark, {r["gram"]: r["count"] for r in counts.collect()})
-    entry = "array<struct<gram:string,at:int>>"
-    table = save(words.mapInArrow(_indexed(shared), f"word string, n long, len int, prefix {entry}, pivots {entry}"), "grams")
-    index = table.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "len", F.explode_outer("prefix").alias("g"))
-    index = index.select("other", "other_n", "len", F.col("g.gram").alias("gram"), F.col("g.at").alias("at"))
-    # (difference of lengths, of places): as many letters, one letter less, one letter more
-    shifts = F.array(*(F.struct(F.lit(d).alias("len"), F.lit(s).alias("at")) for d, s in ((0, 0), (-1, 0), (-1, -1), (1, 0), (1, 1))))
-    probe = table.select("word", "n", "len", F.explode_outer("pivots").alias("g")).select("word", "n", "len", "g", F.explode_outer(shifts).alias("s"))
-    probe = probe.select("word", "n", (F.col("len") + F.col("s.len")).alias("len"), F.col("g.gram").alias("gram"), (F.col("g.at") + F.col("s.at")).alias("at"))
-    found = probe.join(index, ["gram", "at", "len"]).filter((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
-    swap = F.col("word") > F.col("other")
-    names = (("a", "word", "other"), ("na", "n", "other_n"), ("b", "other", "word"), ("nb", "other_n", "n"))
-    return found.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(c) for c, x, y in names)).distinct()
+    shared = share(words.sparkSession, {r["gram"]: r["count"] for r in counts.collect()})
+    table = save(words.select("word").mapInArrow(_keyed(shared), "word string, index array<string>, probe array<string>"), "keys")
+    rows = lambda c, name: table.select(F.col("word").alias(name), F.explode_outer(c).alias("key")).select(name, F.xxhash64("key").alias("key"))
+    found = rows("probe", "word").join(rows("index", "other"), "key").filter((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", EDITS) == EDITS))
+    return found.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -136,9 +145,9 @@ def spelling_variants(docs: DataFrame, least: int = 3, length: int = 5, every: i
     words gives an empty result.
     """
     words = save(word_counts(docs, least, length, every), "words")
-    pairs = near_words(words)
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("nb").alias("m"))
-    both = both.union(pairs.select("b", "a", "na"))
+    sides = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other")), F.struct(F.col("b").alias("word"), F.col("a").alias("other")))
+    both = near_words(words).select(F.explode_outer(sides).alias("p")).select("p.word", "p.other")
+    both = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("m")), "other")
     near = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     out = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.col("best.other").alias("other"), (-F.col("best.m")).alias("m"))
     good = F.col("m") >= ratio * F.col("n")
