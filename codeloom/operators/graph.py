@@ -10,9 +10,9 @@ once and each rule becomes an equi-join:
   the rule is a hash join on ``(dir, name)``.
 * uses / method (J3): ``.m(`` occurs exactly when ``m`` is the run between
   a dot and a parenthesis: join on ``(dir, m)``.
-* extends (J4): a class name occurs in the source path exactly when it is
-  a substring of one identifier run of the path: explode those substrings
-  and join on ``(dir, name)``.
+* extends (J4): a class name that occurs in the source path has its first three
+  characters there too: the runs of up to three characters of a path
+  are joined on ``(dir, start of the name)``, and ``contains`` decides.
 
 No rule ever pairs all files of a directory; hot directories are handled
 by AQE's skew-join splitting of the large side.
@@ -164,19 +164,14 @@ def method_call_names(body) -> F.Column:
     return F.array_distinct(F.regexp_extract_all(body, F.lit(METHOD_CALL_RE), 1))
 
 
-# Every identifier-shaped suffix of every identifier run: a zero-width match at each
-# position that can start an identifier, capturing the rest of the run.
-RUN_SUFFIX_RE = rf"(?=({IDENT_START_CLASS}{IDENT_CLASS}*+))"
+GRAM = 3  # characters of a class name that index it
 
 
-def path_substrings(path) -> F.Column:
-    """Every identifier-shaped substring of ``path`` (candidate class names).
-
-    A substring starting at position i is a prefix of the run suffix that
-    starts at i, so all candidates are the prefixes of the lookahead matches.
-    """
-    sufs = F.array_distinct(F.regexp_extract_all(path, F.lit(RUN_SUFFIX_RE), 1))
-    return F.array_distinct(F.flatten(F.transform(sufs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda k: F.substring(r, 1, k)))))
+def path_grams(path) -> F.Column:
+    """Every run of up to ``GRAM`` characters of ``path``: a class name's first characters are among those of a path that contains it."""
+    last = F.length(path)
+    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), last - i + 1)), lambda k: F.substring(path, i, k)))
+    return F.when(last > 0, F.array_distinct(F.flatten(runs)))
 
 
 def uses_function_edges(meta: DataFrame) -> DataFrame:
@@ -201,10 +196,12 @@ def uses_method_edges(meta: DataFrame) -> DataFrame:
 def extends_edges(meta: DataFrame) -> DataFrame:
     """The source *path* contains the name of another class of the same directory."""
     py = _python(meta)
-    src_files = py.where(F.size("classes") > 0).select(F.col("path").alias("source_file"), F.explode_outer(path_substrings(F.col("path"))).alias("name")).where(F.col("name").isNotNull())
-    src_files = src_files.withColumn("dir", dir_of("source_file"))
+    src = py.where(F.size("classes") > 0).select(F.col("path").alias("source_file"), F.explode_outer(path_grams(F.col("path"))).alias("start"))
+    src = src.where(F.col("start").isNotNull()).withColumn("dir", dir_of("source_file"))
     tgt = py.select(F.col("path").alias("target_file"), F.explode("classes.name").alias("name")).withColumn("dir", dir_of("target_file"))
-    hits = src_files.join(tgt, ["dir", "name"]).where(F.col("source_file") != F.col("target_file"))
+    tgt = tgt.withColumn("start", F.substring("name", 1, GRAM))
+    # A pair of a path and a class meets under the class's start only, so it comes once.
+    hits = src.join(tgt, ["dir", "start"]).where((F.col("source_file") != F.col("target_file")) & F.col("source_file").contains(F.col("name")))
     src_cls = py.select(F.col("path").alias("source_file"), F.explode("classes.name").alias("source_element"))
     j = hits.join(src_cls, "source_file").where(F.col("source_element") != F.col("name"))
     return _edge(j.withColumn("target_element", F.col("name")), "extends", S.WEIGHT_EXTENDS)

@@ -3,13 +3,19 @@
 An object class is a table keyed by ``id``.  Inserts, patches, replaces
 and deletes are DataFrame -> DataFrame operators that return the new
 table; a writer commits it as a new version directory.  The change-log
-fold (M6) is computed with per-id aggregates (partial, map-side combined)
-and equi-joins -- never a per-id sort of the whole log -- so an id that
-owns a third of the log is combined before it is shuffled.
+fold (M6) first leaves out, task by task, what later events of the same task
+make void, then deals the rest by ranges of (id, order) and folds each range
+to a few events an id: an id that owns a third of the log is spread over many
+tasks, and no row of the raw log is joined.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,22 +45,21 @@ def first_by_key(table: DataFrame, requests: DataFrame, key: str, order: str) ->
     return requests.select(key).distinct().join(first, key, "left").select(key, F.col("hit").isNotNull().alias("found"), "hit.*")
 
 
-def batch_insert(table: DataFrame, new: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+def batch_insert(table: DataFrame, new: DataFrame, key: str = "id", order: str = "_seq") -> tuple[DataFrame, DataFrame]:
     """M1 / M2: add objects; one status per object (``inserted`` / ``duplicate``).
 
-    Within the batch the first row of an id is inserted, later ones are
-    duplicates; an id already in the table is a duplicate.
+    ``order`` tells the rows of ``new`` apart (a place in the batch, unique within an id).  Within the
+    batch the first row of an id is inserted, later ones are duplicates; an id already in the
+    table is a duplicate.  The first rows are a partial aggregate, and a status is
+    found by (id, order), so that an id with a third of the batch is no hot key.
     Returns (new table, statuses).
     """
-    seq = "_seq"
-    n = new.withColumn(seq, F.monotonically_increasing_id()) if seq not in new.columns else new
-    first = n.groupBy(key).agg(F.min(seq).alias("_first"))
-    existing = table.select(key).withColumn("_exists", F.lit(True))
-    st = n.join(first, key).join(existing, key, "left")
-    status = F.when(F.col("_exists") | (F.col(seq) != F.col("_first")), "duplicate").otherwise("inserted")
-    statuses = st.select(key, status.alias("status"))
-    inserted = st.where(status == "inserted").select(*table.columns)
-    return table.unionByName(inserted), statuses
+    cols = [c for c in table.columns if c != key]
+    first = new.groupBy(key).agg(F.min_by(F.struct(order, *cols), F.col(order)).alias("_f"))
+    first = first.join(table.select(key), key, "left_anti")
+    won = first.select(key, F.col(f"_f.{order}").alias(order), F.lit(True).alias("_won"))
+    statuses = new.select(key, order).join(won, [key, order], "left").select(key, F.when(F.col("_won"), "inserted").otherwise("duplicate").alias("status"))
+    return table.unionByName(first.select(key, "_f.*").select(*table.columns)), statuses
 
 
 def merge_update(table: DataFrame, patches: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
@@ -78,9 +83,13 @@ def merge_update(table: DataFrame, patches: DataFrame, key: str, order: str, col
 
 
 def replace_object(table: DataFrame, replacements: DataFrame, key: str, order: str) -> DataFrame:
-    """M4: the whole object is replaced (absent properties become null); last wins."""
+    """M4: the whole object is replaced (absent properties become null); last wins.
+
+    An id that the table does not have stays unknown, as in M3 and M6.
+    """
     cols = [c for c in replacements.columns if c not in (key, order)]
     last = replacements.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("r")).select(key, "r.*")
+    last = last.join(table.select(key), key, "left_semi")
     kept = table.join(last.select(key), key, "left_anti")
     return kept.unionByName(last, allowMissingColumns=True).select(*table.columns)
 
@@ -90,26 +99,88 @@ def delete_object(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFram
     return table.join(ids.select(key), key, "left_anti")
 
 
+def _void(props: list[str], key: str, all_inserts: bool, hold: int = 10_000):
+    """Mapper over events sorted by (key, order): those that may still matter, in order.
+
+    Of an id's events stay the last delete, and of those after it the first insert
+    (``all_inserts``: every one, for a later delete of another task may make an insert the first),
+    the last replace and the last patch of each property.  Folding a log in parts that follow
+    each other in order and then folding what is left gives the same as folding it at once.
+    """
+
+    def keep(batch: pa.RecordBatch, edges: np.ndarray) -> np.ndarray:
+        kind = batch.column("kind")
+        n, at = batch.num_rows, np.arange(batch.num_rows)
+        head = edges[:-1]
+        is_ = {k: pc.equal(kind, k).fill_null(False).to_numpy(zero_copy_only=False) for k in ("delete", "insert", "replace", "patch")}
+        last = lambda mask: np.maximum.reduceat(np.where(mask, at, -1), head)
+        gone = last(is_["delete"])
+        alive = at > np.repeat(gone, np.diff(edges))
+        out = np.zeros(n + 1, bool)  # one more place takes "none"
+        out[gone] = True
+        if all_inserts:
+            out[:n] |= is_["insert"] & alive
+        else:
+            out[np.minimum.reduceat(np.where(is_["insert"] & alive, at, n), head)] = True
+        out[last(is_["replace"] & alive)] = True
+        for p in props:
+            has = batch.column(f"has_{p}").fill_null(False).to_numpy(zero_copy_only=False)
+            out[last(is_["patch"] & has & alive)] = True
+        return out[:n]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # what is left of the last id, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            ids = batch.column(key)
+            new = pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy(zero_copy_only=False)
+            edges = np.r_[0, np.flatnonzero(new) + 1, batch.num_rows]
+            mask = keep(batch, edges)
+            cut = int(edges[-2])
+            yield batch.slice(0, cut).filter(pa.array(mask[:cut]))
+            held = batch.slice(cut).filter(pa.array(mask[cut:]))
+            if held.num_rows > hold:  # nothing is lost by letting them go early
+                yield held
+                held = None
+        if held is not None:
+            yield held
+
+    return run
+
+
+def fold_changes(changes: DataFrame, key: str, props: list[str]) -> DataFrame:
+    """The events of an ordered change log that can matter: a few an id and range.
+
+    ``changes`` has ``_o`` as its order; rows without an id, or of another kind, go.
+    """
+    log = changes.where(F.col(key).isNotNull() & F.col("kind").isin("insert", "replace", "patch", "delete"))
+    # First in each task of the scan, which shrinks a hot id before the shuffle ...
+    part = log.sortWithinPartitions(key, "_o").mapInArrow(_void(props, key, True), log.schema)
+    # ... then in each range of (id, order), which spreads a hot id over tasks.
+    return part.repartitionByRange(key, "_o").sortWithinPartitions(key, "_o").mapInArrow(_void(props, key, False), log.schema)
+
+
 def apply_changes(table: DataFrame, changes: DataFrame, key: str, order: Column | str, props: list[str]) -> DataFrame:
     """M6: fold an ordered change log into the final table.
 
-    ``changes``: key, order, ``kind`` in (insert, replace, patch, delete),
+    ``changes``: key, order (unique within an id), ``kind`` in (insert, replace, patch, delete),
     one value column per property and ``has_<p>`` flags for patches.
     Sequential semantics: replace / patch need a live object, delete kills
     it, insert revives a dead id (on a live id it is a duplicate).
 
-    Two aggregation passes, no per-id sort:
-    (A) per id, the last delete;
-    (B) over the events after it: the first insert (the revival, needed
-        when there was a delete or no initial row), the last replace, and
-        per property the last patch.
-    Only the *last* replace / patch can matter, so validity is an order
-    check: a replace counts if it is after the revival point, a patch if
-    it is after the last valid reset.  Both passes are partial aggregates,
-    so an id owning a third of the log is combined map-side.
+    The log is folded to a few events an id and range (``fold_changes``).  Of these,
+    per id: (A) the last delete; (B) among the events after it the first insert (the
+    revival, needed when there was a delete or no initial row), the last replace and
+    per property the last patch.  Only the *last* replace / patch can matter, so validity is an
+    order check: a replace counts if it is after the revival point, a patch if
+    it is after the last valid reset.
     """
     o = F.col(order) if isinstance(order, str) else order
-    ch = changes.withColumn("_o", o)
+    names = [key, "kind", *props, *(f"has_{p}" for p in props)]
+    ch = fold_changes(changes.select(*names, o.alias("_o")), key, props)
     payload = [F.col(p).alias(f"v_{p}") for p in props]
     last_del = ch.groupBy(key).agg(F.max(F.when(F.col("kind") == "delete", F.col("_o"))).alias("_last_del"))
     after = ch.join(last_del, key).where(F.col("_last_del").isNull() | (F.col("_o") > F.col("_last_del")))

@@ -227,7 +227,6 @@ FROM mp
 ORACLE["import_edges"] = with_f1(E_IMP)
 ORACLE["uses_function"] = with_f1(E_USES_FN)
 ORACLE["uses_method"] = with_f1(E_USES_M)
-ORACLE["extends_candidates"] = with_f1(E_EXT)
 ORACLE["dependency_edges"] = with_f1(", " + EDGES + " SELECT * FROM edges")
 ORACLE["file_dependencies"] = with_f1(
     ", " + EDGES + " SELECT source_file, count(*) AS n_edges, count(DISTINCT target_file) AS n_targets FROM edges GROUP BY 1"
@@ -685,3 +684,42 @@ cls AS (SELECT concat('nrepo/n', n, '/Base', n, '.py') AS path, concat('nrepo/n'
 SELECT a.path AS source_file, b.path AS target_file, 'extends' AS type, a.class_name AS source_element, b.class_name AS target_element, CAST(0.9 AS DOUBLE) AS weight
 FROM cls a JOIN cls b ON a.dir = b.dir AND a.path <> b.path AND a.class_name <> b.class_name AND contains(a.path, b.class_name)
 """
+
+ORACLE["extends_candidates"] = with_f1(E_EXT + " UNION ALL SELECT * FROM (" + ORACLE["extends_by_path"] + ")")
+
+ORACLE["sym_evaluate"] = with_f1(
+    SIZES
+    + r""", t AS (SELECT concat(dir, '/mod_', p, '_', name, '_test_case_1.py') AS test_path, path, func_no,
+       length(concat('# ', n_chars, chr(10), 'def test_generated():', chr(10), '    assert True')) AS n FROM sz)
+SELECT test_path, path, func_no, CASE WHEN n % 7 <> 0 THEN (n % 100) / 100.0 END AS coverage, CASE WHEN n % 7 <> 0 THEN concat('ran ', test_path) END AS report,
+       n % 7 = 0 AS failed FROM t
+"""
+)
+
+# The loop stepped task by task with a recursive CTE; prompts enter by their lengths only.
+ORACLE["retry_loop"] = r"""
+WITH RECURSIVE tasks AS (
+  SELECT concat('src/doc_', doc_id, ext) AS path, concat('src/doc_', doc_id, t) AS test_path, x.lang, coalesce(text, '') AS code
+  FROM documents JOIN (VALUES (0, '.py', '_test.py', 'python'), (1, '.js', '_test.js', 'javascript'), (2, '.java', 'Test.java', 'java')) x(r, ext, t, lang)
+    ON ((doc_id % 3) + 3) % 3 = r
+),
+sized AS (
+  SELECT path, test_path, lang, length(code) AS code_len,
+         length(replace(replace(concat('Write tests for {fileName}:', chr(10), '{code}', chr(10)), '{code}', code), '{fileName}', path)) AS base_len FROM tasks
+),
+st AS (
+  SELECT path, CAST(-1 AS BIGINT) AS it, base_len AS n, CAST(0 AS DOUBLE) AS best, '' AS report, CAST(NULL AS VARCHAR) AS test, CAST(NULL AS VARCHAR) AS reason FROM sized
+  UNION ALL
+  SELECT path, it + 1, base_len + 1 + length('Your code need to be improved, the report is following:') + 1 + length(new_report) + 1,
+         CASE WHEN ok AND covered / 100.0 > best THEN covered / 100.0 ELSE best END, new_report,
+         CASE WHEN n % 29 <> 0 THEN concat('# ', n, ' ', lang) END,
+         CASE WHEN NOT ok THEN 'error' WHEN covered / 100.0 >= 0.8 THEN 'passed' WHEN it + 1 >= 3 THEN 'cap' END
+  FROM (
+    SELECT st.*, sized.base_len, sized.lang, n % 29 <> 0 AND n % 23 <> 0 AS ok, n * 37 % 101 % 95 AS covered,
+           CASE WHEN n % 29 <> 0 AND n % 23 <> 0 THEN concat(n * 37 % 101 % 95, ' of 100 in ', test_path, ' (', code_len, ')', repeat(' ', n % 7)) ELSE report END AS new_report
+    FROM st JOIN sized USING (path) WHERE reason IS NULL
+  )
+)
+SELECT path AS source_path, it + 1 AS attempts_used, it AS iterations, best AS best_coverage, report AS last_report, test AS generated_test, reason AS end_reason
+FROM st WHERE reason IS NOT NULL
+"""

@@ -235,8 +235,9 @@ def q_uses_method(spark, sf):
 
 @query("extends_candidates")
 def q_extends(spark, sf):
-    """Path-contains-class-name edges."""
-    return _edges_out(G.extends_edges(C.meta(spark, sf)))
+    """Path-contains-class-name edges, over the corpus and the corpus whose paths name classes."""
+    cols = ("path", "classes")
+    return _edges_out(G.extends_edges(C.meta(spark, sf).select(*cols).unionByName(X.extract_metadata(FX.inheritance_corpus(spark, sf)).select(*cols))))
 
 
 @query("dependency_edges")
@@ -672,7 +673,7 @@ def _ratio_eval(source: str, test: str, path: str) -> tuple[float, str]:
 def q_generate(spark, sf):
     """Model call per prompt (template prompts from conversations)."""
     t = _templates(spark, sf).select("conv_id", "turn", TX.fill_template("template", "code", "file_name").alias("prompt"))
-    return GN.generate(t, _length_model).select("conv_id", "turn", "response", F.col("gen_error").isNotNull().alias("failed"))
+    return GN.generate(t, GN.each(_length_model)).select("conv_id", "turn", "response", F.col("gen_error").isNotNull().alias("failed"))
 
 
 @query("evaluate")
@@ -681,7 +682,7 @@ def q_evaluate(spark, sf):
     t = _templates(spark, sf)
     t = t.select("conv_id", "turn", F.col("code").alias("source_code"), F.col("file_name").alias("test_path"),
                  TX.fill_template("template", "code", "file_name").alias("test_code"))
-    e = GN.evaluate(t, _ratio_eval)
+    e = GN.evaluate(t, GN.each(_ratio_eval))
     return e.select("conv_id", "turn", "coverage", "report", F.col("eval_error").isNotNull().alias("failed"))
 
 
@@ -697,10 +698,47 @@ def q_sym_prompt(spark, sf):
 @query("sym_pipeline")
 def q_sym_pipeline(spark, sf):
     """End-to-end test generation with a deterministic model."""
-    out = GN.sym_pipeline(C.corpus(spark, sf), SYM_TEMPLATE, _length_model, C.function_paths(spark, sf))
+    out = GN.sym_pipeline(C.corpus(spark, sf), SYM_TEMPLATE, GN.each(_length_model), C.function_paths(spark, sf))
     return out.select("test_path", "path", "func_no", "test_code")
 
 
+@query("sym_evaluate")
+def q_sym_evaluate(spark, sf):
+    """N3 to its end: the tests written as a table keyed by test path, then evaluated."""
+    out = GN.sym_pipeline(C.corpus(spark, sf), SYM_TEMPLATE, GN.each(_length_model), C.function_paths(spark, sf), GN.each(_ratio_eval), _scratch_dir(spark, "tests"))
+    return out.select("test_path", "path", "func_no", "coverage", "report", F.col("eval_error").isNotNull().alias("failed"))
+
+
+LANGS = ("python", "javascript", "java")
+
+
+def _fenced_model(prompts: list[str]) -> list:
+    """Deterministic stand-in for a chat model, a list at a time: one block a language naming the prompt's size; fails on some sizes."""
+    blocks = lambda n: "".join(f"```{t}\n# {n} {t}\n```\n" for t in LANGS)
+    return [RuntimeError("model failed") if len(p) % 29 == 0 else "Tests:\n" + blocks(len(p)) for p in prompts]
+
+
+def _sized_eval(sources: list[str], tests: list[str], paths: list[str]) -> list:
+    """Deterministic stand-in for a test runner: coverage follows from the size that the test names."""
+    out = []
+    for source, test, path in zip(sources, tests, paths):
+        n = int(test.split()[1])
+        covered = n * 37 % 101 % 95
+        out.append(RuntimeError("run failed") if n % 23 == 0 else (covered / 100.0, f"{covered} of 100 in {path} ({len(source)})" + " " * (n % 7)))
+    return out
+
+
+@query("retry_loop")
+def q_retry_loop(spark, sf):
+    """W1 run live: one task a document, prompted, evaluated and prompted again with the report."""
+    d = FX.read_table(spark, sf, "documents")
+    ext = F.element_at(F.array(F.lit(".py"), F.lit(".js"), F.lit(".java")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    tasks = d.select(F.concat(F.lit("src/doc_"), F.col("doc_id").cast("string"), ext).alias("source_path"), F.coalesce("text", F.lit("")).alias("source_code"))
+    tasks = tasks.withColumn("code_type", TX.detect_lang("source_path"))
+    base = TX.fill_template(F.lit("Write tests for {fileName}:\n{code}\n"), F.col("source_code"), F.col("source_path"))
+    return GN.retry_loop(tasks, base, _fenced_model, _sized_eval)[0]
+
+
 # --------------------------------------------------------------------------- streaming
 
 

@@ -43,24 +43,46 @@ def test_min_path_cover_equals_sequential_greedy(spark):
         expected[g] = _greedy(paths)
         rows += [(g, p, k, pos) for p, bs in paths.items() for (k, pos) in bs]
     inc = spark.createDataFrame(rows, "g long, p long, kind string, pos long")
-    # hybrid default (the hot group exceeds the cap and takes the distributed rounds),
-    # all groups in rounds, and all groups in the per-group pass
-    for cap, first in ((40, 0), (40, 1), (0, 0), (10**9, 0)):
-        got = {}
-        for r in CV.min_path_cover(inc, ["g"], "p", small_group_rows=cap, first_rounds=first).collect():
-            got.setdefault(r["g"], []).append((r["pick_no"], r["p"]))
-        assert {g: [p for _, p in sorted(v)] for g, v in got.items()} == expected, (cap, first)
+    for unit in (1, 20, 50_000):  # the hot group alone, or all groups, dealt by component
+        assert _by_group(CV.min_path_cover(inc, ["g"], "p", unit=unit)) == expected
     first = {r["g"]: r["p"] for r in CV.argmax_pick(inc, ["g"], "p").collect()}
     assert first == {g: v[0] for g, v in expected.items()}
 
 
-def test_min_path_cover_rounds_do_not_depend_on_size(spark):
+def _by_group(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["g"], []).append((r["pick_no"], r["p"]))
+    return {g: [p for _, p in sorted(v)] for g, v in got.items()}
+
+
+def test_min_path_cover_first_picks(spark):
     rows = [(g, p, "if", 10 * p + b) for g in range(3) for p in range(6) for b in range(6 - p)]
     inc = spark.createDataFrame(rows, "g int, p int, kind string, pos int")
     for rounds in (0, 1, 3):
-        for cap, first in ((0, 0), (5_000, 0), (5_000, 2), (10, 1)):
-            got = CV.min_path_cover(inc, ["g"], "p", max_rounds=rounds, small_group_rows=cap, first_rounds=first).collect()
-            assert sorted((r.g, r.pick_no, r.p) for r in got) == [(g, n, n) for g in range(3) for n in range(rounds)]
+        assert _by_group(CV.min_path_cover(inc, ["g"], "p", max_rounds=rounds)) == ({g: list(range(rounds)) for g in range(3)} if rounds else {})
+
+
+def test_min_path_cover_of_a_group_of_many_components(spark):
+    """Gains tie within and across components, paths repeat branch sets, one chain is long; and the jobs do not grow with the picks."""
+    rng = random.Random(9)
+    paths, n = {}, 0
+    for c in range(150):
+        for _ in range(rng.randint(1, 5)):
+            paths[n] = {("k", 100 * c + rng.randint(0, 6)) for _ in range(rng.randint(1, 5))}
+            n += 1
+    for i in range(200):  # a chain: each path shares a branch with the next
+        paths[n + i] = {("chain", i), ("chain", i + 1)}
+    order = list(paths)
+    rng.shuffle(order)
+    paths = {order[p]: bs for p, bs in paths.items()}
+    rows = [(g, p, k, pos) for g in (0, 1) for p, bs in paths.items() for k, pos in bs]
+    inc = spark.createDataFrame(rows, "g long, p long, kind string, pos long").repartition(4)
+    want = _greedy(paths)
+    assert len(want) > 200
+    for unit in (1, 100, 50_000):  # dealt by component, or not: the same picks
+        assert _by_group(CV.min_path_cover(inc, ["g"], "p", unit=unit)) == {0: want, 1: want}
+    assert CV.min_path_cover(inc.limit(0), ["g"], "p").count() == 0
 
 
 def test_describe_paths_default_and_arm_keys(spark):
@@ -190,13 +212,56 @@ def test_apply_changes_equals_sequential(spark):
 def test_single_operation_operators(spark):
     table = spark.createDataFrame([(1, "x", 1.0), (2, "y", 2.0)], "id long, a string, b double")
     new = spark.createDataFrame([(2, "n", 0.0, 0), (3, "m", 3.0, 1), (3, "m2", 4.0, 2)], "id long, a string, b double, _seq long")
-    t2, st = ST.batch_insert(table, new)
+    t2, st = ST.batch_insert(table, new, "id", "_seq")
     assert sorted(tuple(r) for r in st.collect()) == [(2, "duplicate"), (3, "duplicate"), (3, "inserted")]
     assert {r["id"]: r["a"] for r in t2.collect()} == {1: "x", 2: "y", 3: "m"}
     patches = spark.createDataFrame([(1, 5, None, True), (1, 4, "old", True), (2, 1, "q", False)], "id long, o long, a string, has_a boolean")
     got = {r["id"]: r["a"] for r in ST.merge_update(table, patches, "id", "o", ["a"]).collect()}
     assert got == {1: None, 2: "y"}  # explicit null kept apart from an absent property
-    rep = spark.createDataFrame([(1, 1, "r")], "id long, o long, a string")
+    rep = spark.createDataFrame([(1, 1, "r"), (9, 1, "unknown")], "id long, o long, a string")
     got = {r["id"]: (r["a"], r["b"]) for r in ST.replace_object(table, rep, "id", "o").collect()}
     assert got == {1: ("r", None), 2: ("y", 2.0)}
     assert [r["id"] for r in ST.delete_object(table, spark.createDataFrame([(1,)], "id long")).collect()] == [2]
+
+
+def test_apply_changes_hot_id_is_folded_before_the_shuffle(spark):
+    """A third of the log on one id, any split of the log into tasks: the sequential result, from few events."""
+    rng = random.Random(12)
+    props = ["a", "b"]
+    init = {i: {"a": f"a{i}", "b": None} for i in range(0, 30, 3)}
+    changes = []
+    for o in range(9000):
+        k = 3 if o % 3 == 0 else rng.randint(0, 40)
+        kind = rng.choices(["insert", "replace", "patch", "delete"], [4, 3, 30, 0.2 if k == 3 else 4])[0]
+        flags = (rng.random() < 0.5, rng.random() < 0.5) if kind == "patch" else (False, False)
+        changes.append({"id": k, "o": o, "kind": kind, "a": f"v{o}" if rng.random() < 0.9 else None, "b": float(o), "has_a": flags[0], "has_b": flags[1]})
+    want = _apply_sequential(init, changes, props)
+    rng.shuffle(changes)
+    rows = [(c["id"], c["o"], c["kind"], c["a"], c["b"], c["has_a"], c["has_b"]) for c in changes] + [(None, 1, "delete", None, None, False, False), (3, 5, None, None, None, None, None)]
+    schema = "id long, o long, kind string, a string, b double, has_a boolean, has_b boolean"
+    table = spark.createDataFrame([(k, v["a"], v["b"]) for k, v in init.items()], "id long, a string, b double")
+    for parts in (1, 7):
+        log = spark.createDataFrame(rows, schema).repartition(parts)
+        got = {r["id"]: {"a": r["a"], "b": r["b"]} for r in ST.apply_changes(table, log, "id", "o", props).collect()}
+        assert got == want
+        folded = ST.fold_changes(log.withColumnRenamed("o", "_o"), "id", props)
+        assert folded.where("id = 3").count() <= 5 * folded.rdd.getNumPartitions()
+    # The raw log is scanned, cut down in its own task, and only then dealt by ranges.
+    plan = folded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "rangepartitioning(id" in plan and plan.count("MapInArrow") == 2 and "Join" not in plan
+    empty = ST.apply_changes(table, log.limit(0), "id", "o", props)
+    assert {r["id"] for r in empty.collect()} == set(init)
+    # M4 and M6 agree: an unknown id stays unknown.
+    one = spark.createDataFrame([(77, 1, "replace", "x", 1.0, False, False)], schema)
+    assert ST.apply_changes(table, one, "id", "o", props).where("id = 77").count() == 0
+    assert ST.replace_object(table, one.select("id", "o", "a", "b"), "id", "o").where("id = 77").count() == 0
+
+
+def test_batch_insert_hot_id(spark):
+    table = spark.createDataFrame([(1, "x")], "id long, a string")
+    new = spark.createDataFrame([(7 if i % 2 else i, f"n{i}", i) for i in range(400)] + [(1, "late", 1000)], "id long, a string, at long")
+    after, status = ST.batch_insert(table, new, "id", "at")
+    got = {(r["id"], r["status"]): r["count"] for r in status.groupBy("id", "status").count().collect()}
+    assert got[7, "inserted"] == 1 and got[7, "duplicate"] == 199 and got[1, "duplicate"] == 1 and got[2, "inserted"] == 1
+    rows = {r["id"]: r["a"] for r in after.collect()}
+    assert len(rows) == after.count() == 202 and rows[7] == "n1" and rows[1] == "x"

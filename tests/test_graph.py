@@ -25,14 +25,19 @@ def test_call_names_equal_brute_force_contains(spark):
         assert {n for n in names if "." + n + "(" in b} == gotm[i] & set(names), b
 
 
-def test_path_substrings_cover_contains(spark):
-    paths = ["repo/pkg_1/mod_123.py", "a/Foo.Bar/baz-qux.py", "ünï/cöde.py"]
-    names = ["mod_12", "mod_123", "pkg_1", "Foo", "Bar", "baz", "qux", "py", "ünï", "öde", "o.B", "z-q"]
-    df = spark.createDataFrame([(p,) for p in paths], "p string")
-    got = {r["p"]: set(r["s"]) for r in df.select("p", G.path_substrings(F.col("p")).alias("s")).collect()}
-    for p in paths:
-        # identifier-shaped names: exact; names with separators can never be class names
-        assert {n for n in names if n in p and n.replace("_", "a").isalnum()} == got[p] & set(names)
+def test_extends_equals_brute_force_contains(spark):
+    """Class names of one character and more, with letters beyond ASCII, against paths of one directory each."""
+    rng = random.Random(4)
+    names = ["A", "Ab", "Abc", "AbcA", "bcA", "é", "éA", "AbAb", "c_1", "_"]
+    rows = []
+    for i in range(60):
+        path = rng.choice(["d", "e/Abc"]) + "/" + "".join(rng.choice(["A", "b", "c", "é", "_", "1"]) for _ in range(rng.randint(1, 8))) + f"{i}.py"
+        rows.append((path, [rng.choice(names) for _ in range(rng.randint(0, 3))]))
+    meta = spark.createDataFrame([(p, [(c,) for c in cs]) for p, cs in rows], "path string, classes array<struct<name:string>>")
+    got = sorted((r["source_file"], r["target_file"], r["source_element"], r["target_element"]) for r in G.extends_edges(meta).collect())
+    place = lambda p: p.rsplit("/", 1)[0]
+    want = sorted((p, q, c, d) for p, cs in rows for q, ds in rows if p != q and place(p) == place(q) for c in cs for d in ds if c != d and d in p)
+    assert got == want and len(want) > 100
 
 
 def _meta(spark, files):
