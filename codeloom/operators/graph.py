@@ -244,6 +244,44 @@ def fan_out(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("target_file").alias("n_targets"))
 
 
+def _shared_names(calls: DataFrame, defs: DataFrame, weight: float) -> DataFrame:
+    """(path, n_in, n_out, w_in, w_out): the edges between the files of a directory that call and define a name, counted.
+
+    ``calls`` and ``defs``: (path, dir, name), one row a calling body or a definition.  A definition has an
+    edge from every call of its name in the directory but those of its own file, so the
+    counts follow from the totals of (dir, name) and a file's own share: work grows
+    with the rows given, where the edges grow with calls times definitions.
+    """
+    both = calls.select("path", "dir", "name", F.lit(1).alias("c"), F.lit(0).alias("d")).unionByName(defs.select("path", "dir", "name", F.lit(0).alias("c"), F.lit(1).alias("d")))
+    own = both.groupBy("dir", "name", "path").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    total = own.groupBy("dir", "name").agg(F.sum("c").alias("all_c"), F.sum("d").alias("all_d")).where((F.col("all_c") > 0) & (F.col("all_d") > 0))
+    n = own.join(total, ["dir", "name"]).select("path", (F.col("d") * (F.col("all_c") - F.col("c"))).alias("n_in"), (F.col("c") * (F.col("all_d") - F.col("d"))).alias("n_out"))
+    return n.where("n_in > 0 or n_out > 0").select("*", (F.col("n_in") * weight).alias("w_in"), (F.col("n_out") * weight).alias("w_out"))
+
+
+def fan_counts(meta: DataFrame, file_paths: DataFrame, mode: str = "token") -> DataFrame:
+    """G3 / G4 without the edges: per file the number and the weight of the edges into it and out of it.
+
+    The counts equal those of ``fan_in`` and ``fan_out``; uses edges, whose number grows with the product of callers and
+    definitions of a name, are counted by ``_shared_names``.  Files without an edge do not come.
+    """
+    src = analysis_sources(meta).select(F.col("source_file").alias("path"), "dir", "body")
+    py = _python(meta).select("path", dir_of("path").alias("dir"), "functions", "classes")
+    called = lambda names: src.select("path", "dir", F.explode_outer(names(F.col("body"))).alias("name")).where(F.col("name").isNotNull())
+    functions = py.select("path", "dir", F.explode("functions.name").alias("name"))
+    methods = py.select("path", "dir", F.explode(F.flatten(F.transform("classes", lambda c: c["methods"]["function"]["name"]))).alias("name"))
+    rows = _shared_names(called(call_names), functions, S.WEIGHT_USES).unionByName(_shared_names(called(method_call_names), methods, S.WEIGHT_USES))
+    for edges in (import_edges(meta, file_paths, mode), extends_edges(meta)):
+        one, none, w = F.lit(1), F.lit(0), F.col("weight")
+        ends = F.array(
+            F.struct(F.col("target_file").alias("path"), one.alias("n_in"), none.alias("n_out"), w.alias("w_in"), F.lit(0.0).alias("w_out")),
+            F.struct(F.col("source_file").alias("path"), none.alias("n_in"), one.alias("n_out"), F.lit(0.0).alias("w_in"), w.alias("w_out")),
+        )
+        rows = rows.unionByName(edges.select(F.inline(ends)))
+    out = rows.groupBy("path").agg(*(F.sum(c).alias(c) for c in ("n_in", "n_out", "w_in", "w_out")))
+    return out.select("path", *(F.col(c).cast("long").alias(c) for c in ("n_in", "n_out")), *(F.round(c, 6).alias(c) for c in ("w_in", "w_out")))
+
+
 def edge_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Keep edges whose two ends are known file nodes (two left semi joins)."""
     files = nodes.where(F.col("file_type") != "dir").select("path")
@@ -274,49 +312,65 @@ def stub_merge_stats(merged: DataFrame) -> DataFrame:
     return merged.agg(F.count_if("merged").cast("long").alias("n_merged"), F.count_if(~F.col("merged")).cast("long").alias("n_failed"))
 
 
-def _range(a, b) -> F.Column:
-    """sequence(a, b) that is empty (not descending) when b < a."""
-    a = a if isinstance(a, F.Column) else F.lit(a)
-    return F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+def _parent(path: str) -> F.Column:
+    """The directory of a path; '' at the top."""
+    return F.when(F.col(path).contains("/"), dir_of(path)).otherwise("")
+
+
+def directory_closure(paths: DataFrame) -> DataFrame:
+    """(module_path, dir, distance): every directory, those without files too, with itself (0) and each directory above it.
+
+    Built from the distinct directories, of which there are far fewer than files; rows grow with depth only.
+    """
+    dirs = paths.select(_parent("path").alias("dir")).where("dir <> ''").distinct()
+    above = lambda d: F.transform(F.sequence(F.lit(1), F.size(F.split(d, "/"))), lambda k: F.call_function("substring_index", d, F.lit("/"), k))
+    dirs = dirs.select(F.explode_outer(above(F.col("dir"))).alias("dir")).distinct()
+    pairs = dirs.select("dir", F.size(F.split("dir", "/")).alias("n"), F.posexplode_outer(above(F.col("dir"))).alias("i", "module_path"))
+    return pairs.select("module_path", "dir", (F.col("n") - F.col("i") - 1).cast("long").alias("distance"))
+
+
+def _depth(path) -> F.Column:
+    return (F.size(F.split(path, "/")) - 1).cast("long")
 
 
 def module_rollup(paths: DataFrame) -> DataFrame:
-    """Every directory prefix with all files and all sub-directories below it.
+    """Every directory with the number of all files / all sub-directories below it.
 
-    Membership is the transitive closure (any depth), computed by exploding
-    path prefixes; no recursion and no per-module collection.
+    Files are counted by directory first; only these counts are joined to the directories above.
     """
-    p = paths.select("path", F.split("path", "/").alias("parts"))
-    n = F.size("parts")
-    pre = p.select(
-        "path",
-        n.alias("n"),
-        F.posexplode_outer(F.transform(_range(1, n - 1), lambda k: F.array_join(F.slice(F.col("parts"), 1, k), "/"))).alias("i", "module_path"),
-    ).where(F.col("module_path").isNotNull())
-    # sub-modules of module at depth i+1: the distinct prefixes strictly between it and the file
-    subs = p.select(
-        F.explode_outer(
-            F.transform(
-                _range(2, n - 1),
-                lambda k: F.struct(
-                    F.array_join(F.slice(F.col("parts"), 1, k), "/").alias("sub"),
-                    F.transform(F.sequence(F.lit(1), k - 1), lambda a: F.array_join(F.slice(F.col("parts"), 1, a), "/")).alias("ancestors"),
-                ),
-            )
-        ).alias("s")
-    ).where(F.col("s").isNotNull() & (F.size("s.ancestors") > 0))
-    sub_rows = subs.select(F.col("s.sub").alias("sub"), F.explode("s.ancestors").alias("module_path")).where(F.col("sub").isNotNull()).distinct()
-    sub_counts = sub_rows.groupBy("module_path").agg(F.count(F.lit(1)).alias("n_submodules"))
-    files = pre.groupBy("module_path").agg(
-        F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("i") == F.col("n") - 2).alias("n_direct_files"), F.first("i").alias("depth")
-    )
-    return files.join(sub_counts, "module_path", "left").select(
-        "module_path",
-        F.col("depth").cast("long").alias("depth"),
-        F.col("n_files").cast("long"),
-        F.col("n_direct_files").cast("long"),
-        F.coalesce("n_submodules", F.lit(0)).cast("long").alias("n_submodules"),
+    closure = directory_closure(paths)
+    files = paths.groupBy(_parent("path").alias("dir")).agg(F.count(F.lit(1)).alias("n"))
+    counted = closure.join(files, "dir", "left").groupBy("module_path").agg(
+        F.sum("n").alias("n_files"), F.sum(F.when(F.col("distance") == 0, F.col("n"))).alias("n_direct_files"), F.count_if(F.col("distance") > 0).alias("n_submodules")
     )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return counted.select("module_path", _depth("module_path").alias("depth"), zero("n_files"), zero("n_direct_files"), F.col("n_submodules").cast("long"))
+
+
+def modules(paths: DataFrame) -> DataFrame:
+    """The module tree, (module_path, parent_path, depth); '' above the top."""
+    own = directory_closure(paths).where("distance = 0")
+    return own.select("module_path", _parent("module_path").alias("parent_path"), _depth("module_path").alias("depth"))
+
+
+def module_members(paths: DataFrame) -> DataFrame:
+    """What each module holds, (module_path, member, kind, distance): its files and sub-modules at every level.
+
+    ``distance`` 1 are the direct members.  One row a member and level, never a list: a module with a third
+    of all files is many rows.
+    """
+    closure = directory_closure(paths)
+    files = paths.select("path", _parent("path").alias("dir")).where("dir <> ''").join(closure, "dir")
+    files = files.select("module_path", F.col("path").alias("member"), F.lit("file").alias("kind"), (F.col("distance") + 1).alias("distance"))
+    return files.unionByName(closure.where("distance > 0").select("module_path", F.col("dir").alias("member"), F.lit("module").alias("kind"), "distance"))
+
+
+def python_module_members(meta: DataFrame) -> DataFrame:
+    """The files of every module name with the symbols each brings, (module, path, kind, name); kind ``file`` for the file itself."""
+    named = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    parts = [F.array(F.struct(F.lit("file").alias("kind"), F.col("path").alias("name")))]
+    parts += [named(k, F.col(f"{c}.name")) for k, c in (("class", "classes"), ("interface", "interfaces"), ("function", "functions"))]
+    return meta.select("module", "path", F.inline(F.concat(*parts)))
 
 
 def python_modules(meta: DataFrame) -> DataFrame:

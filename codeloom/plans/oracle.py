@@ -723,3 +723,29 @@ st AS (
 SELECT path AS source_path, it + 1 AS attempts_used, it AS iterations, best AS best_coverage, report AS last_report, test AS generated_test, reason AS end_reason
 FROM st WHERE reason IS NOT NULL
 """
+
+ORACLE["fan_counts"] = with_f1(
+    ", " + EDGES + r""", ends AS (SELECT target_file AS path, 1 AS i, 0 AS o, weight AS w FROM edges UNION ALL SELECT source_file, 0, 1, weight FROM edges)
+SELECT path, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out, round(sum(i * w), 6) AS w_in, round(sum(o * w), 6) AS w_out FROM ends GROUP BY path
+"""
+)
+
+# Directories by their files' paths: every proper prefix of a path that ends before a slash.
+DIRS = r""", up AS (SELECT path, unnest(generate_series(1, len(string_split(path, '/')) - 1)) AS k FROM files),
+dirs AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS m FROM up)
+"""
+ORACLE["modules"] = with_f1(
+    DIRS + "SELECT m AS module_path, CASE WHEN contains(m, '/') THEN regexp_replace(m, '/[^/]*$', '') ELSE '' END AS parent_path, CAST(len(string_split(m, '/')) - 1 AS BIGINT) AS depth FROM dirs"
+)
+ORACLE["module_members"] = with_f1(
+    DIRS
+    + r""", things AS (SELECT path AS x, 'file' AS kind FROM files UNION ALL SELECT m, 'module' FROM dirs)
+SELECT m AS module_path, x AS member, kind, CAST(len(string_split(x, '/')) - len(string_split(m, '/')) AS BIGINT) AS distance
+FROM dirs JOIN things ON starts_with(x, m || '/')
+"""
+)
+ORACLE["python_module_members"] = with_f1(r""", names AS (
+  SELECT path, 'file' AS kind, path AS name FROM files UNION ALL SELECT path, 'function', name FROM fnb
+  UNION ALL SELECT path, 'class', class_name FROM cls UNION ALL SELECT path, 'interface', concat('I_', p) FROM files WHERE ok AND p_size % 7 = 0)
+SELECT replace(regexp_replace(path, '\.py$', ''), '/', '.') AS module, path, kind, name FROM names
+""")

@@ -258,6 +258,12 @@ def q_file_dependents(spark, sf):
     return G.fan_in(C.edges(spark, sf))
 
 
+@query("fan_counts")
+def q_fan_counts(spark, sf):
+    """Edges into and out of every file, counted without building the uses edges."""
+    return G.fan_counts(C.meta(spark, sf), C.file_paths(spark, sf))
+
+
 @query("edge_endpoints")
 def q_edge_endpoints(spark, sf):
     """Adjacency over edges whose two ends are corpus files."""
@@ -283,6 +289,24 @@ def q_module_rollup(spark, sf):
     return G.module_rollup(C.file_paths(spark, sf))
 
 
+@query("modules")
+def q_modules(spark, sf):
+    """The module tree of the corpus."""
+    return G.modules(C.file_paths(spark, sf))
+
+
+@query("module_members")
+def q_module_members(spark, sf):
+    """Every module with its files and sub-modules at every level."""
+    return G.module_members(C.file_paths(spark, sf))
+
+
+@query("python_module_members")
+def q_python_module_members(spark, sf):
+    """The files of every module name with their symbols."""
+    return G.python_module_members(C.meta(spark, sf))
+
+
 @query("url_rollup")
 def q_url_rollup(spark, sf):
     """G6 on F6 URL paths."""
