@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def get_objects(table: DataFrame, *fields: str) -> DataFrame:
@@ -213,6 +214,32 @@ def to_document(df: DataFrame, key: str, doc: Column) -> DataFrame:
     return df.select(key, F.to_json(doc).alias("doc"))
 
 
+def properties(kind: T.DataType, value: Column) -> Column:
+    """The nested property form of a value of type ``kind``, as an expression.
+
+    Structs keep the order of their fields, a null one stays null; lists and maps go through entry by entry, a null
+    one is empty; map keys become text.  The expression follows from the type alone, at any depth.
+    """
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(properties(f.dataType, value[f.name]).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.transform(value, lambda x: properties(kind.elementType, x)), F.array())
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(e["key"].cast("string").alias("key"), properties(kind.valueType, e["value"]).alias("value"))
+        return F.map_from_entries(F.coalesce(F.transform(F.map_entries(value), entry), F.array()))
+    return value
+
+
+def documents(df: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
+    """P6 for whole records: (key, doc), the JSON text of the properties of each row; nulls are written out.
+
+    A document is bounded by its row: lists are those of the record, none is gathered over rows.
+    """
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    doc = F.struct(*(properties(f.dataType, F.col(f.name)).alias(f.name) for f in fields))
+    return df.select(key, F.to_json(doc, {"ignoreNullFields": "false"}).alias("doc"))
+
+
 def create_class(spark, name: str, schema, location: str | None = None) -> None:
     """Register an object class as a parquet table (``CREATE TABLE ... USING parquet``)."""
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)

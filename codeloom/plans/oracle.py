@@ -749,3 +749,19 @@ ORACLE["python_module_members"] = with_f1(r""", names AS (
   UNION ALL SELECT path, 'class', class_name FROM cls UNION ALL SELECT path, 'interface', concat('I_', p) FROM files WHERE ok AND p_size % 7 = 0)
 SELECT replace(regexp_replace(path, '\.py$', ''), '/', '.') AS module, path, kind, name FROM names
 """)
+
+ORACLE["file_documents"] = with_f1(r""",
+x AS (SELECT [{'name': 'self', 'type': 'Any'}, {'name': 'x', 'type': 'int'}] AS params),
+fs AS (SELECT path, list({'name': name, 'parameters': [{'name': 'qty', 'type': 'int'}, {'name': 'price', 'type': 'float'}],
+         'return_types': CASE sk % 3 WHEN 1 THEN ['float'] WHEN 2 THEN ['price'] ELSE ['Tuple[int', 'str]'] END, 'body': body} ORDER BY func_no) AS functions
+       FROM fnb GROUP BY path),
+docs AS (SELECT f.path, replace(regexp_replace(f.path, '\.py$', ''), '/', '.') AS module,
+    CASE WHEN ok AND p_size % 3 = 0 THEN [{'name': concat('mod_', p), 'fields': [{'name': 'brand', 'type': 'str'}, {'name': 'size', 'type': 'int'}],
+      'methods': [{'reciever': concat('mod_', p), 'function': {'name': concat('m_', p), 'parameters': params, 'return_types': ['int'], 'body': 'return x'}}]}] ELSE [] END AS classes,
+    CASE WHEN ok AND p_size % 7 = 0 THEN [{'name': concat('I_', p), 'methods': [{'name': 'go', 'parameters': params, 'return_types': ['str'], 'body': 'pass'}]}] ELSE [] END AS interfaces,
+    coalesce(functions, []) AS functions
+  FROM files f LEFT JOIN fs ON fs.path = f.path, x)
+SELECT path, CAST(to_json({'path': path, 'module': module, 'classes': classes, 'interfaces': interfaces, 'functions': functions}) AS VARCHAR) AS doc FROM docs
+""")
+
+ORACLE["stream_file_versions"] = "SELECT path, CAST(2 AS BIGINT) AS version, module, n_classes, n_functions, broken FROM (" + ORACLE["py_metadata"] + ")"

@@ -582,6 +582,12 @@ def q_to_document(spark, sf):
     return ST.to_document(j.select(_long("c_custkey").alias("id"), doc.alias("d")), "id", F.col("d"))
 
 
+@query("file_documents")
+def q_file_documents(spark, sf):
+    """The File record of every path as a nested document."""
+    return ST.documents(C.meta(spark, sf).select("path", "module", "classes", "interfaces", "functions"), "path")
+
+
 @query("batch_insert")
 def q_batch_insert(spark, sf):
     """M1: insert low-priority orders as new objects (id = order key)."""
@@ -813,6 +819,19 @@ def q_stream_code_files(spark, sf):
     )
 
 
+@query("stream_file_versions")
+def q_stream_file_versions(spark, sf):
+    """R2: files that arrive again, in both orders and repeated; the newest version of a path counts."""
+    new = C.corpus(spark, sf).select("path", "content", F.lit(2).cast("long").alias("version"))
+    old = new.select("path", F.lit("x = 1\n").alias("content"), F.lit(1).cast("long").alias("version"))
+    d = RS._scratch(spark, "versions-src")
+    odd = F.pmod(F.xxhash64("path"), F.lit(2)) == 1
+    for part in (new.where(odd).unionByName(old.where(~odd)), old.where(odd).unionByName(new.where(~odd)), new.where(odd)):
+        part.write.mode("append").parquet(d)
+    meta = RS.stream_file_versions(spark, d, new.schema)
+    return meta.select("path", "version", "module", _long(F.size("classes")).alias("n_classes"), _long(F.size("functions")).alias("n_functions"), F.col("error").isNotNull().alias("broken"))
+
+
 # --------------------------------------------------------------------------- sinks and sources (S3-S5), J1 on its own
 
 

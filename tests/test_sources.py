@@ -55,3 +55,33 @@ def test_create_class_and_schema(spark):
     ST.create_class(spark, "codeloom_test_class", schema, loc)
     assert [n for n, _ in ST.class_schema(spark, "codeloom_test_class")] == ["id", "name"]
     spark.sql("DROP TABLE IF EXISTS codeloom_test_class")
+
+
+def test_documents_of_nested_records(spark):
+    """Lists, structs, maps and nulls at any depth."""
+    import json
+
+    from codeloom.operators import store as ST
+
+    schema = "id long, s struct<a:string,l:array<struct<x:int,y:string>>>, m map<int,array<double>>, n array<array<int>>, e struct<a:int>"
+    rows = [(1, ("é\"\n", [(1, None), None]), {3: [0.5], 4: None}, [[1, 2], None], None), (2, None, None, None, (None,)), (3, (None, None), {}, [], (7,))]
+    got = {r["id"]: json.loads(r["doc"]) for r in ST.documents(spark.createDataFrame(rows, schema), "id").collect()}
+    assert got[1] == {"id": 1, "s": {"a": "é\"\n", "l": [{"x": 1, "y": None}, None]}, "m": {"3": [0.5], "4": []}, "n": [[1, 2], []], "e": None}
+    assert got[2] == {"id": 2, "s": None, "m": {}, "n": [], "e": {"a": None}}
+    assert got[3] == {"id": 3, "s": {"a": None, "l": []}, "m": {}, "n": [], "e": {"a": 7}}
+
+
+def test_file_versions_in_any_order(spark):
+    from itertools import permutations
+
+    from codeloom.streaming import attempts_stream as RS
+
+    rows = [("a.py", "def f():\n    pass\n", 1), ("a.py", "def g():\n    pass\n", 2), ("a.py", "def g():\n    pass\n", 2), ("b.py", "def broken(:\n", 5)]
+    schema = "path string, content string, version long"
+    for order in list(permutations(range(4)))[::8]:
+        d = RS._scratch(spark, "t-versions")
+        for i in order:
+            spark.createDataFrame([rows[i]], schema).coalesce(1).write.mode("append").parquet(d)
+        out = {r["path"]: r for r in RS.stream_file_versions(spark, d, spark.createDataFrame([], schema).schema).collect()}
+        assert set(out) == {"a.py", "b.py"} and out["a.py"]["version"] == 2 and out["b.py"]["error"]
+        assert [f["name"] for f in out["a.py"]["functions"]] == ["g"]

@@ -56,7 +56,7 @@ def test_entry_smoke(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-FAST_SKIP = {"stream_attempts", "stream_dedupe", "stream_code_files", "sym_pipeline", "sym_prompt"}
+FAST_SKIP = {"stream_attempts", "stream_dedupe", "stream_code_files", "stream_file_versions", "sym_pipeline", "sym_prompt", "sym_evaluate"}
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/part.parquet"), reason="driver tables not present")
@@ -77,7 +77,7 @@ def test_every_query_matches_its_oracle_small(spark, sf_small):
     assert not bad, bad
 
 
-STREAMING = {"stream_attempts", "stream_dedupe", "stream_code_files"}
+STREAMING = {"stream_attempts", "stream_dedupe", "stream_code_files", "stream_file_versions"}
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/part.parquet"), reason="driver tables not present")
