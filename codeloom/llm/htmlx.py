@@ -1,6 +1,6 @@
 """Main-text extraction by consensus paths of a host (operator 8).
 
-A page is read once as a stream of tags.  Every container (a structural
+A page is read once as a stream of tags, in time and memory linear in its length.  Every container (a structural
 element outside navigation, forms, adverts and the like) has a generalised path:
 the tags from the root with their classes, digits replaced.  Each page scores
 its containers by the text they hold, less what is link text, climbs from the
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +34,9 @@ NOISE = re.compile(
     r"recommend(?:ed|ations?)?|pagination|pager|widgets?|toolbar|search|copyright|legal|disclaimer)(?=$|[\s_\d-])",
     re.I,
 )
-TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A plain tag, up to the next "<" at most; possessive, so that a failure costs one pass.
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>\"']*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
+ODD = re.compile(r"(/?)([A-Za-z][^\s/>]*)(.*)", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -49,28 +52,92 @@ def _noise(tag: str, attrs: str) -> tuple[bool, str]:
     names = found.get("class", "") + " " + found.get("id", "")
     if tag not in ("html", "body", "main", "article") and NOISE.search(names):
         return True, tag
-    classes = sorted(set(re.sub(r"\d+", "0", found.get("class", "")).lower().split()))
+    classes = sorted(set(re.sub(r"\d+", "0", found.get("class", "")).lower().replace("/", "|").split()))
     return False, ".".join([tag, *classes])
 
 
+class Tags:
+    """The tags and comments of a page, one after the other.
+
+    A tag ends at the first ">" outside quotes.  Plain tags are matched as they come; at the first "<" that is none,
+    the ends of all possible tags are worked out once, from the back: at a quote the end is that behind
+    its partner.  What has no end is text.
+    """
+
+    def __init__(self, s: str):
+        self.s = s
+        self.at: list[int] | None = None  # places of > " '
+        self.ends: list[int] = []  # the end of a tag whose next of these is that one; -1: none
+        self.last = s.rfind(">")
+
+    def _end(self, start: int) -> int:
+        if self.at is None:
+            self.at = [m.start() for m in re.finditer("[>\"']", self.s)]
+            n = len(self.at)
+            self.ends = [-1] * (n + 1)
+            partner = {"'": n, '"': n}
+            for k in range(n - 1, -1, -1):
+                c = self.s[self.at[k]]
+                if c == ">":
+                    self.ends[k] = self.at[k]
+                else:
+                    self.ends[k] = self.ends[partner[c] + 1] if partner[c] < n else -1
+                    partner[c] = k
+        return self.ends[bisect_left(self.at, start)]
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" or "", tag, attributes) of the first tag from ``at`` on; a comment or the like has no tag."""
+        s = self.s
+        while True:
+            at = s.find("<", at)
+            if at < 0:
+                return None
+            m = TAG.match(s, at)
+            if m:
+                return at, m.end(), m[1], m[2].lower(), m[3]
+            c = s[at + 1 : at + 2]
+            if s.startswith("<!--", at):
+                end = s.find("-->", at + 4)
+                return at, len(s) if end < 0 else end + 3, "", "", ""
+            if at < self.last:
+                if c in ("!", "?"):
+                    return at, s.find(">", at) + 1, "", "", ""
+                d = s[at + 2 : at + 3] if c == "/" else c
+                if d.isascii() and d.isalpha():
+                    end = self._end(at)
+                    if end >= 0:
+                        odd = ODD.match(s[at + 1 : end])
+                        return at, end + 1, odd[1], odd[2].lower(), odd[3]
+            at += 1
+
+
 class Page:
-    """Containers of one page: path, text in page order, and characters of link text."""
+    """Containers of one page: path, text in page order, and characters of link text.
+
+    A path is kept as a number, given to each pair of a path and a name below it.
+    """
 
     def __init__(self, source: str | None):
-        self.paths: list[str] = [""]  # container 0 is the page itself
+        self.step: dict[tuple[int, str], int] = {}  # (path, name) -> path
+        self.above: list[tuple[int, str]] = [(-1, "")]  # of each path
+        self.paths: list[int] = [0]  # container 0 is the page itself
         self.parent: list[int] = [-1]
         self.pieces: list[tuple[int, str]] = []  # container, text; "" container text with a break is " "
         self.linked: list[int] = [0]
+        self.unclosed: set[str] = set()  # raw elements without an end tag in the rest of the page
         self._read(source or "")
 
     def _read(self, s: str) -> None:
+        tags = Tags(s)
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, inside boilerplate
+        open_: dict[str, list[int]] = {}  # places of each tag in the stack
+        skips: list[int] = [0]  # places of tags of SKIP
         at, link, end = 0, 0, len(s)
         box, noise = 0, False
         put = self.pieces.append
         while at < end:
-            m = TAG.search(s, at)
-            start = m.start() if m else end
+            m = tags.next(at)
+            start = m[0] if m else end
             if start > at and not noise:
                 text = entities.unescape(s[at:start])
                 put((box, text))
@@ -78,48 +145,75 @@ class Page:
                     self.linked[box] += len(text)
             if not m:
                 break
-            at = m.end()
-            tag = (m[2] or "").lower()
+            _, at, slash, tag, attrs = m
             if not tag:
                 continue
-            if m[1]:
+            if slash:
                 if tag == "a":
                     link = 0
                 if tag in BOXES or tag in SKIP:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
-                            break
-                        # an inner end tag does not close what encloses its boilerplate or cell
-                        if stack[k][0] in SKIP and tag not in ("html", "body"):
-                            break
+                    # an inner end tag does not close what encloses its boilerplate or cell
+                    k = open_[tag][-1] if open_.get(tag) else 0
+                    if k and (k >= skips[-1] or tag in ("html", "body")):
+                        for name, _, _ in stack[: k - 1 : -1]:
+                            open_[name].pop()
+                            if name in SKIP:
+                                skips.pop()
+                        del stack[k:]
                     box, noise = stack[-1][1], stack[-1][2]
             elif tag in RAW:
-                if not m[3].endswith("/"):
-                    close = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(s, at)
-                    if close:
-                        at = close.start()
-                        gt = s.find(">", at)
+                if not attrs.endswith("/"):
+                    close = self._close(s, tag, at)
+                    if close >= 0:
+                        gt = s.find(">", close)
                         at = end if gt < 0 else gt + 1
                     else:
                         at = end if tag in ("script", "style", "textarea", "title") else at
             elif tag == "a":
                 link = 1
-            elif (tag in BOXES or tag in SKIP) and not m[3].endswith("/"):
-                bad, name = _noise(tag, m[3])
+            elif (tag in BOXES or tag in SKIP) and not attrs.endswith("/"):
+                bad, name = _noise(tag, attrs)
                 if tag != "span" or bad:
                     if not (noise or bad):
-                        self.paths.append(f"{self.paths[box]}/{name}")
+                        here = self.paths[box], name
+                        if here not in self.step:
+                            self.step[here] = len(self.above)
+                            self.above.append(here)
+                        self.paths.append(self.step[here])
                         self.parent.append(box)
                         self.linked.append(0)
                         box = len(self.paths) - 1
                     noise = noise or bad
-                    stack.append((tag, box, noise))
-                else:
-                    stack.append((tag, box, noise))
+                open_.setdefault(tag, []).append(len(stack))
+                if tag in SKIP:
+                    skips.append(len(stack))
+                stack.append((tag, box, noise))
             if tag not in INLINE and not noise:
                 put((box, " "))
 
+    def _close(self, s: str, tag: str, at: int) -> int:
+        """Where the end tag of a raw element begins, from ``at`` on; -1 if there is none, which is found out once a tag."""
+        if tag in self.unclosed:
+            return -1
+        m = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(s, at)
+        if not m:
+            self.unclosed.add(tag)
+        return m.start() if m else -1
+
+    def path(self, number: int) -> str:
+        names = []
+        while number > 0:
+            number, name = self.above[number]
+            names.append(name)
+        return "".join(f"/{n}" for n in reversed(names))
+
+    def number(self, path: str) -> int:
+        """The number of a path, -1 if no container has it."""
+        at = 0
+        for name in path.split("/")[1:]:
+            at = self.step.get((at, name), -1)
+        return at
+
     def best(self) -> tuple[str, float]:
         """Path of the container of the main text, and the score of the box it grew from.
 
@@ -135,12 +229,12 @@ class Page:
         score = [o - 2 * k for o, k in zip(text, self.linked)]
         for i in range(len(score) - 1, 0, -1):
             score[self.parent[i]] += max(0.0, score[i]) / 2
-        tags = [p.rsplit("/", 1)[-1].split(".", 1)[0] for p in self.paths]
+        tags = [self.above[p][1].split(".", 1)[0] for p in self.paths]
         part = [False] * len(tags)
         for i in range(1, len(tags)):
             part[i] = part[self.parent[i]] or tags[i] in PARTS
         top = max((i for i in range(len(score)) if not part[i] and tags[i] not in GRID), key=lambda i: (score[i], -i))
-        return self.paths[self._climb(top, tags, text)], score[top]
+        return self.path(self.paths[self._climb(top, tags, text)]), score[top]
 
     def _climb(self, box: int, tags: list[str], text: list[float]) -> int:
         """The highest container around ``box`` whose further text is mostly no link text, or ``box``.
@@ -163,13 +257,13 @@ class Page:
 
     def text(self, path: str) -> str:
         """Text of all containers with this path and what is in them, blocks joined by one space."""
-        inside = [False] * len(self.paths)
+        inside, number = [False] * len(self.paths), self.number(path)
         for i, p in enumerate(self.paths):
-            inside[i] = p == path or (self.parent[i] >= 0 and inside[self.parent[i]])
+            inside[i] = p == number or (self.parent[i] >= 0 and inside[self.parent[i]])
         return " ".join("".join([t for box, t in self.pieces if inside[box]]).split())
 
     def has(self, path: str) -> bool:
-        return path in self.paths
+        return self.number(path) >= 0
 
 
 def host_of(url) -> "F.Column":
@@ -181,8 +275,9 @@ def extract(pages: DataFrame, salt: int = 64) -> DataFrame:
 
     Null and empty pages give an empty text, as do pages without text.  Pages
     without a url share the empty host.  Equal votes go to the path with more
-    text, then to the first in order.  Each row gives one row; other columns
-    are ignored.
+    text, then to the first in order.  Each row gives one row, repeated ones too; other columns
+    are ignored, whatever their names; an empty table gives an empty result.  Tags that never end are text,
+    and very long or deeply nested pages are read whole in linear time.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
 
