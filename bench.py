@@ -33,6 +33,7 @@ HEADLINE = [
     "fill_template",
     "render_context",
     "apply_changes",
+    "retry_loop",
     "stream_attempts",
 ]
 
