@@ -1,12 +1,13 @@
 """Spelling variants of words by pivotal grams (operator 12).
 
-Every word has its bigrams with their places, rarest first.  Its prefix is the
-first three bigrams (of equal ones all places): one edit changes at most two, so
-near words share one of them.  Of the prefix two bigrams that do not
+Every word has its bigrams with their places, rarest first, equal ones by place.  Its
+prefix is the first three: one edit changes at most two, so near words share one of
+them.  An edit moves a bigram by two at most among its equals, so in the index the prefix
+goes on with the next two places of its last bigram; no word has more than seven.  Of the prefix two bigrams that do not
 overlap are the pivots, chosen by dynamic programming for the least total frequency.
 One edit touches at most one of them.  For two near words the
 pivots of the one whose prefix ends first meet the prefix of the other, so
-it is enough to look up all pivots in an index of all prefixes.
+it is enough to look up all pivots in an index of all these prefixes.
 
 Places limit the join: the edit lies behind the bigram it does not touch or before it, so
 the place counted from the front or from the end is equal, and so are all letters on
@@ -16,6 +17,7 @@ Side, place, length, letters and half are the key of the join; the edit distance
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,14 +47,15 @@ def word_counts(docs: DataFrame, least: int = 3, length: int = 5, every: int = 9
 
 
 def _grams(word: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: F.substring(word, i, F.lit(GRAM)))
+    return F.regexp_extract_all(word, F.lit(f"(?=(.{{{GRAM}}}))"), F.lit(1))
 
 
-def prefix(word: str, rank: dict[str, tuple[int, str]]) -> list[tuple[str, int]]:
-    """The (bigram, place) pairs up to the rank of the one numbered ``EDITS * GRAM + 1``, rarest first."""
+def prefix(word: str, rank: dict[str, tuple[int, str]], more: int = 0) -> list[tuple[str, int]]:
+    """The first ``EDITS * GRAM + 1`` (bigram, place) pairs, rarest first, and ``more`` places of the last one's bigram."""
     grams = sorted((rank[word[i : i + GRAM]], i) for i in range(len(word) - GRAM + 1))
-    last = grams[EDITS * GRAM][0]
-    return [(r[1], i) for r, i in grams if r <= last]
+    least = EDITS * GRAM + 1
+    last = grams[least - 1][0]
+    return [(r[1], i) for n, (r, i) in enumerate(grams[: least + more]) if n < least or r == last]
 
 
 def pivots(grams: list[tuple[str, int]], rank: dict[str, tuple[int, str]]) -> list[tuple[str, int]]:
@@ -89,18 +92,22 @@ def keys(word: str, at: int, length: int) -> Iterator[tuple]:
             yield side, length, same, "last", rest[len(rest) - far :]
 
 
+def _hash(key: tuple) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(map(str, key)).encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def _keyed(shared):
-    """Mapper: (word, index, probe), the keys of a word's prefix and, for lengths up to one edit away, of its pivots."""
+    """Mapper: (word, index, probe), the hashed keys of a word's prefix and, for lengths up to one edit away, of its pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = {g: (f, g) for g, f in held(shared).items()}
         for batch in batches:
             index, probe = [], []
             for w in batch.column("word").to_pylist():
-                first = prefix(w, rank)
-                index.append(list({" ".join(map(str, k)) for _, at in first for k in keys(w, at, len(w))}))
-                probe.append(list({" ".join(map(str, k)) for _, at in pivots(first, rank) for d in range(-EDITS, EDITS + 1) for k in keys(w, at, len(w) + d)}))
-            cols = [batch.column("word"), *(pa.array(x, pa.list_(pa.string())) for x in (index, probe))]
+                first, wider = prefix(w, rank), prefix(w, rank, EDITS * GRAM)
+                index.append(list({_hash(k) for _, at in wider for k in keys(w, at, len(w))}))
+                probe.append(list({_hash(k) for _, at in pivots(first, rank) for d in range(-EDITS, EDITS + 1) for k in keys(w, at, len(w) + d)}))
+            cols = [batch.column("word"), *(pa.array(x, pa.list_(pa.int64())) for x in (index, probe))]
             yield pa.RecordBatch.from_arrays(cols, names=["word", "index", "probe"])
 
     return run
@@ -114,8 +121,8 @@ def near_words(words: DataFrame) -> DataFrame:
     # At most 90 letters, so at most 8,100 bigrams.
     counts = words.select(F.explode_outer(_grams(F.col("word"))).alias("gram")).groupBy("gram").count()
     shared = share(words.sparkSession, {r["gram"]: r["count"] for r in counts.collect()})
-    table = save(words.select("word").mapInArrow(_keyed(shared), "word string, index array<string>, probe array<string>"), "keys")
-    rows = lambda c, name: table.select(F.col("word").alias(name), F.explode_outer(c).alias("key")).select(name, F.xxhash64("key").alias("key"))
+    table = save(words.select("word").mapInArrow(_keyed(shared), "word string, index array<long>, probe array<long>"), "keys")
+    rows = lambda c, name: table.select(F.col("word").alias(name), F.explode_outer(c).alias("key"))
     found = rows("probe", "word").join(rows("index", "other"), "key").filter((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", EDITS) == EDITS))
     return found.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).distinct()
 
