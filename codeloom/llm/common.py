@@ -70,3 +70,18 @@ def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
     far = label != np.arange(len(nodes))
     return nodes[far], nodes[label[far]]
+
+
+def sealed(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns ``used`` under these names and the others as given_0, given_1, ..., so that no name can clash.
+
+    Also the inner name of each given one, in the given order.
+    """
+    inner = {c: c if c in used else f"given_{n}" for n, c in enumerate(docs.columns)}
+    return docs.toDF(*inner.values()), inner
+
+
+def unsealed(inner: dict[str, str], results=()) -> list["F.Column"]:
+    """The given columns back under their names, without those named like ``results`` in any case."""
+    taken = {r.lower() for r in results}
+    return [F.col(i).alias(c) for c, i in inner.items() if c.lower() not in taken]
