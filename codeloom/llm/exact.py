@@ -19,8 +19,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import save, store, work_dir
+from codeloom.llm.common import save, sealed, store, unsealed, work_dir
 
+RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Many small stores: do not reserve disk ahead, and commit changes instead of whole files.
@@ -79,8 +80,21 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, by
     Null texts equal the empty text.  A null doc_id sorts before all others.
     Repeated rows (same id, same text) are told apart by their place in the
     content table, so exactly one row of each group is kept.  An empty table
-    gives an empty result.  Extra columns pass through.
+    gives an empty result.  Extra columns pass through; those named like the
+    results, in any case, are replaced.
     """
+    rows, inner = sealed(docs, "doc_id", "text")
+    return _groups(rows, digest, bytes_per_trigger).select(*unsealed(inner, RESULTS), *RESULTS)
+
+
+def drop_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, bytes_per_trigger: int = 64 << 30) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with the given columns only and their values unchanged."""
+    rows, inner = sealed(docs, "doc_id", "text")
+    return _groups(rows, digest, bytes_per_trigger).filter("kept").select(*unsealed(inner))
+
+
+def _groups(docs: DataFrame, digest: Callable[[Column], Column], bytes_per_trigger: int) -> DataFrame:
+    """``docs``, sealed, with the results."""
     table, path = content_table(docs, digest)
     keys = table.select("__digest", "doc_id", "__at")
     if keys.isEmpty():
@@ -105,9 +119,8 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, by
 
 
 def _result(table: DataFrame, columns: list[str], groups: DataFrame, text: Column | None = None) -> DataFrame:
-    given = [c for c in columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
     return table.join(groups, "__digest").select(
-        *given,
+        *columns,
         F.col("__first.doc_id").alias("keep_id"),
         "group_size",
         (F.col("__at") == F.col("__first.__at")).alias("kept"),
