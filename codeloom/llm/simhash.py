@@ -6,8 +6,9 @@ the fingerprints, so it is a lower bound to filter by.  Within d bits, one of
 the two 32-bit halves differs in at most d // 2 bits, hence its four counts lie
 within Manhattan distance d // 2.  Each half is a grid of unit cells in those
 four counts (at most 9^4 cells), whose cells are joined with the cells in
-reach; both sides of a joined row are bounded tiles of fingerprints, compared
-exactly with XOR and bit counts in numpy.
+reach; both sides of a joined row are bounded tiles of fingerprints.  Within a
+pair of tiles the counts of all eight segments are held against distance d, and
+only what passes is compared exactly with XOR and bit counts in numpy.
 
 Equal fingerprints are collapsed first.  Cells are dealt into tiles of about
 ``tile`` fingerprints by hash, so a crowded cell becomes many joined tile
@@ -74,6 +75,34 @@ def _reach(bits: int) -> list[list[int]]:
     return [list(s) for s in steps if s >= (0,) * SEGMENTS]
 
 
+def _cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bit counts of all segments; positions of fingerprints by them, each cell's start and size."""
+    counts = np.bitwise_count(np.ascontiguousarray(fp).view(np.uint8)).reshape(-1, 2 * SEGMENTS)
+    cells, of, size = np.unique(counts, axis=0, return_inverse=True, return_counts=True)
+    return cells.astype(np.int16), np.argsort(of.ravel(), kind="stable"), np.cumsum(size) - size, size
+
+
+def _within(x: np.ndarray, y: np.ndarray, bits: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) in ``x`` and ``y`` whose bit counts in all segments lie within Manhattan distance ``bits``.
+
+    They come about ``most`` at a time, so memory does not grow with their number.
+    """
+    (cx, at_x, start_x, size_x), (cy, at_y, start_y, size_y) = _cells(x), _cells(y)
+    for lo in range(0, len(cx), 256):
+        far = np.zeros((len(cx[lo : lo + 256]), len(cy)), np.int16)
+        for s in range(2 * SEGMENTS):
+            far += np.abs(cx[lo : lo + 256, s, None] - cy[None, :, s])
+        p, q = np.nonzero(far <= bits)
+        p += lo
+        ends = np.cumsum(size_x[p] * size_y[q])
+        for at in range(0, int(ends[-1]) if len(ends) else 0, most):
+            n = np.arange(at, min(at + most, ends[-1]))
+            k = np.searchsorted(ends, n, side="right")
+            n = n - (ends[k] - size_x[p[k]] * size_y[q[k]])
+            wide = size_y[q[k]]
+            yield at_x[start_x[p[k]] + n // wide], at_y[start_y[q[k]] + n % wide]
+
+
 def fingerprint_links(prints: DataFrame, bits: int = 4, tile: int = 4096) -> DataFrame:
     """Links (a, b) that connect the rows of ``prints`` (node, fp; fp distinct) within ``bits``.
 
@@ -102,9 +131,8 @@ def fingerprint_links(prints: DataFrame, bits: int = 4, tile: int = 4096) -> Dat
                 x, u, y, v = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("fp1", "node1", "fp", "node"))
                 x, y = x.view(np.uint64), y.view(np.uint64)  # bit counts of signed values ignore the sign
                 found = []
-                for at in range(0, len(x), 256):
-                    i, j = np.nonzero(np.bitwise_count(x[at : at + 256, None] ^ y[None, :]) <= bits)
-                    i += at
+                for i, j in _within(x, y, bits):
+                    i, j = (z[np.bitwise_count(x[i] ^ y[j]) <= bits] for z in (i, j))
                     apart = u[i] != v[j]
                     if apart.any():
                         found.append(star(u[i[apart]], v[j[apart]]))

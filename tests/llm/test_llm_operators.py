@@ -336,6 +336,21 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.simhash_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_simhash_bound_of_all_segments_loses_no_link():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (700, 4), dtype=np.uint64), axis=1)
+    y = np.concatenate([x ^ flips, x[:50], rng.integers(0, 1 << 63, 700, dtype=np.uint64)])
+    want = set(zip(*(z.tolist() for z in np.nonzero(np.bitwise_count(x[:, None] ^ y[None]) <= 4))))
+    passed = [(i, j) for i, j in simhash._within(x, y, 4, most=1000)]
+    i, j = (np.concatenate(z) for z in zip(*passed))
+    assert max(len(p) for p, _ in passed) <= 1000 and len(set(zip(i.tolist(), j.tolist()))) == len(i)
+    near = np.bitwise_count(x[i] ^ y[j]) <= 4
+    assert set(zip(i[near].tolist(), j[near].tolist())) == want and len(want) >= 750
+    assert len(i) < 0.01 * len(x) * len(y)
+    assert not list(simhash._within(x[:0], y, 4)) and not list(simhash._within(x, y[:0], 4))
+
+
 def test_components_and_star(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (5, 5), (103, 102), (102, 101)]
     frame = spark.createDataFrame(links + [(None, 1)], "a long, b long")
