@@ -78,8 +78,11 @@ def _reach(bits: int) -> list[list[int]]:
 def _cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct bit counts of all segments; positions of fingerprints by them, each cell's start and size."""
     counts = np.bitwise_count(np.ascontiguousarray(fp).view(np.uint8)).reshape(-1, 2 * SEGMENTS)
-    cells, of, size = np.unique(counts, axis=0, return_inverse=True, return_counts=True)
-    return cells.astype(np.int16), np.argsort(of.ravel(), kind="stable"), np.cumsum(size) - size, size
+    code = np.ascontiguousarray(counts[:, ::2] << 4 | counts[:, 1::2]).view(np.uint32).ravel()  # a count takes four bits
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    start = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+    return counts[order[start]].astype(np.int8), order, start, np.diff(np.append(start, len(code)))
 
 
 def _within(x: np.ndarray, y: np.ndarray, bits: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -88,9 +91,10 @@ def _within(x: np.ndarray, y: np.ndarray, bits: int, most: int = 1 << 18) -> Ite
     They come about ``most`` at a time, so memory does not grow with their number.
     """
     (cx, at_x, start_x, size_x), (cy, at_y, start_y, size_y) = _cells(x), _cells(y)
+    unlike = [s for s in range(2 * SEGMENTS) if len(cx) and ((cx[:, s] != cx[0, s]).any() or (cy[:, s] != cx[0, s]).any())]
     for lo in range(0, len(cx), 256):
-        far = np.zeros((len(cx[lo : lo + 256]), len(cy)), np.int16)
-        for s in range(2 * SEGMENTS):
+        far = np.zeros((len(cx[lo : lo + 256]), len(cy)), np.int8)  # at most 64
+        for s in unlike:
             far += np.abs(cx[lo : lo + 256, s, None] - cy[None, :, s])
         p, q = np.nonzero(far <= bits)
         p += lo
