@@ -9,9 +9,12 @@ face of all merges so far.  A merge (t, w) at rank k can take t away if w
 follows, which |w| + need[w] bytes settle; the token t + w, when it is made, is
 settled by what settles w.  One pass over the merges gives the largest need;
 with the longest token it bounds how far an encoder must see to emit
-a token.  Pieces longer than the window are encoded window by window:
+a token.  Every piece is read window by window, many pieces side by side:
 tokens that start at least that far from the window's end are emitted and
-never change.  Memory is that of a window, however long the piece.
+never change; a window that reaches the end of its piece, which is the first
+one for nearly all, settles the rest.  Beside the text itself, memory is that
+of a window, however long the piece, and of a cache of bounded size whose ids
+come from the transducer.
 
 Decoding.  Token bytes pass through an incremental UTF-8 state machine, which
 carries an unfinished character from one token to the next.
@@ -163,19 +166,47 @@ class Model:
                 heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
         return [t for t in ids if t >= 0]
 
+    def windows(self, data: list[bytes], small: int = 64) -> list[bytes]:
+        """Ids (little-endian 32-bit) of many windows, each as ``window`` has them; small ones all at once."""
+        few = [w for w in data if len(w) <= small]
+        quick = iter(self.many(few) if few else [])
+        return [next(quick) if len(w) <= small else np.array(self.window(w), "<u4").tobytes() for w in data]
+
+    def emit(self, data: list[bytes], chunk: int = 4096) -> Iterator[list[tuple[int, bytes]]]:
+        """The transducer over many pieces side by side: a round reads the next window of every open piece.
+
+        A round gives (piece, its ids that are stable now).  A window that reaches
+        the end of its piece settles all of it.
+        """
+        at = dict.fromkeys(range(len(data)), 0)
+        while at:
+            seen = {n: data[n][a : a + self.hold + chunk] for n, a in at.items()}
+            done, moved = [], {}
+            for (n, window), ids in zip(seen.items(), self.windows(list(seen.values()))):
+                if at[n] + len(window) < len(data[n]):
+                    end = count = 0
+                    for t in np.frombuffer(ids, "<u4").tolist():
+                        if end > chunk:
+                            break
+                        end += len(self.tokens[t])
+                        count += 1
+                    ids, moved[n] = ids[: 4 * count], at[n] + end
+                done.append((n, ids))
+            at = moved
+            yield done
+
+    def pieces(self, data: list[bytes]) -> list[bytes]:
+        """Ids of each of many pieces, put together from what the transducer emits."""
+        out: list[list[bytes]] = [[] for _ in data]
+        for done in self.emit(data):
+            for n, ids in done:
+                out[n].append(ids)
+        return [ids[0] if len(ids) == 1 else b"".join(ids) for ids in out]
+
     def piece(self, data: bytes, chunk: int = 4096) -> Iterator[list[int]]:
         """Tokens of one piece in order, emitted once they are stable."""
-        at = 0
-        while len(data) - at > self.hold + chunk:
-            ids, end, done = self.window(data[at : at + self.hold + chunk]), 0, 0
-            for t in ids:
-                if end > chunk:
-                    break
-                end += len(self.tokens[t])
-                done += 1
-            yield ids[:done]
-            at += end
-        yield self.window(data[at:])
+        for done in self.emit([data], chunk):
+            yield from (np.frombuffer(ids, "<u4").tolist() for _, ids in done)
 
 
 def sufficient_lookahead(merges: dict[tuple[int, int], tuple[int, int]], tokens: list[bytes]) -> int:
@@ -189,31 +220,52 @@ def sufficient_lookahead(merges: dict[tuple[int, int], tuple[int, int]], tokens:
 
 
 class Encoder:
-    """Encodes texts block by block; caches the ids of units (white space and the run behind it)."""
+    """Encodes texts block by block; every piece goes through the transducer.
+
+    The ids of units (white space and the run behind it) of up to ``KEEP``
+    characters are cached, ``LIMIT`` of them.  Texts are taken ``SIZE`` characters
+    at a time; a unit longer than that is streamed.
+    """
 
-    LIMIT, LONG = 1_600_000, 48
+    LIMIT, KEEP, SIZE = 1_600_000, 48, 1 << 20
 
     def __init__(self, model: Model):
         import regex
 
         self.model, self.units = model, {}
-        self.split = regex.compile(PIECE).findall
+        self.split, self.cut = regex.compile(PIECE).findall, regex.compile(PIECE).finditer
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(model.special, key=len, reverse=True))) + ")") if model.special else None
 
     def _learn(self, units: set[str]) -> dict[str, bytes]:
         """Ids of new units; those not too long to keep also go to the cache."""
         # Letters behind one space are one piece.
         parts = {u: [u] if u[0] == " " and u[1:].isalpha() else self.split(u) for u in units}
-        new = {p for ps in parts.values() for p in ps}
-        short = [p for p in new if len(p) <= self.LONG]
-        known = dict(zip(short, self.model.many([p.encode("utf-8", "surrogatepass") for p in short]))) if short else {}
-        for p in new:
-            if len(p) > self.LONG:
-                known[p] = b"".join(np.array(x, "<u4").tobytes() for x in self.model.piece(p.encode("utf-8", "surrogatepass")))
+        known = self._pieces({p for ps in parts.values() for p in ps})
         out = {u: known[u] if len(ps) == 1 else b"".join([known[p] for p in ps]) for u, ps in parts.items()}
-        self.units.update(out if max(map(len, out)) <= self.LONG else {u: x for u, x in out.items() if len(u) <= self.LONG})
+        self.units.update(out if max(map(len, out)) <= self.KEEP else {u: x for u, x in out.items() if len(u) <= self.KEEP})
         return out
 
+    def _pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        return dict(zip(pieces, self.model.pieces([p.encode("utf-8", "surrogatepass") for p in pieces])))
+
+    def _stream(self, unit: str) -> Iterator[bytes]:
+        """The ids of one long unit: short pieces together, those of a long piece as they become stable."""
+        short, chars = [], 0
+        for m in self.cut(unit):
+            if len(m[0]) <= self.KEEP:
+                short.append(m[0])
+                chars += len(m[0])
+            if short and (chars >= self.SIZE or len(m[0]) > self.KEEP):
+                known = self._pieces(set(short))
+                yield b"".join(map(known.__getitem__, short))
+                short, chars = [], 0
+            if len(m[0]) > self.KEEP:
+                for done in self.model.emit([m[0].encode("utf-8", "surrogatepass")]):
+                    yield from (ids for _, ids in done)
+        if short:
+            known = self._pieces(set(short))
+            yield b"".join(map(known.__getitem__, short))
+
     def _ids(self, blocks: list[list[str]]) -> Iterator[bytes]:
         if len(self.units) > self.LIMIT:
             self.units.clear()
@@ -223,19 +275,24 @@ class Encoder:
         for units, ids in zip(blocks, known):
             yield b"".join([learnt[u] if x is None else x for u, x in zip(units, ids)] if None in ids else ids)
 
-    def cuts(self, text: str | None, size: int = 1 << 20) -> Iterator[list[str] | bytes]:
-        """Lists of units of about ``size`` characters, or the ids of a special token."""
+    def cuts(self, text: str | None) -> Iterator[list[str] | str | bytes]:
+        """Lists of units of about ``SIZE`` characters, a longer unit by itself, or the ids of a special token."""
         for part in self.special.split(text or "") if self.special else [text or ""]:
             if part in self.model.special:
                 yield np.array([self.model.special[part]], "<u4").tobytes()
-            elif len(part) <= size:
+            elif len(part) <= self.SIZE:
                 yield UNIT.findall(part)
             else:
                 held, chars = [], 0
                 for m in UNIT.finditer(part):
+                    if len(m[0]) > self.SIZE:
+                        yield held
+                        yield m[0]
+                        held, chars = [], 0
+                        continue
                     held.append(m[0])
                     chars += len(m[0])
-                    if chars >= size:
+                    if chars >= self.SIZE:
                         yield held
                         held, chars = [], 0
                 yield held
@@ -243,14 +300,17 @@ class Encoder:
     def blocks(self, text: str | None) -> Iterator[bytes]:
         """The ids of ``text`` as little-endian unsigned 32-bit integers, a block at a time."""
         for cut in self.cuts(text):
-            yield from [cut] if isinstance(cut, bytes) else self._ids([cut])
+            if isinstance(cut, str):
+                yield from self._stream(cut)
+            else:
+                yield from [cut] if isinstance(cut, bytes) else self._ids([cut])
 
     def texts(self, texts: list[str | None], chars: int = 1 << 21) -> Iterator[Iterator[bytes]]:
         """The blocks of each text in turn; short texts are encoded some megabytes at a time."""
         at = 0
         while at < len(texts):
             end, held = at, 0
-            while end < len(texts) and held < chars and len(texts[end] or "") < chars:
+            while end < len(texts) and held < chars and len(texts[end] or "") <= self.SIZE:
                 held += len(texts[end] or "")
                 end += 1
             if end == at:

@@ -57,6 +57,45 @@ def test_bpe_lookahead_holds():
     assert [i for part in model.piece(data, chunk=64) for i in part] == model.window(data)
 
 
+def test_bpe_every_piece_comes_from_the_transducer(monkeypatch):
+    model, emitted = bpe.Model(tokenizer()), []
+    plain = model.emit
+
+    def emit(data, *chunk):
+        for done in plain(data, *chunk):
+            emitted.extend((data[n], ids) for n, ids in done)
+            yield done
+
+    monkeypatch.setattr(model, "emit", emit)
+    text = "one two, 33 thee's " * 20 + "x" * 60 + " " + "ab" * 9000 + " é" * 40
+    ids = bpe.Encoder(model).encode(text)
+    assert ids.tolist() == library().encode(text, add_special_tokens=False).ids
+    parts = {}
+    for piece, part in emitted:
+        parts[piece] = parts.get(piece, b"") + part
+    encoder = bpe.Encoder(model)
+    pieces = [p.encode() for u in encoder.cuts(text) for unit in u for p in encoder.split(unit)]
+    assert set(pieces) == set(parts)
+    assert b"".join(parts[p] for p in pieces) == ids.astype("<u4").tobytes()
+
+
+def test_bpe_long_units_stream(monkeypatch):
+    """Units of over SIZE characters give the library's ids, a window's ids at a time."""
+    monkeypatch.setattr(bpe.Encoder, "SIZE", 20_000)
+    model, lib, rng = bpe.Model(tokenizer()), library(), random.Random(9)
+    for text in ["".join(rng.choice("etaoin") for _ in range(60_000)), "a1" * 30_000, "é!" * 15_000 + "x" * 30_000, "hi " * 9000 + "y" * 25_000 + " z", " " * 50_000 + "q"]:
+        blocks = list(bpe.Encoder(model).blocks(text))
+        got = np.frombuffer(b"".join(blocks), "<u4").tolist()
+        assert got == lib.encode(text, add_special_tokens=False).ids
+        assert max(map(len, blocks)) <= 4 * (bpe.Encoder.SIZE + 100)
+    # The first ids of a long piece come while the rest of it has not been read.
+    read = []
+    plain = model.windows
+    monkeypatch.setattr(model, "windows", lambda data: read.extend(map(len, data)) or plain(data))
+    first = next(b for b in bpe.Encoder(model).blocks("e" * 200_000) if b)
+    assert first and sum(read) == model.hold + 4096
+
+
 def test_bpe_round_trip_frame(spark):
     rows = {r.doc_id: r for r in bpe.round_trip(docs_of(spark, ODD), tokenizer()).collect()}
     lib = library()
