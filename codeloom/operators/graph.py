@@ -81,7 +81,16 @@ def import_rows(sources: DataFrame, mode: str = "token") -> DataFrame:
     lines = lines.where(F.col("line").contains("import"))
     lines = lines.select("source_file", "dir", "source_element", trim_ws("line").alias("t"))
     lines = lines.select("*", fields("t").alias("parts"))
-    parts, t = F.col("parts"), F.col("t")
+    # one pass over the lines: each line yields an array of (module, element) rows
+    rows = lines.select("source_file", "dir", "source_element", _imported(F.col("t"), F.col("parts"), mode).alias("imports"))
+    # Generators over expensive expressions use the *_outer form plus a null check on
+    # the output: for explode / inline the optimizer infers `size(expr) > 0` and
+    # pushes it below the projection, evaluating every regex and lambda twice.
+    return rows.select("source_file", "dir", "source_element", F.inline_outer("imports")).where(F.col("module").isNotNull())
+
+
+def _imported(t, parts, mode: str) -> F.Column:
+    """(module, target_element) of each name that a trimmed line ``t`` with the fields ``parts`` imports; null if none."""
     n = F.size(parts)
     if mode == "prefix":
         is_from, is_import = t.startswith("from"), t.startswith("import")
@@ -91,17 +100,44 @@ def import_rows(sources: DataFrame, mode: str = "token") -> DataFrame:
     names = fields(F.regexp_replace(F.array_join(F.slice(parts, F.lit(4), n), " "), ",", " "))
     module = F.try_element_at(parts, F.lit(2))
     mods = F.transform(F.slice(parts, F.lit(2), n), lambda x: F.regexp_replace(x, ",+$", ""))
-    # one pass over the lines: each line yields an array of (module, element) rows
-    rows = lines.select(
-        "source_file", "dir", "source_element",
-        F.when(from_ok, F.transform(names, lambda e: F.struct(module.alias("module"), e.alias("target_element"))))
-        .when(is_import & (n >= 2), F.transform(mods, lambda x: F.struct(x.alias("module"), F.lit("").alias("target_element"))))
-        .alias("imports"),
-    )
-    # Generators over expensive expressions use the *_outer form plus a null check on
-    # the output: for explode / inline the optimizer infers `size(expr) > 0` and
-    # pushes it below the projection, evaluating every regex and lambda twice.
-    return rows.select("source_file", "dir", "source_element", F.inline_outer("imports")).where(F.col("module").isNotNull())
+    return F.when(from_ok, F.transform(names, lambda e: F.struct(module.alias("module"), e.alias("target_element")))).when(
+        is_import & (n >= 2), F.transform(mods, lambda x: F.struct(x.alias("module"), F.lit("").alias("target_element")))
+    )
+
+
+def body_tokens(meta: DataFrame, mode: str = "token") -> DataFrame:
+    """What the edge rules look for in every body, in one scan: (source_file, dir, source_element, rule, key, element).
+
+    ``rule`` is ``import`` (key: the module, element: the name taken from it), ``function`` or
+    ``method`` (key: the name called).  Write it once and hand it to ``edges_of_tokens``.
+    """
+    lines = F.transform(F.filter(F.split("body", "\n"), lambda x: x.contains("import")), lambda x: trim_ws(x))
+    cut = F.transform(lines, lambda t: F.struct(t.alias("t"), fields(t).alias("parts")))
+    pairs = F.flatten(F.filter(F.transform(cut, lambda c: _imported(c["t"], c["parts"], mode)), lambda p: p.isNotNull()))
+    token = lambda rule, key, element: F.struct(F.lit(rule).alias("rule"), key.alias("key"), element.alias("element"))
+    found = F.concat(
+        F.transform(pairs, lambda p: token("import", p["module"], p["target_element"])),
+        F.transform(call_names(F.col("body")), lambda x: token("function", x, F.lit(""))),
+        F.transform(method_call_names(F.col("body")), lambda x: token("method", x, F.lit(""))),
+    )
+    return analysis_sources(meta).select("source_file", "dir", "source_element", F.inline_outer(found)).where(F.col("rule").isNotNull())
+
+
+def edges_of_tokens(tokens: DataFrame, meta: DataFrame, file_paths: DataFrame) -> DataFrame:
+    """G2 from the written ``body_tokens``: the edges of ``dependency_edges``; no body is read again.
+
+    A module is resolved once per directory that imports it.
+    """
+    of = lambda rule: tokens.where(F.col("rule") == rule)
+    imports = of("import").select("source_file", "dir", "source_element", F.col("key").alias("module"), F.col("element").alias("target_element"))
+    targets = resolve_modules(imports.select("dir", "module").distinct(), file_paths)
+    called = lambda rule: of(rule).select("source_file", "dir", "source_element", F.col("key").alias("name"))
+    return (
+        _edge(imports.join(targets, ["dir", "module"]), "import", S.WEIGHT_IMPORT)
+        .unionByName(_function_edges(called("function"), meta))
+        .unionByName(_method_edges(called("method"), meta))
+        .unionByName(extends_edges(meta))
+    )
 
 
 def resolve_modules(pairs: DataFrame, file_paths: DataFrame) -> DataFrame:
@@ -177,6 +213,10 @@ def path_grams(path) -> F.Column:
 def uses_function_edges(meta: DataFrame) -> DataFrame:
     """Body contains ``fn(`` for a top-level function of another file in the same directory."""
     src = analysis_sources(meta).select("source_file", "dir", "source_element", F.explode_outer(call_names("body")).alias("name")).where(F.col("name").isNotNull())
+    return _function_edges(src, meta)
+
+
+def _function_edges(src: DataFrame, meta: DataFrame) -> DataFrame:
     tgt = _python(meta).select(F.col("path").alias("target_file"), F.explode("functions.name").alias("name")).withColumn("dir", dir_of("target_file"))
     j = src.join(tgt, ["dir", "name"]).where(F.col("source_file") != F.col("target_file"))
     return _edge(j.withColumn("target_element", F.col("name")), "uses", S.WEIGHT_USES)
@@ -185,7 +225,11 @@ def uses_function_edges(meta: DataFrame) -> DataFrame:
 def uses_method_edges(meta: DataFrame) -> DataFrame:
     """Body contains ``.m(`` (or ``C.m(``) for a method m of a class of another file in the directory."""
     src = analysis_sources(meta).select("source_file", "dir", "source_element", F.explode_outer(method_call_names("body")).alias("name")).where(F.col("name").isNotNull())
-    cls = _python(meta).select(F.col("path").alias("target_file"), F.explode("classes").alias("c"))
+    return _method_edges(src, meta)
+
+
+def _method_edges(src: DataFrame, meta: DataFrame) -> DataFrame:
+    cls =_python(meta).select(F.col("path").alias("target_file"), F.explode("classes").alias("c"))
     tgt = cls.select("target_file", F.col("c.name").alias("class_name"), F.explode("c.methods.function.name").alias("name")).withColumn(
         "dir", dir_of("target_file")
     )

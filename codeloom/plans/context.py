@@ -70,9 +70,13 @@ def file_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(
-        spark, sf_dir, "edges", lambda: materialize(graph.dependency_edges(meta(spark, sf_dir), file_paths(spark, sf_dir)))
-    )
+    """All dependency edges, from one scan of the bodies."""
+
+    def build() -> DataFrame:
+        files = meta(spark, sf_dir)
+        return materialize(graph.edges_of_tokens(materialize(graph.body_tokens(files)), files, file_paths(spark, sf_dir)))
+
+    return _memo(spark, sf_dir, "edges", build)
 
 
 def clear() -> None:

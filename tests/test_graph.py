@@ -144,3 +144,26 @@ def test_module_members_and_tree(spark):
     assert sorted(tuple(r) for r in G.modules(paths).collect()) == [("a", "", 0), ("a/b", "a", 1), ("a/b/c", "a/b", 2), ("q", "", 0), ("q/r", "q", 1)]
     roll = {r["module_path"]: (r["n_files"], r["n_direct_files"], r["n_submodules"]) for r in G.module_rollup(paths).collect()}
     assert roll == {"a": (3, 1, 2), "a/b": (2, 1, 1), "a/b/c": (1, 1, 0), "q": (1, 0, 1), "q/r": (1, 1, 0)}
+
+
+def test_edges_of_written_tokens(spark):
+    """The written token stream gives the edges of the rules run one by one, in both import modes, from one reading of the bodies."""
+    rng = random.Random(3)
+    lines = ["import os, f1", "from f2 import a, b", "  from g import  x,y ,z", "importlib.go(1)", "from . import q", "import f3 as t", "return a(1) + o.r(b(2))", "x = 'import'", "import"]
+    files = []
+    for i in range(30):
+        bodies = [[t for t in rng.sample(lines, 4)] for _ in range(rng.randint(0, 3))]
+        text = "".join(f"def {rng.choice('abc')}(x):\n    '''\n" + "".join(f"    {t}\n" for t in b) + "    '''\n    return x\n\n" for b in bodies)
+        if i % 3 == 0:
+            text += f"class f{i % 4}:\n    def r(self):\n        return a(1)\n"
+        files.append((f"{rng.choice(['d', 'd/e'])}/f{i}.py", text))
+    files += [("top.py", "def a(x):\n    import f1\n    return x\n"), ("d/broken.py", "def a(:\n"), ("d/empty.py", "")]
+    meta = _meta(spark, files)
+    paths = spark.createDataFrame([(p,) for p, _ in files], "path string")
+    for mode in ("token", "prefix"):
+        tokens = G.body_tokens(meta, mode)
+        want = sorted(tuple(r) for r in G.dependency_edges(meta, paths, mode).collect())
+        assert sorted(tuple(r) for r in G.edges_of_tokens(tokens, meta, paths).collect()) == want
+        assert {w[2] for w in want} == {"import", "uses", "extends"}
+    assert G.body_tokens(meta)._jdf.queryExecution().executedPlan().toString().count("Generate inline") == 2  # of functions, of tokens
+    assert G.body_tokens(meta.limit(0)).count() == 0
