@@ -1,5 +1,7 @@
 import os
 
+from pyspark.sql import types as T
+
 from codeloom.operators import extract as X
 
 GOLDEN = os.path.join(os.path.dirname(__file__), "golden", "sample_module.py")
@@ -213,3 +215,33 @@ def test_building_the_plan_runs_no_job(spark):
     X.extract_corpus(df.toDF("path", "content"))
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_plain_annotations_are_not_unparsed(monkeypatch):
+    import ast
+
+    texts = ["int", "a.b.C", "Union[int, str]", "Dict[str, List[a.b]]", "'Fwd'", "None", "Callable[[int], str]", "f(x).y", "m[a][b]", "[int]", "{}", "()"]
+    trees = [ast.parse(t, mode="eval").body for t in texts + ["int | None"]]
+    expected = [ast.unparse(X._Spelling().visit(t)) for t in trees]
+    unparse = ast.unparse
+    monkeypatch.setattr(ast, "unparse", lambda node: unparse(node) if isinstance(node, ast.BinOp) else 1 / 0)
+    assert [X.type_text(t) for t in trees] == expected
+
+
+def test_slices_of_text_beyond_ascii():
+    src = "def f(a: int = 'ä)', b=\"\"\"é(\"\"\",  # )\n      c=(1, [2])) -> 'ü':\n    if 'ß' == a: return 'ä' + b\n\n\ndef g(): return 1"
+    f, g = X.outline("m.py", src)["scopes"]
+    assert f["params_text"] == "(a: int = 'ä)', b=\"\"\"é(\"\"\",  # )\n      c=(1, [2]))" and f["returns_text"] == "'ü'"
+    assert f["body"] == "c=(1, [2])) -> 'ü':\n    if 'ß' == a: return 'ä' + b" and g["body"] == "" and g["params_text"] == "()"
+    assert [n["text"] for n in X.outline("m.py", src)["nodes"] if n["kind"]] == ["'ß' == a", "'ä' + b", "1"]
+
+
+def test_no_cycle_collection_while_files_are_read():
+    import gc
+
+    import pyarrow as pa
+
+    seen = []
+    run = X._arrow_mapper(lambda p, c: [seen.append(gc.isenabled()) or {"path": p}], T.StructType([T.StructField("path", T.StringType())]))
+    out = list(run(iter([pa.RecordBatch.from_pydict({"path": ["a", "b"], "content": ["", ""]})])))
+    assert seen == [False, False] and gc.isenabled() and out[0].num_rows == 2
