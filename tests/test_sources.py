@@ -85,3 +85,17 @@ def test_file_versions_in_any_order(spark):
         out = {r["path"]: r for r in RS.stream_file_versions(spark, d, spark.createDataFrame([], schema).schema).collect()}
         assert set(out) == {"a.py", "b.py"} and out["a.py"]["version"] == 2 and out["b.py"]["error"]
         assert [f["name"] for f in out["a.py"]["functions"]] == ["g"]
+
+
+def test_files_of_one_delivery_are_parsed_by_several_tasks(spark, tmp_path):
+    """One large source file of a micro-batch must not be parsed by one task."""
+    from codeloom.streaming import attempts_stream as RS
+
+    rows = [(f"d/m{i}.py", f"def f{i}():\n    pass\n", 1) for i in range(64)]
+    df = spark.createDataFrame(rows, "path string, content string, version long").coalesce(1)
+    df.select("path", "content").write.parquet(str(tmp_path / "code"))
+    df.write.parquet(str(tmp_path / "versions"))
+    new = RS.stream_code_files(spark, str(tmp_path / "code"), df.select("path", "content").schema)
+    assert new.count() == 64 and len(new.inputFiles()) > 1
+    again = RS.stream_file_versions(spark, str(tmp_path / "versions"), df.schema)
+    assert again.count() == 64
