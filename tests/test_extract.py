@@ -1,4 +1,5 @@
 import os
+import re
 
 from pyspark.sql import types as T
 
@@ -245,3 +246,24 @@ def test_no_cycle_collection_while_files_are_read():
     run = X._arrow_mapper(lambda p, c: [seen.append(gc.isenabled()) or {"path": p}], T.StructType([T.StructField("path", T.StringType())]))
     out = list(run(iter([pa.RecordBatch.from_pydict({"path": ["a", "b"], "content": ["", ""]})])))
     assert seen == [False, False] and gc.isenabled() and out[0].num_rows == 2
+
+
+def test_functions_take_their_own_part_of_a_file(spark):
+    """No function reads the arrays of the whole file; blocks of every kind keep their order, empty parts are empty arrays."""
+    src = (
+        "class A:\n    x: int\n    def m(self):\n        for i in y:\n            pass\n        else:\n            return 1\n"
+        "def f():\n    if a:\n        def g():\n            return z\n        return 2\n    try:\n        pass\n    except E:\n        with w:\n            return q\n    finally:\n        pass\n"
+        "class B: pass\ndef h(): 'text'\n"
+    )
+    df = X.extract_corpus(spark.createDataFrame([("m.py", src), ("n.py", "def broken(:"), ("o.py", "")], "path string, content string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"slice\((leaves|nodes|values)#\d+,", plan)
+    rec = {r["path"]: r for r in df.collect()}
+    assert [(p["name"], [[p["branches"][n]["text"] for n in x["steps"]] for x in p["paths"]]) for p in rec["m.py"]["fpaths"]] == [
+        ("m", [["i in y"]]),
+        ("f", [["a", "z"], ["a", "2"], [""], ["", "E", "q"], ["", ""]]),
+        ("g", [["z"]]),
+        ("h", []),
+    ]
+    assert [(f["name"], f["return_types"]) for f in rec["m.py"]["functions"]] == [("f", ["int", "q", "z"]), ("h", ["None"])]
+    assert rec["n.py"]["fpaths"] == [] and rec["n.py"]["error"] and rec["o.py"]["functions"] == []
