@@ -167,3 +167,16 @@ def test_edges_of_written_tokens(spark):
         assert {w[2] for w in want} == {"import", "uses", "extends"}
     assert G.body_tokens(meta)._jdf.queryExecution().executedPlan().toString().count("Generate inline") == 2  # of functions, of tokens
     assert G.body_tokens(meta.limit(0)).count() == 0
+
+
+def test_fan_counts_from_written_tokens(spark):
+    """The counts of the token stream are those of the bodies, in both import modes; no body is read."""
+    files = [(f"d{i % 2}/f{i}.py", f"def a{i % 3}(x):\n    import os, f1\n    from f{i % 4} import a0\n    importlib.go(1)\n    return a{i % 2}(1) + o.r(2)\n") for i in range(8)]
+    files += [("d0/c.py", "class f2:\n    def r(self):\n        return a0(1)\n"), ("d0/broken.py", "def a(:\n"), ("empty.py", "")]
+    meta = _meta(spark, files)
+    paths = spark.createDataFrame([(p,) for p, _ in files], "path string")
+    for mode in ("token", "prefix"):
+        want = sorted(tuple(r) for r in G.fan_counts(meta, paths, mode).collect())
+        got = G.fan_counts(meta, paths, mode, tokens=spark.createDataFrame(G.body_tokens(meta, mode).collect()))
+        assert sorted(tuple(r) for r in got.collect()) == want and want
+        assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
