@@ -135,3 +135,10 @@ def test_trim_and_fields_match_go_rules(spark):
     got = {r["i"]: (r["t"], list(r["f"])) for r in df.select("i", TX.trim_ws("s").alias("t"), TX.fields("s").alias("f")).collect()}
     for i, s in enumerate(samples):
         assert got[i] == (_go_trim(s), _go_fields(s)), repr(s)
+
+
+def test_line_count(spark):
+    for text in ("", "a", "a\n", "\n\n", "a\r\nb\nc"):
+        assert _one(spark, TX.line_count("s"), s=text) == len(text.split("\n"))
+    df = spark.createDataFrame([(None,)], "s string")
+    assert df.select(TX.line_count("s").alias("r")).first()["r"] is None
