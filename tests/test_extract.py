@@ -267,3 +267,15 @@ def test_functions_take_their_own_part_of_a_file(spark):
     ]
     assert [(f["name"], f["return_types"]) for f in rec["m.py"]["functions"]] == [("f", ["int", "q", "z"]), ("h", ["None"])]
     assert rec["n.py"]["fpaths"] == [] and rec["n.py"]["error"] and rec["o.py"]["functions"] == []
+
+
+def test_plain_statements_take_no_call_of_their_own(monkeypatch):
+    calls = []
+    simple = X._Outline.simple
+    monkeypatch.setattr(X._Outline, "simple", lambda self, st, at, cls: calls.append(type(st).__name__) or simple(self, st, at, cls))
+    src = "x = 1\ndef f():\n" + "    g()\n" * 50 + "    return 1\nclass A:\n    y: int\n    def m(self):\n        while z:\n            g()\n        return 2\n"
+    out = X.outline("m.py", src)
+    assert calls == ["Return", "AnnAssign", "Return"]
+    f, a, m = out["scopes"]
+    assert (f["leaves_from"], f["leaves_to"], a["leaves_to"], m["leaves_to"]) == (1, 52, 55, 55)
+    assert (a["members"], a["fields"], out["top"], out["values"]) == ([2], [{"name": "y", "type": "int"}], [0, 1], ["int", "int"])
