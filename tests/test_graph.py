@@ -180,3 +180,14 @@ def test_fan_counts_from_written_tokens(spark):
         got = G.fan_counts(meta, paths, mode, tokens=spark.createDataFrame(G.body_tokens(meta, mode).collect()))
         assert sorted(tuple(r) for r in got.collect()) == want and want
         assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_identifier_runs_are_read_once(spark):
+    """A run of identifier characters that no parenthesis follows costs its length, not its square."""
+    import time
+
+    run = "a1" * 100_000
+    df = spark.createDataFrame([("x = b'" + run + "'\n9f_2(é.g_(0), 12(" + "f(1)",)], "body string").repartition(1)
+    start = time.time()
+    assert df.select(G.call_names(F.col("body")).alias("n")).collect()[0]["n"] == ["f_2", "_2", "g_", "_", "f"]
+    assert time.time() - start < 20
