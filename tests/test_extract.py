@@ -279,3 +279,109 @@ def test_plain_statements_take_no_call_of_their_own(monkeypatch):
     f, a, m = out["scopes"]
     assert (f["leaves_from"], f["leaves_to"], a["leaves_to"], m["leaves_to"]) == (1, 52, 55, 55)
     assert (a["members"], a["fields"], out["top"], out["values"]) == ([2], [{"name": "y", "type": "int"}], [0, 1], ["int", "int"])
+
+
+PLAIN = '''# plain code
+import os.path as p
+from a.b import c, d as e
+
+X = p.join("a#b", 'c', 1) + 2.5
+
+@dec
+@mod.dec(1, x)
+def f(a: int, b:Union[int, a.B], c, d: Dict[str, List[x, y]]) -> Opt[T]:
+
+    if a > 1 and b.c(d) is not None:  # why
+        from m import n
+        return n.g(a, h(1))
+    elif a == "x":
+        return a
+    elif b:
+        while not_yet(a):
+            a -= 1
+        return 3
+    else:
+        for i in a.b:
+            return "s"
+  # odd comment
+
+    return
+
+class A(Base, m.Protocol):
+    x: int
+    y: Map[str, Set[int]] = 3
+    @abstractmethod
+    def m(self):
+        def inner():
+            return None
+        class In:
+            z: str
+        pass
+    n = 1
+
+class B():
+    def go(self): 
+        "text"
+if X:
+    def late() -> None:
+        return x.y
+else:
+    return 1.5
+'''
+
+
+def _labelled(out):
+    """An outline with the labels of its nodes in place of their numbers."""
+    nodes = out["nodes"]
+    label = lambda n: [(nodes[i]["kind"], nodes[i]["arm"], nodes[i]["text"]) for i in nodes[n]["chain"]]
+    own = lambda s: s["base"] is not None and sorted(map(str, ((label(n), nodes[n]["mute"]) for n in range(s["base"], s["nodes_to"]))))
+    scopes = [{k: v for k, v in s.items() if k not in ("root", "base", "nodes_to")} | {"at": label(s["root"]), "own": own(s)} for s in out["scopes"]]
+    return out["error"], out["top"], scopes, [(label(n), nodes[n]["mute"]) for n in out["leaves"]], out["values"], len(nodes)
+
+
+def test_plain_lines_are_read_without_a_syntax_tree(monkeypatch):
+    """The same outline as from the tree, which is not built for them."""
+    import ast
+
+    fast = X.outline("m.py", PLAIN)
+    monkeypatch.setattr(X._Outline, "read_lines", lambda self, text: False)
+    assert _labelled(fast) == _labelled(X.outline("m.py", PLAIN))
+    monkeypatch.undo()
+    whole, parse = [], ast.parse
+    monkeypatch.setattr(ast, "parse", lambda text, **kw: whole.append(text) or parse(text, **kw))
+    assert X.outline("m.py", PLAIN)["error"] is None and PLAIN not in whole
+
+
+def test_lines_that_are_not_plain_go_to_the_parser(monkeypatch):
+    """Whatever is read by lines is what the parser takes, with the same outline; the rest keeps its result and error."""
+    import random
+
+    rnd, lines = random.Random(5), PLAIN.split("\n")
+    bits = ["def ", "(", ")", ":", "\n", "    ", "return ", "else:", "x", "1", '"', "'", ".", ", ", " = ", "\\", "\t", "not ", "[", "]", "@", "#", "lambda", "é", "\0", ";"]
+    sources = ["if a:\nb = 1\n", "else:\n    x\n", "def f():\n", "@d\n", "@d\nx = 1\n", "  x\n", "def f(a=1): return a\n", "x = (1,\n  2)\n", "a, b = 1, 2\n", "x = '''\nreturn 1\n'''\n",
+               "def if():\n    pass\n", "x = 01\n", "f(a b)\n", "x = " + "9" * 5000, "x = " + "a+" * 30000 + "a", "x" + ".y" * 30000, "", "\n  \n", "x = 1\n        @d\ndef f():\n    pass\n"]
+    sources.append("if a:\n    x\n" + "elif a:\n    x\n" * 200)
+    sources.append("".join("    " * i + "if a:\n" for i in range(120)) + "    " * 120 + "x\n")
+    for _ in range(3000):
+        at = rnd.randrange(len(lines))
+        text = "\n".join(lines[at : at + rnd.randint(1, 25)])
+        for _ in range(rnd.randint(0, 2)):
+            j = rnd.randrange(len(text) + 1)
+            text = text[:j] + rnd.choice(bits) + text[j:] if rnd.random() < 0.6 else text[:j] + text[j + rnd.randint(1, 5) :]
+        sources.append(text)
+    now = [X.outline("m.py", s) for s in sources]
+    o = X._Outline("")
+    plain = [o.clear() or (s.isascii() and "\0" not in s and o.read_lines(s)) for s in sources]
+    assert 100 < sum(plain) < len(sources)
+    monkeypatch.setattr(X._Outline, "read_lines", lambda self, text: False)
+    for s, n in zip(sources, now):
+        assert _labelled(n) == _labelled(X.outline("m.py", s)), s
+
+
+def test_long_lines_are_read_in_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for line in ("f(" + "a, " * 300000, "a" * 1000000 + "!", "x = " + "a + " * 300000, "def f(" + "a: B[c, d], " * 100000, "x = '" + "a" * 1000000, " " * 1000000 + "!", "f" * 10 + "(a)" * 300000 + "!"):
+        assert not X._Outline.read_lines(X._Outline(""), line)
+    assert time.perf_counter() - start < 20
