@@ -385,3 +385,16 @@ def test_long_lines_are_read_in_linear_time():
     for line in ("f(" + "a, " * 300000, "a" * 1000000 + "!", "x = " + "a + " * 300000, "def f(" + "a: B[c, d], " * 100000, "x = '" + "a" * 1000000, " " * 1000000 + "!", "f" * 10 + "(a)" * 300000 + "!"):
         assert not X._Outline.read_lines(X._Outline(""), line)
     assert time.perf_counter() - start < 20
+
+
+def test_records_have_the_types_of_the_schema_without_a_cast(spark):
+    from pyspark.sql import functions as F
+
+    files = spark.createDataFrame([("m.py", PLAIN)], "path string, content string")
+    df = X.extract_corpus(files)
+    assert "cast(transform" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {f.name: f.dataType.simpleString() for f in df.schema} == {f.name: f.dataType.simpleString() for f in X.S.FILE_META} | {
+        "fpaths": T.ArrayType(X.FUNCTION_PATHS).simpleString()
+    }
+    row = df.union(df.select(*[F.col(f.name).cast(f.dataType) for f in X.S.FILE_META], F.col("fpaths").cast(T.ArrayType(X.FUNCTION_PATHS)))).collect()
+    assert row[0] == row[1]
