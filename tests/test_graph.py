@@ -191,3 +191,18 @@ def test_long_identifier_runs_are_read_once(spark):
     start = time.time()
     assert df.select(G.call_names(F.col("body")).alias("n")).collect()[0]["n"] == ["f_2", "_2", "g_", "_", "f"]
     assert time.time() - start < 20
+
+
+def test_edge_joins_are_not_broadcast(spark):
+    """Exploded names are estimated by the few bytes of their columns; a broadcast of them ends the driver."""
+    from codeloom.plans.context import materialize
+
+    rows = [("d/a.py", "def fa(x):\n    from b import fb\n    o.go(1)\n    return fb(x)\n"), ("d/b.py", "def fb(y):\n    return y\n\nclass K:\n    def go(self):\n        return 1\n")]
+    meta = materialize(_meta(spark, rows))
+    paths = materialize(spark.createDataFrame([(p,) for p, _ in rows], "path string"))
+    tokens = materialize(G.body_tokens(meta))
+    edges = G.edges_of_tokens(tokens, meta, paths)
+    nodes = SRC.file_tree(paths)
+    for df in (edges, G.dependency_edges(meta, paths), G.edge_endpoints(materialize(edges), nodes), G.fan_counts(meta, paths, tokens=tokens)):
+        assert df.count() > 0
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
