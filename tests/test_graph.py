@@ -206,3 +206,18 @@ def test_edge_joins_are_not_broadcast(spark):
     for df in (edges, G.dependency_edges(meta, paths), G.edge_endpoints(materialize(edges), nodes), G.fan_counts(meta, paths, tokens=tokens)):
         assert df.count() > 0
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_import_lines_are_cut_by_one_expression(spark):
+    """Within a lambda an expression named twice is evaluated twice: white space of an import line is looked for once."""
+    from codeloom.functions.text import fields
+
+    assert str(fields("t")).count("regexp_replace") == 1
+    rows = ["", " ", "a", "  a   b　", "from  m\timport x,y , z", "\r\nimport\x0ba,\n"]
+    got = [r["f"] for r in spark.createDataFrame([(i, t) for i, t in enumerate([*rows, None])], "i int, t string").orderBy("i").select(fields("t").alias("f")).collect()]
+    assert got == [*(t.split() for t in rows), None]
+    bodies = [" from m import a,b , c,\n\timport os, sys,\nfrom m\nimportant", "from x import (d)\n  from . import e"]
+    src = spark.createDataFrame([(f"d/{i}.py", "d", "f", b) for i, b in enumerate(bodies)], "source_file string, dir string, source_element string, body string")
+    want = [("m", "a"), ("m", "b"), ("m", "c"), ("os", ""), ("sys", ""), ("x", "(d)"), (".", "e")]
+    for mode in ("token", "prefix"):
+        assert sorted((r["module"], r["target_element"]) for r in G.import_rows(src, mode).collect()) == sorted(want)
